@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gazette import vocab
-from gazette.functions.common import lookup, texts
+from gazette.functions.common import lookup, text, texts
 
 SUBDIVISION = r"^[A-Z]{2}-[A-Z0-9]{1,3}$"
 COUNTRY = r"^[A-Z]{2}$"
@@ -32,9 +32,9 @@ def valid_code(code: Column) -> Column:
 
 def country_code(world_only: bool = False) -> Column:
     """Topic code, else the first impacted one; null unless it has the form of a code."""
-    listed = F.col("impacted_business.jurisdiction")
-    code = F.coalesce(F.nullif(F.trim(F.col("topic_jurisdiction_code")), F.lit("")),
-                      F.trim(F.try_element_at(listed, F.lit(1))))
+    topic = F.trim(text(F.col("topic_jurisdiction_code")))
+    first = F.trim(F.get(F.col("impacted_business.jurisdiction"), 0))
+    code = F.when(topic != "", topic).otherwise(first)
     wanted = code.rlike(COUNTRY) if world_only else valid_code(code)
     return F.when(wanted, code)
 
@@ -67,9 +67,9 @@ def jurisdiction_phrase(country: Column, bloc: Column) -> Column:
 
 def market_tags(topic: Column) -> Column:
     """Market tags of a topic text in table order without repeats; INT when none applies."""
-    text = F.lower(topic)
+    low = F.lower(topic)
     none = F.array().cast("array<string>")
     found = F.array_distinct(F.concat(*[
-        F.when(text.contains(word), texts(markets)).otherwise(none) for word, markets in vocab.MARKET_TAGS
+        F.when(low.contains(word), texts(markets)).otherwise(none) for word, markets in vocab.MARKET_TAGS
     ]))
     return F.when(F.size(found) > 0, found).otherwise(texts(["INT"]))

@@ -75,6 +75,22 @@ RECORD_SCALARS = {
     "topic_function": "CASE o_orderstatus WHEN 'F' THEN 'Compliance' WHEN 'O' THEN 'Marketing' ELSE 'Legal' END",
 }
 
+# Free text of a feed entry, so that keyword rules have something to find.
+FEED_SCALARS = {
+    "feed_text": "concat(CASE o_custkey % 12 WHEN 0 THEN 'Field safety recall by the FDA' "
+                 "WHEN 1 THEN 'New ISO 14971 amendment, effective January 2027' "
+                 "WHEN 2 THEN 'Draft guidance from MHRA due Q3 2026' WHEN 3 THEN 'Customs tariff notice' "
+                 "WHEN 4 THEN 'Adverse event signal for cardiac pacemaker' WHEN 5 THEN 'EU MDR directive' "
+                 "WHEN 6 THEN 'Novel device approved, FDA and Swissmedic' WHEN 7 THEN 'Speech on consumer matters' "
+                 "WHEN 8 THEN 'ARTG de novo entry by TGA' WHEN 9 THEN 'Proposed rule expected in march 2028' "
+                 "WHEN 10 THEN 'ANSM and BfArM vigilance report' ELSE 'Market letter' END, ' for ', lower(c_mktsegment))",
+    "feed_type": "CASE o_orderpriority WHEN '1-URGENT' THEN 'Recall' WHEN '2-HIGH' THEN 'guidance' "
+                 "WHEN '3-MEDIUM' THEN 'standard' ELSE '' END",
+    "similarity": "CAST(o_orderkey % 40 AS DOUBLE) / 100.0",
+    "agency": "CASE o_orderpriority WHEN '1-URGENT' THEN 'FTC' WHEN '2-HIGH' THEN 'SEC' ELSE n_name END",
+}
+RECORD_SCALARS.update(FEED_SCALARS)
+
 CONTRACT_SCALARS = {
     "contract_id": "concat('C', CAST(n_nationkey AS STRING))",
     "nation_key": "n_nationkey",
