@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is full."""
 
-from gazette.plans import contracts, fields, geography  # noqa: F401
+from gazette.plans import contracts, corpus, fields, geography  # noqa: F401
 from gazette.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
