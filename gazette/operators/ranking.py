@@ -73,8 +73,8 @@ def split_pools(items: DataFrame, feed_size: int = 12, horizon_size: int = 8, le
     return feed.unionByName(horizon)
 
 
-def curated_order(items: DataFrame, order: DataFrame, key: str) -> list[Column]:
-    """Sort key that follows a curated list (key, pos) and then the key itself; items need its `pos`."""
+def curated_order(key: str) -> list[Column]:
+    """Sort key that follows the `pos` of a curated list, then the key itself."""
     return [F.col("pos").asc_nulls_last(), F.col(key)]
 
 

@@ -98,7 +98,8 @@ def median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     return found.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(out))
 
 
-def running(df: DataFrame, order: str, value: str, out: str, fold=F.sum, splits: int = 64) -> DataFrame:
+def running(df: DataFrame, order: str, value: str, out: str, fold=F.sum, splits: int = 64,
+            inclusive: bool = True) -> DataFrame:
     """Running sum or max over a whole frame whose order column has no repeats.
 
     Ranges of the order column are folded on their own; a table with one row per range carries the result
@@ -109,9 +110,11 @@ def running(df: DataFrame, order: str, value: str, out: str, fold=F.sum, splits:
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = (ranged.groupBy("_range").agg(fold(value).alias("_fold"))
                .select("_range", fold("_fold").over(earlier).alias("_carried")))
-    inside = Window.partitionBy("_range").orderBy(order)
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     here = fold(value).over(inside)
-    total = F.greatest(here, F.col("_carried")) if fold is F.max else here + F.coalesce(F.col("_carried"), F.lit(0))
+    zero = F.lit(0)
+    total = (F.greatest(here, F.col("_carried")) if fold is F.max
+             else F.coalesce(here, zero) + F.coalesce(F.col("_carried"), zero))
     return ranged.join(carried, "_range").withColumn(out, total).drop("_range", "_carried")
 
 
