@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gazette import vocab
 from gazette.functions.common import text
 
-TOKEN = r"\b[a-z0-9][a-z0-9]+\b"
+# Word ends look at letters of every script, so a word with an accent yields no token.
+TOKEN = r"(?U)\b[a-z0-9][a-z0-9]+\b"
 HEADING = r"^([0-9]+(?:\.[0-9]+)+|[0-9]+\.)\s+(.+)$"
 TOC_LINE = r"\.{2,}\s*[0-9]+\s*$"
 PAGE_NUMBER = r"^[0-9]{1,4}$"

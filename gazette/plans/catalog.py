@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is full."""
 
-from gazette.plans import contracts, corpus, evaluation, fields, geography, ingest  # noqa: F401
+from gazette.plans import book, contracts, corpus, evaluation, fields, geography, ingest, search  # noqa: F401
 from gazette.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
