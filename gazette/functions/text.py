@@ -11,6 +11,8 @@ from gazette.functions.common import text
 # Word ends look at letters of every script, so a word with an accent yields no token.
 TOKEN = r"(?U)\b[a-z0-9][a-z0-9]+\b"
 HEADING = r"^([0-9]+(?:\.[0-9]+)+|[0-9]+\.)\s+(.+)$"
+# Number of a heading of at most three levels.
+NUMBER = r"(?:[0-9]+(?:\.[0-9]+){1,2}|[0-9]+\.)"
 TOC_LINE = r"\.{2,}\s*[0-9]+\s*$"
 PAGE_NUMBER = r"^[0-9]{1,4}$"
 BARE_DATE = r"^[0-9]{1,2}\s+\w+\s+[0-9]{4}$"
@@ -24,7 +26,8 @@ def tokens(body: Column) -> Column:
 
 
 def lines(body: Column) -> Column:
-    return F.split(text(body), r"\r\n|\r|\n")
+    """Lines of a text; a line end at the very end starts no further line."""
+    return F.split(F.regexp_replace(text(body), r"(?:\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
 
 
 def is_furniture(line: Column) -> Column:
@@ -35,10 +38,8 @@ def is_furniture(line: Column) -> Column:
 
 def strip_furniture(body: Column) -> Column:
     """Text without page furniture; runs of blank lines shrink to one."""
-    kept = F.filter(lines(body), lambda l: ~is_furniture(l))
-    is_blank = lambda l: F.trim(l) == ""
-    single = F.filter(kept, lambda l, i: ~((i > 0) & is_blank(l) & is_blank(F.get(kept, i - 1))))
-    return F.array_join(single, "\n")
+    kept = F.array_join(F.filter(lines(body), lambda l: ~is_furniture(l)), "\n")
+    return F.regexp_replace(kept, r"(?dm)^([^\S\n]*)(?:\n[^\S\n]*)+$", "$1")
 
 
 def furniture_only(body: Column, floor: int = 30) -> Column:
@@ -55,22 +56,21 @@ def is_heading(line: Column) -> Column:
 
 
 def sections(body: Column) -> Column:
-    """Array of (section_id, title, markdown) of a text; one row's text never leaves its row."""
-    all_lines = lines(body)
-    starts = F.filter(F.sequence(F.lit(1), F.size(all_lines)), lambda i: is_heading(F.element_at(all_lines, i)))
-    starts = F.filter(starts, lambda i: i.isNotNull())
-
-    def section(start: Column, at: Column) -> Column:
-        heading = F.trim(F.element_at(all_lines, start))
-        end = F.coalesce(F.get(starts, at + 1), F.size(all_lines) + 1)
-        inner = F.slice(all_lines, start + 1, end - start - 1)
+    """Array of (section_id, title, markdown) of a text; one row's text never leaves its row.
+
+    The text is cut in front of each heading in one pass; what comes before the first heading is dropped.
+    """
+    pieces = F.split(F.regexp_replace(text(body), r"\r\n|\r", "\n"), rf"(?dm)^(?=[^\S\n]*{NUMBER}[^\S\n]+\S)")
+    first_line = rf"(?d)^[^\S\n]*({NUMBER})[^\S\n]+(\S[^\n]*)"
+
+    def section(piece: Column) -> Column:
         return F.struct(
-            F.rtrim(F.regexp_extract(heading, HEADING, 1), F.lit(".")).alias("section_id"),
-            F.trim(F.regexp_extract(heading, HEADING, 2)).alias("title"),
-            F.regexp_replace(F.array_join(inner, "\n"), r"^\s+|\s+$", "").alias("markdown"),
+            F.rtrim(F.regexp_extract(piece, first_line, 1), F.lit(".")).alias("section_id"),
+            F.regexp_replace(F.regexp_extract(piece, first_line, 2), r"\s+\z", "").alias("title"),
+            F.regexp_replace(F.regexp_replace(piece, r"(?d)^[^\n]*", ""), r"^\s+|\s+\z", "").alias("markdown"),
         )
 
-    return F.transform(starts, section)
+    return F.transform(F.filter(pieces, lambda p: p.rlike(first_line)), section)
 
 
 def content_hash(value: Column, length: int = 16) -> Column:

@@ -1,6 +1,8 @@
 """Imports every query module, so that the registry is full."""
 
-from gazette.plans import book, contracts, corpus, evaluation, fields, geography, ingest, search  # noqa: F401
+from gazette.plans import (  # noqa: F401
+    book, contracts, corpus, documents, evaluation, fields, geography, ingest, search, streams,
+)
 from gazette.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
