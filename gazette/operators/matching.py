@@ -53,9 +53,9 @@ def _inside(needle: str, hay: str) -> Column:
     return F.rlike(F.col(hay), F.concat(F.lit(r"(?U)\b\Q"), quoted, F.lit(r"\E\b")))
 
 
-def contract_entities(contracts: DataFrame) -> DataFrame:
-    """One row per contract and settlement entity, with its position."""
-    listed = contracts.select("contract_id", F.posexplode("settlement_entities").alias("entity_pos", "matched_entity"))
+def contract_entities(contracts: DataFrame, *columns: str) -> DataFrame:
+    """One row per contract and settlement entity, with its position and further contract columns."""
+    listed = contracts.select("contract_id", *columns, F.posexplode("settlement_entities").alias("entity_pos", "matched_entity"))
     return listed.withColumn("c_entity", normal(F.col("matched_entity"))).filter("c_entity <> ''")
 
 
@@ -77,13 +77,13 @@ def _probe(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     return by_piece.join(pieces, "piece").filter(found).drop("piece", "c_key", "r_key", "c_entity")
 
 
-def match_entities(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+def match_entities(rows: DataFrame, contracts: DataFrame, *columns: str) -> DataFrame:
     """Rows with an `entity` (normal form) and the contracts whose entities match it; pairs may repeat.
 
     A contract table within the limit is broadcast, so rows are matched where they are read. A larger one
     meets the distinct entity texts in a shuffle join, and rows take their contracts from that result.
     """
-    mine = contract_entities(contracts)
+    mine = contract_entities(contracts, *columns)
     pieces = _contract_pieces(mine)
     if spread.rows_at_most(mine, CONTRACT_ENTITY_LIMIT):
         return _probe(rows, F.broadcast(pieces))
@@ -91,22 +91,24 @@ def match_entities(rows: DataFrame, contracts: DataFrame) -> DataFrame:
     return rows.join(links, "entity")
 
 
-def _exploded(records: DataFrame, entities: Column) -> DataFrame:
-    return records.select("record_id", F.explode(normal_entities(entities)).alias("entity"))
+def _exploded(records: DataFrame, entities: Column | None, *carried: Column | str) -> DataFrame:
+    """One row per record and entity. What the result needs of a record is carried along, so that matches
+    never have to be joined back to all records."""
+    entities = F.col("entities") if entities is None else entities
+    return records.select("record_id", *carried, F.explode(normal_entities(entities)).alias("entity"))
 
 
 def entity_join(contracts: DataFrame, records: DataFrame, entities: Column | None = None) -> DataFrame:
     """Matching (contract_id, record_id) with the first contract entity that matched."""
-    single = _exploded(records, F.col("entities") if entities is None else entities)
-    return (match_entities(single, contracts).groupBy("contract_id", "record_id")
+    return (match_entities(_exploded(records, entities), contracts).groupBy("contract_id", "record_id")
             .agg(F.min(F.struct("entity_pos", "matched_entity")).alias("first")))
 
 
 def entity_window_join(contracts: DataFrame, records: DataFrame, as_of: str, max_age: int) -> DataFrame:
     """Entity join over records aged 0 to max_age days; the dates cut the records before the join."""
     recent = records.filter(dates.within_age(as_of, max_age))
-    return entity_join(contracts, recent).join(
-        recent.select("record_id", dates.age_days(as_of).alias("age")), "record_id")
+    rows = _exploded(recent, None, dates.age_days(as_of).alias("age"))
+    return match_entities(rows, contracts).groupBy("contract_id", "record_id").agg(F.min("age").alias("age"))
 
 
 def contract_window(as_of: str) -> tuple[Column, Column]:
@@ -117,41 +119,33 @@ def contract_window(as_of: str) -> tuple[Column, Column]:
     return start, F.when(F.col("kind") == "retrospective", resolved).otherwise(today)
 
 
-def _claim_titles(matched: DataFrame) -> DataFrame:
-    """Of the matches of a contract that share a title, the first in file order."""
-    picked = matched.withColumn("title_key", F.lower(F.trim("title")))
-    row = F.struct("seq", *[c for c in matched.columns if c not in ("seq", "contract_id")])
-    return picked.groupBy("contract_id", "title_key").agg(F.min_by(row, "seq").alias("_row")) \
-                 .select("contract_id", "_row.*")
+def _claim_titles(matched: DataFrame, columns: list[str]) -> DataFrame:
+    """Of the matches of a contract that share a title, the first in file order, with its first entity.
+
+    One aggregate with partial results in the map tasks; a popular title never meets in full.
+    """
+    row = F.struct("seq", "matched_entity", *columns)
+    return (matched.withColumn("title_key", F.lower(F.trim("title"))).groupBy("contract_id", "title_key")
+            .agg(F.min_by(row, F.struct("seq", "entity_pos")).alias("_row")).select("contract_id", "_row.*"))
 
 
-def contract_timeline(contracts: DataFrame, records: DataFrame, as_of: str) -> DataFrame:
+def contract_timeline(contracts: DataFrame, records: DataFrame, as_of: str, *extra: str) -> DataFrame:
     """Events inside each contract's own window, one per title, with the entity that matched first."""
     start, end = contract_window(as_of)
-    windows = contracts.select("contract_id", start.alias("start"), end.alias("end"))
+    windows = contracts.select("contract_id", "settlement_entities", start.alias("start"), end.alias("end"))
     kept = records.filter(scores.is_substantive(vocab.TIMELINE_MIN_RELEVANCE) & dates.pub_day().isNotNull())
     named = F.concat(F.coalesce(F.col("entities"), F.array().cast("array<string>")), F.array(text(F.col("topic_name"))))
-    details = kept.select(
-        "record_id", "seq", "title", "link", dates.pub_day().alias("day"),
-        scores.regulator_display().alias("regulator"), scores.score("urgency").alias("urgency"),
-        scores.score("impact").alias("impact"))
-    matched = (
-        entity_join(contracts, kept, named)
-        .join(details, "record_id").join(windows, "contract_id")
-        .filter((F.col("start").isNull() | (F.col("day") >= F.col("start")))
-                & (F.col("end").isNull() | (F.col("day") <= F.col("end"))))
-        .select("contract_id", "record_id", "seq", "title", "link", "day", "regulator", "urgency", "impact",
-                F.col("first.matched_entity").alias("matched_entity"))
-    )
-    return _claim_titles(matched)
+    columns = ["record_id", "title", "link", "day", "regulator", "urgency", "impact", *[c.split(".")[-1] for c in extra]]
+    rows = _exploded(kept, named, "seq", "title", "link", dates.pub_day().alias("day"), scores.regulator_display().alias("regulator"),
+                     scores.score("urgency").alias("urgency"), scores.score("impact").alias("impact"), *extra)
+    matched = match_entities(rows, windows, "start", "end").filter(
+        (F.col("start").isNull() | (F.col("day") >= F.col("start"))) & (F.col("end").isNull() | (F.col("day") <= F.col("end"))))
+    return _claim_titles(matched, columns)
 
 
 def scan_matches(contracts: DataFrame, records: DataFrame, as_of: str) -> DataFrame:
     """Substantive matches of the last 90 days, one per title, with decayed urgency."""
     kept = records.filter(scores.is_substantive() & dates.within_age(as_of, vocab.HEAT_WINDOW_DAYS))
-    details = kept.select("record_id", "seq", "title", scores.score("urgency").alias("urgency"),
-                          dates.age_days(as_of).alias("age"))
-    matched = entity_join(contracts, kept).join(details, "record_id").select(
-        "contract_id", "record_id", "seq", "title", "urgency", "age",
-        F.col("first.matched_entity").alias("matched_entity"))
-    return _claim_titles(matched).withColumn("rank_value", scores.decayed(F.col("urgency"), F.col("age")))
+    rows = _exploded(kept, None, "seq", "title", scores.score("urgency").alias("urgency"), dates.age_days(as_of).alias("age"))
+    found = _claim_titles(match_entities(rows, contracts), ["record_id", "title", "urgency", "age"])
+    return found.withColumn("rank_value", scores.decayed(F.col("urgency"), F.col("age")))

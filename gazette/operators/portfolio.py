@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.functions.common import text
@@ -26,6 +26,10 @@ def condition_counts(conditions: DataFrame, events: DataFrame) -> DataFrame:
     return joined.withColumn("progress", progress).withColumn("sentiment", sentiment)
 
 
+def _direction(up: Column, down: Column) -> Column:
+    return F.when(up > down * 1.5, "Bullish").when(down > up * 1.5, "Bearish").otherwise("Mixed")
+
+
 def net_direction(contracts: DataFrame, events: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Bullish or Bearish when one side outnumbers the other by more than half, else Mixed.
 
@@ -34,9 +38,8 @@ def net_direction(contracts: DataFrame, events: DataFrame, as_of: str, days: int
     recent = F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days)
     per = events.filter(recent).groupBy("contract_id").agg(
         F.count_if(F.col("direction") == "bullish").alias("up"), F.count_if(F.col("direction") == "bearish").alias("down"))
-    label = (F.when(F.col("up") > F.col("down") * 1.5, "Bullish").when(F.col("down") > F.col("up") * 1.5, "Bearish").otherwise("Mixed"))
     return contracts.select("contract_id").join(per, "contract_id", "left").fillna(0).select(
-        "contract_id", label.alias("net_direction"))
+        "contract_id", _direction(F.col("up"), F.col("down")).alias("net_direction"))
 
 
 def _dated(events: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -56,24 +59,36 @@ def next_catalyst(events: DataFrame, as_of: str) -> DataFrame:
                 .select("contract_id", "_n.*")
 
 
-def portfolio(contracts: DataFrame, heats: DataFrame, events: DataFrame, conditions: DataFrame, as_of: str) -> DataFrame:
-    """One row per active contract: heat, direction, counts, next catalyst, latest event."""
-    active = contracts.filter(F.col("kind") != "retrospective").select("contract_id", "platform", "title", "expires_at")
-    latest = events.groupBy("contract_id").agg(
-        F.count("*").alias("events"), F.max_by(F.struct("day", "title"), F.struct("day", -F.col("seq"))).alias("_latest"))
-    direct = condition_counts(conditions, events).groupBy("contract_id").agg(
-        F.sum("bullish").alias("bullish"), F.sum("bearish").alias("bearish"), F.max("background_bullish").alias("background_bullish"),
-        F.max("background_bearish").alias("background_bearish"))
-    catalyst = next_catalyst(events, as_of).select("contract_id", F.col("calendar_date").alias("catalyst_date"))
-    rows = active
-    for part in (heats, net_direction(active, events, as_of), direct, latest, catalyst):
-        rows = rows.join(part, "contract_id", "left")
+def portfolio(contracts: DataFrame, heats: DataFrame, events: DataFrame, conditions: DataFrame, as_of: str,
+              days: int = 30) -> DataFrame:
+    """One row per active contract: heat, direction, counts, next catalyst, latest event.
+
+    The events are read once: everything about them comes from one aggregate per contract and tag.
+    """
+    up, down = F.col("direction") == "bullish", F.col("direction") == "bearish"
+    recent = F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days)
+    ahead = F.array_min(F.filter(F.array("effective_date", "comment_deadline"), lambda d: d > as_of))
+    per_tag = events.groupBy("contract_id", "tag").agg(
+        F.count("*").alias("n"), F.count_if(up).alias("up"), F.count_if(down).alias("down"),
+        F.count_if(up & recent).alias("recent_up"), F.count_if(down & recent).alias("recent_down"),
+        F.max(F.struct("day", (-F.col("seq")).alias("order"), "title")).alias("latest"), F.min(ahead).alias("catalyst_date"))
+    wanted = conditions.select("contract_id", F.col("condition").alias("tag")).withColumn("direct", F.lit(True))
+    marked = per_tag.join(wanted, ["contract_id", "tag"], "left")
+    total = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    direct, background = F.col("direct"), F.col("tag") == "background"
+    per = marked.groupBy("contract_id").agg(
+        total(direct, "up").alias("bullish"), total(direct, "down").alias("bearish"),
+        total(background, "up").alias("background_bullish"), total(background, "down").alias("background_bearish"),
+        F.sum("n").alias("events"), F.sum("recent_up").alias("up"), F.sum("recent_down").alias("down"),
+        F.max("latest").alias("latest"), F.min("catalyst_date").alias("catalyst_date"))
+    active = contracts.filter(F.col("kind") != "retrospective").select("contract_id", "platform")
+    rows = active.join(heats, "contract_id", "left").join(per, "contract_id", "left")
+    counts = ["bullish", "bearish", "background_bullish", "background_bearish", "events"]
     return rows.select(
-        "contract_id", "platform", "heat", "net_direction", *[F.coalesce(c, F.lit(0)).alias(c) for c in (
-            "bullish", "bearish", "background_bullish", "background_bearish", "events")],
-        F.coalesce("catalyst_date", F.lit("")).alias("catalyst_date"),
-        F.coalesce(F.col("_latest.day").cast("string"), F.lit("")).alias("latest_day"),
-        F.coalesce("_latest.title", F.lit("")).alias("latest_title"))
+        "contract_id", "platform", "heat", _direction(F.coalesce("up", F.lit(0)), F.coalesce("down", F.lit(0))).alias("net_direction"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("catalyst_date", F.lit("")).alias("catalyst_date"),
+        F.coalesce(F.col("latest.day").cast("string"), F.lit("")).alias("latest_day"),
+        F.coalesce("latest.title", F.lit("")).alias("latest_title"))
 
 
 def calendar_events(contracts: DataFrame, events: DataFrame) -> DataFrame:

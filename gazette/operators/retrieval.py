@@ -11,11 +11,10 @@ from gazette.operators import spread
 
 
 def term_counts(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """Count of each term in each document and the share it has of the document's tokens."""
-    single = docs.select(key, F.explode(text.tokens(F.col(body))).alias("term"))
-    counted = single.groupBy(key, "term").agg(F.count("*").alias("n"))
-    lengths = counted.groupBy(key).agg(F.sum("n").alias("length"))
-    return counted.join(lengths, key).select(key, "term", (F.col("n") / F.col("length")).alias("tf"))
+    """Count of each term in each document, with the number of the document's tokens."""
+    found = docs.select(key, text.tokens(F.col(body)).alias("_tokens"))
+    single = found.select(key, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
+    return single.groupBy(key, "length", "term").agg(F.count("*").alias("n"))
 
 
 def query_terms(texts: DataFrame, body: str) -> DataFrame:
@@ -24,32 +23,37 @@ def query_terms(texts: DataFrame, body: str) -> DataFrame:
     return counted.select("term", (F.col("n") / counted.agg(F.sum("n")).scalar()).alias("query_tf"))
 
 
-def weights(docs: DataFrame, key: str, body: str, query: DataFrame) -> DataFrame:
-    """Smooth TF-IDF weights of the documents. The query is one more document in N and in each frequency.
-
-    Common words are in most documents; they meet their document frequency through a bounded broadcast, all
-    other words in a shuffle join.
-    """
-    tf = term_counts(docs, key, body)
-    frequency = tf.groupBy("term").agg(F.count("*").alias("in_docs")).join(query, "term", "left")
+def term_table(counts: DataFrame, docs: DataFrame, query: DataFrame) -> DataFrame:
+    """Terms of documents and query with smooth IDF. The query is one more document in N and in each frequency."""
+    frequency = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("rows"))
     total = docs.agg(F.count("*") + 1).scalar()
-    seen = F.col("in_docs") + F.when(F.col("query_tf").isNotNull(), 1).otherwise(0)
-    terms = frequency.select("term", "query_tf", (F.log((total + 1) / (seen + 1)) + 1.0).alias("idf"))
-    return spread.hot_key_join(tf, terms, "term").select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("weight"), (F.col("query_tf") * F.col("idf")).alias("query_weight"))
+    merged = frequency.join(query, "term", "full").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    seen = F.col("rows") + F.when(F.col("query_tf").isNotNull(), 1).otherwise(0)
+    return merged.select("term", "rows", "query_tf", (F.log((total + 1) / (seen + 1)) + 1.0).alias("idf"))
+
+
+def _weigh(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """TF-IDF weights. Common words are in most documents; they meet their term row through a bounded
+    broadcast, all other words in a shuffle join."""
+    joined = spread.hot_key_join(counts, terms.drop("rows"), "term", terms.select("term", "rows"))
+    return joined.select(key, "term", (F.col("n") / F.col("length") * F.col("idf")).alias("weight"),
+                         (F.col("query_tf") * F.col("idf")).alias("query_weight"))
+
+
+def weights(docs: DataFrame, key: str, body: str, query: DataFrame) -> DataFrame:
+    """TF-IDF weight of each term in each document."""
+    counts = term_counts(docs, key, body)
+    return _weigh(counts, term_table(counts, docs, query), key)
 
 
 def cosine_to_query(docs: DataFrame, key: str, body: str, query: DataFrame) -> DataFrame:
     """Cosine of each document with a shared word to the query; documents without one would be zero."""
-    w = weights(docs, key, body, query)
-    total = docs.agg(F.count("*") + 1).scalar()
-    # Query words that no document has count for the query's length: they are in one document, the query.
-    seen = w.filter("query_weight IS NOT NULL").groupBy("term").agg(F.first("query_weight").alias("query_weight"))
-    lone = F.col("query_tf") * (F.log((total + 1) / F.lit(2)) + 1.0)
-    lengths = query.join(seen, "term", "left").select(F.coalesce("query_weight", lone).alias("q"))
-    query_norm = lengths.agg(F.sqrt(F.sum(F.col("q") * F.col("q")))).scalar()
-    per = w.groupBy(key).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("dot"),
-                             F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    counts = term_counts(docs, key, body)
+    terms = term_table(counts, docs, query)
+    q = F.col("query_tf") * F.col("idf")
+    query_norm = terms.filter("query_tf IS NOT NULL").agg(F.sqrt(F.sum(q * q))).scalar()
+    per = _weigh(counts, terms, key).groupBy(key).agg(
+        F.sum(F.col("weight") * F.col("query_weight")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return per.filter("dot IS NOT NULL").select(key, (F.col("dot") / (F.col("norm") * query_norm)).alias("score"))
 
 

@@ -95,11 +95,10 @@ def breakeven(scored: DataFrame, baseline: str) -> DataFrame:
     """Extra cost per flawed answer avoided, per arm against the baseline; null without a gain."""
     per = scored.groupBy("arm").agg(F.avg("accuracy").alias("accuracy"), F.avg((F.col("accuracy") < 1).cast("double")).alias("flawed")) \
                 .join(spread.median(scored, ["arm"], "cost", "cost"), "arm")
-    base = per.filter(F.col("arm") == baseline)
-    one = lambda c: base.select(c).scalar()
-    rows = per.filter(F.col("arm") != baseline).select(
-        "arm", (F.col("cost") - one("cost")).alias("extra"), (F.col("accuracy") - one("accuracy")).alias("gain"),
-        one("flawed").alias("flawed"))
+    base = per.filter(F.col("arm") == baseline).select(F.struct("cost", "accuracy", "flawed")).scalar()
+    rows = per.filter(F.col("arm") != baseline).withColumn("_base", base).select(
+        "arm", (F.col("cost") - F.col("_base.cost")).alias("extra"), (F.col("accuracy") - F.col("_base.accuracy")).alias("gain"),
+        F.col("_base.flawed").alias("flawed"))
     return rows.select(
         "arm", F.round("extra", 4).alias("extra_cost"), F.round("flawed", 4).alias("baseline_flawed_rate"),
         F.round("gain", 4).alias("accuracy_gain"),

@@ -143,9 +143,16 @@ def similarity(before: Column, after: Column) -> Column:
     return ratio(before, after)
 
 
-def section_similarity(changes: DataFrame) -> DataFrame:
+def _for_python(changes: DataFrame, key: str) -> DataFrame:
+    """Changes dealt out over as many tasks as a shuffle has. Comparing texts costs far more than its input's
+    size suggests, by which adaptive execution would merge the partitions."""
+    tasks = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return changes.repartition(tasks, key)
+
+
+def section_similarity(changes: DataFrame, key: str) -> DataFrame:
     """Similarity of modified sections and how to show them."""
-    rated = changes.withColumn("similarity", similarity(F.col("before"), F.col("after")))
+    rated = _for_python(changes, key).withColumn("similarity", similarity(F.col("before"), F.col("after")))
     mode = F.when(F.col("similarity") >= vocab.REDLINE_FLOOR, "redline").otherwise("split")
     return rated.withColumn("mode", mode)
 
@@ -177,7 +184,7 @@ def line_diff(changes: DataFrame, key: str, context: int = 3) -> DataFrame:
                 yield pd.DataFrame({key: [k] * len(found), "position": range(1, len(found) + 1),
                                     "kind": [r[0] for r in found], "content": [r[1] for r in found]})
 
-    return changes.select(key, "before", "after").mapInPandas(rows, schema)
+    return _for_python(changes.select(key, "before", "after"), key).mapInPandas(rows, schema)
 
 
 def split_documents(docs: DataFrame, key: str, body: str) -> DataFrame:

@@ -37,9 +37,9 @@ def verdicts(spark, folder):
 
 def judged(spark, folder):
     """Timeline events with their verdicts, before the cut."""
-    events = matching.contract_timeline(contracts(spark, folder), records(spark, folder), AS_OF)
-    dates = records(spark, folder).select("record_id", "critical_dates.effective_date", "critical_dates.comment_deadline")
-    return events.join(verdicts(spark, folder), "record_id").join(dates, "record_id")
+    events = matching.contract_timeline(contracts(spark, folder), records(spark, folder), AS_OF,
+                                        "critical_dates.effective_date", "critical_dates.comment_deadline")
+    return events.join(verdicts(spark, folder), "record_id")
 
 
 def picked(spark, folder):

@@ -190,7 +190,7 @@ def modified(spark, folder):
 
 @query("section_similarity")
 def section_similarity(spark, folder):
-    return versions.section_similarity(modified(spark, folder)).select("change_id", F.round("similarity", 4).alias("similarity"), "mode")
+    return versions.section_similarity(modified(spark, folder), "change_id").select("change_id", F.round("similarity", 4).alias("similarity"), "mode")
 
 
 @query("line_diff")
