@@ -99,7 +99,9 @@ def peer_percentile(heats: DataFrame) -> DataFrame:
             .withColumn("tier", scores.heat_tier(F.col("heat"))))
 
 
-def sectioned(rows: DataFrame) -> list[Column]:
-    """Sort key of the dashboard: active contracts by heat, then resolved ones by id, both downwards."""
+def sectioned(rows: DataFrame) -> DataFrame:
+    """Dashboard order: active contracts by heat, then resolved ones by id, both downwards."""
     active = F.col("kind") == "active"
-    return [F.when(active, 0).otherwise(1), F.when(active, F.col("heat")).desc_nulls_last(), F.col("contract_id").desc()]
+    section = F.when(active, 0).otherwise(1)
+    return rows.withColumn("section", section).orderBy(
+        "section", F.when(active, F.col("heat")).desc_nulls_last(), F.col("contract_id").desc())

@@ -47,6 +47,11 @@ def featured(ids: DataFrame, items: DataFrame, key: str) -> DataFrame:
     return ids.join(present, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def curated_order(items: DataFrame, order: DataFrame, key: str) -> DataFrame:
+    """Items in the order of a curated list (key, pos), then the remaining ones by key."""
+    return items.join(order, key, "left").orderBy(F.col("pos").asc_nulls_last(), key)
+
+
 def roles(footprint: DataFrame) -> DataFrame:
     """One role per code; closed outranks considering, which outranks operating."""
     weight = F.when(F.col("role") == "closed", 3).when(F.col("role") == "considering", 2).otherwise(1)
@@ -74,21 +79,19 @@ def cascade_members(cascades: DataFrame, footprint: DataFrame) -> DataFrame:
     return single.join(roles(footprint), "code", "left").withColumn("role", F.coalesce("role", F.lit("other")))
 
 
-def topic_prefilter(topics: DataFrame, names: DataFrame, limit: int = 100_000) -> DataFrame:
+def topic_prefilter(topics: DataFrame, names: DataFrame) -> DataFrame:
     """Topics whose name contains a known name.
 
-    A substring has no key to join on, so the known names become one pattern. That takes a list whose size
-    is checked; a longer one is cut into patterns of that size, and each is one pass of the same filter.
+    The first characters of a known name, up to three, are the join key; a topic offers all its pieces of
+    that length. Candidates are then checked in full, so the substring test becomes an equi-join.
     """
-    listed = names.select(F.lower("name").alias("name")).filter("name <> ''").distinct()
-    if not spread.rows_at_most(listed, limit):
-        raise ValueError(f"more than {limit} known names; filter the seed list first")
-    found = [r.name for r in listed.collect()]
-    holds = F.lit(False)
-    for start in range(0, len(found), 500):
-        pattern = "|".join("\\Q" + n.replace("\\E", "\\E\\\\E\\Q") + "\\E" for n in found[start:start + 500])
-        holds = holds | F.lower("topic_name").rlike(pattern)
-    return topics.filter(holds)
+    known = names.select(F.lower("name").alias("known")).filter("known <> ''").distinct() \
+                 .withColumn("piece", F.substring("known", 1, 3))
+    name = F.lower("topic_name")
+    starts = F.sequence(F.lit(1), F.length(name))
+    pieces = F.array_distinct(F.flatten(F.array(*[F.transform(starts, lambda i: F.substring(name, i, F.lit(n))) for n in (1, 2, 3)])))
+    offered = topics.filter(F.length("topic_name") > 0).withColumn("piece", F.explode(pieces))
+    return offered.join(known, "piece").filter(name.contains(F.col("known"))).select(*topics.columns).distinct()
 
 
 def dedupe_then_filter(records: DataFrame, key: str, condition: Column) -> DataFrame:

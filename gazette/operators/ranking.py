@@ -73,11 +73,6 @@ def split_pools(items: DataFrame, feed_size: int = 12, horizon_size: int = 8, le
     return feed.unionByName(horizon)
 
 
-def curated_order(key: str) -> list[Column]:
-    """Sort key that follows the `pos` of a curated list, then the key itself."""
-    return [F.col("pos").asc_nulls_last(), F.col(key)]
-
-
 @dataclass(frozen=True)
 class DomainQuery:
     """A structured question to the domain records; a field that is None does not filter."""

@@ -142,15 +142,23 @@ def peer_percentile(spark, folder):
 
 
 @query("sectioned_sort", oracle("""
-    SELECT contract_id, kind, heat, CAST(row_number() OVER (
-      ORDER BY CASE WHEN kind = 'active' THEN 0 ELSE 1 END,
-               CASE WHEN kind = 'active' THEN heat END DESC NULLS LAST, contract_id DESC) AS INT) AS position
-    FROM heats""", "heats"))
+    SELECT contract_id, kind, heat, CASE WHEN kind = 'active' THEN 0 ELSE 1 END AS section FROM heats
+    ORDER BY section, CASE WHEN kind = 'active' THEN heat END DESC NULLS LAST, contract_id DESC""", "heats"))
 def sectioned_sort(spark, folder):
     book = contracts(spark, folder)
-    rows = heat_score(spark, folder).join(book.select("contract_id", "kind"), "contract_id")
-    # The dashboard lists the contract book, which has one row per contract; 1000 is its page limit.
-    return spread.ranked_limit(rows, heat.sectioned(rows), 1000)
+    return heat.sectioned(heat_score(spark, folder).join(book.select("contract_id", "kind"), "contract_id"))
+
+
+@query("rising_contracts", oracle("""
+    SELECT contract_id, heat_delta FROM (SELECT contract_id, kind, round(heat - heat_before, 2) AS heat_delta FROM (
+      SELECT contract_id, kind, HEAT_NOW AS heat, HEAT_BEFORE AS heat_before
+      FROM contracts LEFT JOIN contract_days USING (contract_id) WHERE kind = 'active' GROUP BY contract_id, kind))
+    ORDER BY heat_delta DESC, contract_id LIMIT 2""".replace("HEAT_NOW", _HEAT.format(asof=_TODAY)).replace(
+        "HEAT_BEFORE", _HEAT.format(asof=f"({_TODAY} - 7)")), "contracts", "contract_days"))
+def rising_contracts(spark, folder):
+    """The two active contracts whose heat rose most."""
+    rows = heat.heat_delta(contracts(spark, folder), substantive(spark, folder), AS_OF).filter("kind = 'active'")
+    return rows.orderBy(F.col("heat_delta").desc(), "contract_id").limit(2).select("contract_id", "heat_delta")
 
 
 @query("entity_role", oracle("""

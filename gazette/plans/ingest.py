@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gazette.functions import keywords
-from gazette.operators import devices, joins, matching, ranking, spread
+from gazette.operators import devices, joins, matching
 from gazette.plans.corpus import candidates
 from gazette.plans.fields import RAW_SEVERITY, feed
 from gazette.plans.registry import query
@@ -350,15 +350,15 @@ def featured_join(spark, folder):
 
 
 @query("curated_order", oracle("""
-    SELECT contract_id, CAST(row_number() OVER (ORDER BY pos NULLS LAST, contract_id) AS INT) AS position
+    SELECT contract_id, CAST(coalesce(pos, -1) AS BIGINT) AS pos
     FROM contracts LEFT JOIN (SELECT 'C' || s_nationkey AS contract_id, min(s_suppkey) AS pos FROM supplier
-                              WHERE s_acctbal > 8000 GROUP BY 1) USING (contract_id)""", "contracts"))
+                              WHERE s_acctbal > 8000 GROUP BY 1) USING (contract_id) ORDER BY pos = -1, pos, contract_id""", "contracts"))
 def curated_order(spark, folder):
     """Contracts of rich suppliers first, in their order, then the rest by id."""
     order = table(spark, folder, "supplier").filter("s_acctbal > 8000").groupBy(
         F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("contract_id")).agg(F.min("s_suppkey").alias("pos"))
-    items = contracts(spark, folder).select("contract_id").join(order, "contract_id", "left")
-    return spread.ranked_limit(items, ranking.curated_order("contract_id"), 1000).select("contract_id", "position")
+    rows = joins.curated_order(contracts(spark, folder).select("contract_id"), order, "contract_id")
+    return rows.withColumn("pos", F.coalesce("pos", F.lit(-1)))
 
 
 @query("curated_semi", """

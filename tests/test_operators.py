@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gazette.operators import curation, geography, joins, portfolio, ranking, retrieval, runs, verdicts, versions
+from gazette.operators import curation, geography, heat, joins, portfolio, ranking, retrieval, runs, verdicts, versions
 from gazette.sources import annotations, tables
 from tests.conftest import make_record
 
@@ -164,6 +164,30 @@ def test_first_occurrence_claims_its_id(records):
     assert joins.dedupe_then_filter(rows, "record_id", F.col("scores.relevance.score") >= 5).count() == 0
 
 
+def test_orders(spark):
+    items = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k STRING")
+    order = spark.createDataFrame([("c", 1), ("a", 2), ("gone", 3)], "k STRING, pos INT")
+    assert [r.k for r in joins.curated_order(items, order, "k").collect()] == ["c", "a", "b", "d"]
+    rows = spark.createDataFrame([("r1", "retrospective", 9.0), ("a1", "active", 1.0), ("r2", "retrospective", 1.0), ("a2", "active", 5.0)],
+                                 "contract_id STRING, kind STRING, heat DOUBLE")
+    assert [r.contract_id for r in heat.sectioned(rows).collect()] == ["a2", "a1", "r2", "r1"]
+
+
+def test_topic_prefilter_finds_substrings(spark):
+    topics = spark.createDataFrame([(1, "Bank of England"), (2, "SEC"), (3, "Harbour"), (4, "")], "topic_id INT, topic_name STRING")
+    names = spark.createDataFrame([("of Eng",), ("ec",), ("",), ("xyz",), ("r b",)], "name STRING")
+    assert sorted(r.topic_id for r in joins.topic_prefilter(topics, names).collect()) == [1, 2]
+
+
+def test_large_vocabulary_takes_the_split_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common words term{i % 7} other{i}") for i in range(40)], "id INT, body STRING")
+    query = retrieval.query_terms(spark.createDataFrame([("common term3 absent",)], "t STRING"), "t")
+    rows = lambda: sorted((r.id, round(r.score, 9)) for r in retrieval.cosine_to_query(docs, "id", "body", query).collect())
+    small = rows()
+    monkeypatch.setattr(retrieval, "TERM_LIMIT", 0)
+    assert rows() == small and len(small) == 40
+
+
 def test_roles_and_hit_rates(spark, value):
     rows = spark.createDataFrame([("FR", "operating"), ("FR", "closed"), ("DE", "considering"), ("DE", "operating")], "code STRING, role STRING")
     assert {r.code: r.role for r in joins.roles(rows).collect()} == {"FR": "closed", "DE": "considering"}
