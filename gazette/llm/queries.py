@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gazette.llm import jaccard
+from gazette.llm import jaccard, packing
 from gazette.plans.registry import Query
 from gazette.session import table
 
@@ -50,3 +52,17 @@ FROM sets LEFT JOIN least ON a = doc_id"""
 @query("op7_ngram_jaccard_join", classes_sql("documents", 3, 90))
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(table(spark, folder, "documents"), size=3, num=90, den=100)
+
+
+#: The end of a document, the vocabulary and the length of a sequence, as the packing query fixes them.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, public_tokenizers.path(TOKENIZER), sequence=1024, window=64, end=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "round")
+
+
+@query("op3_mixture_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
