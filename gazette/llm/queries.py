@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, jaccard, packing
+from gazette.llm import chat, jaccard, packing, warc
 from gazette.plans.registry import Query
-from gazette.session import table
+from gazette.session import fresh_path, table
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,20 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     loss = F.array_join(F.transform("replies", lambda r: r["reply"]), "")
     return talks.select("conv_id", F.col("whole.n").alias("n_turns"), F.col("whole.sha").alias("turns_sha256"),
                         F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+_WARC_SQL = """
+WITH sized AS (
+    SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+        sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY 1, 2)
+SELECT page_id, s.payload_bytes, s.payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first < page_id THEN first END AS refers_to, TRUE AS intact
+FROM sized s LEFT JOIN firsts f ON s.payload_digest = f.payload_digest AND s.payload_bytes = f.payload_bytes"""
+
+
+@query("op4_warc_chunk_table", _WARC_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.archive(table(spark, folder, "pages"), fresh_path(spark, "warc"))
+    return records.select(F.col("key").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                          F.col("kind").alias("record_type"), "refers_to", "intact")
