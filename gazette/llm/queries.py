@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, jaccard, packing, warc
+from gazette.llm import chat, embeddings, jaccard, packing, warc
 from gazette.plans.registry import Query
 from gazette.session import fresh_path, table
 
@@ -122,3 +122,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.archive(table(spark, folder, "pages"), fresh_path(spark, "warc"))
     return records.select(F.col("key").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
                           F.col("kind").alias("record_type"), "refers_to", "intact")
+
+
+@query("op8_pca_tiled_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"), least=0.9)
