@@ -32,7 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _table(name: str, size: int) -> np.ndarray:
     have = _tables.get(name)
     if have is None or len(have) < size:
-        if name == "byte":
+        if name == "marks":
+            have = np.ones(256, bool)
+            have[128:] = False
+            for low, high in (b"09", b"AZ", b"az"):
+                have[low:high + 1] = False
+        elif name == "byte":
             lower = np.arange(256)
             lower[65:91] += 32
             have = mix((lower + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -48,9 +53,9 @@ def _table(name: str, size: int) -> np.ndarray:
     return have
 
 
-def _block_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_words(data: np.ndarray, first: np.ndarray, gaps: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of one block and where each begins. first: marks bytes that begin a text."""
-    text = ~_table("space", 256)[data]
+    text = ~_table(gaps, 256)[data]
     before = np.empty_like(text)
     before[0] = False
     before[1:] = text[:-1]
@@ -67,30 +72,33 @@ def _block_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(raw), starts
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts and the index of its text; null texts have no words."""
+def words(texts: pa.Array, gaps: str = "space") -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts and the index of its text; null texts have no words.
+
+    gaps: what lies between words, "space" or "marks" (all ASCII but letters and digits).
+    """
     texts = texts.cast(pa.large_string())
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     if not len(texts) or bounds[-1] == bounds[0]:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)
-    space = _table("space", 256)
+    space = _table(gaps, 256)
     hashes, owners, at, end = [], [], int(bounds[0]), int(bounds[-1])
     inner = np.unique(bounds[:-1])
     while at < end:
         stop = min(at + BLOCK, end)
         if stop < end:
             # A block ends where a text or a word does; a word longer than a block is taken as a whole.
-            gaps = np.flatnonzero(space[data[at:stop]])
+            free = np.flatnonzero(space[data[at:stop]])
             cut = inner[np.searchsorted(inner, stop, "right") - 1]
-            if cut > at or len(gaps):
-                stop = max(int(cut), at + int(gaps[-1]) + 1 if len(gaps) else 0)
+            if cut > at or len(free):
+                stop = max(int(cut), at + int(free[-1]) + 1 if len(free) else 0)
             else:
                 while stop < end and not space[data[stop]] and stop not in inner:
                     stop += 1
         first = np.zeros(stop - at, bool)
         first[inner[(inner >= at) & (inner < stop)] - at] = True
-        found, starts = _block_words(data[at:stop], first)
+        found, starts = _block_words(data[at:stop], first, gaps)
         hashes.append(found)
         owners.append(np.searchsorted(bounds, starts + at, "right") - 1)
         at = stop
@@ -113,6 +121,16 @@ def chains(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Running Karp-Rabin hash of every window of `size` words, from running sums."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    weighted = hashes * _table("power", len(hashes))[:len(hashes)]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(weighted)])
+    return mix((sums[size:] - sums[:-size]) * _table("inverse", len(hashes))[:n])
+
+
 def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of every text, as (index of the text, 52-bit hash), sorted by both.
 

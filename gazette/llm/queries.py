@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, embeddings, jaccard, packing, warc
+from gazette.llm import chat, decontaminate, embeddings, jaccard, packing, warc
 from gazette.plans.registry import Query
 from gazette.session import fresh_path, table
 
@@ -127,3 +127,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_pca_tiled_near_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"), least=0.9)
+
+
+@query("op9_greedy_string_tiling")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), seed=5, least=0.5)
+    return found.select("doc_id", "item_id", "item_words", "covered", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
