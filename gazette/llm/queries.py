@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, decontaminate, embeddings, jaccard, packing, warc
+from gazette.llm import chat, decontaminate, embeddings, jaccard, lm, packing, warc
 from gazette.plans.registry import Query
-from gazette.session import fresh_path, table
+from gazette.session import fresh_path, stored, table
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -133,3 +133,41 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), seed=5, least=0.5)
     return found.select("doc_id", "item_id", "item_words", "covered", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))
+
+
+_LM_SQL = f"""
+WITH worded AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+') AS w,
+        doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS chosen FROM documents),
+said AS MATERIALIZED (SELECT doc_id, chosen, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded),
+totals AS (SELECT count(*) FILTER (chosen) AS t, count(*) AS b FROM said),
+single AS (SELECT word, count(*) FILTER (chosen) AS t, count(*) AS b FROM said GROUP BY word),
+known AS MATERIALIZED (SELECT s.word, s.t, s.b FROM single s, totals n
+    WHERE s.t * 65536 >= greatest(n.t, 1) AND s.t > 0 OR s.b * 65536 >= greatest(n.b, 1) AND s.b > 0),
+lumped AS (SELECT coalesce(k.word, ' ') AS word, s.t, s.b FROM single s LEFT JOIN known k USING (word)
+    UNION ALL SELECT ' ', 0, 0),
+size AS (SELECT count(*) + 1 AS v FROM known),
+shares AS MATERIALIZED (SELECT word, (sum(l.t) + 1) / (any_value(n.t) + any_value(v)) AS pt, (sum(l.b) + 1) / (any_value(n.b) + any_value(v)) AS pb
+    FROM lumped l, totals n, size GROUP BY word),
+coded AS (SELECT doc_id, chosen, i, coalesce(k.word, ' ') AS word FROM said s LEFT JOIN known k USING (word)),
+pairs AS MATERIALIZED (SELECT doc_id, chosen, word, lag(word, 1, '  ') OVER (PARTITION BY doc_id ORDER BY i) AS before FROM coded),
+double AS MATERIALIZED (SELECT before, word, count(*) FILTER (chosen) AS t, count(*) AS b FROM pairs GROUP BY before, word),
+firsts AS (SELECT before, greatest(sum(t), 1) AS t, greatest(sum(b), 1) AS b FROM double GROUP BY before),
+listed AS MATERIALIZED (SELECT d.before, d.word, d.t / f.t AS st, d.b / f.b AS sb FROM double d JOIN firsts f USING (before), totals n
+    WHERE d.t * 1048576 >= greatest(n.t, 1) AND d.t > 0 OR d.b * 1048576 >= greatest(n.b, 1) AND d.b > 0),
+losses AS (SELECT doc_id, -ln(0.7 * coalesce(st, 0) + (1 - 0.7::DOUBLE) * pt) AS lt, -ln(0.7 * coalesce(sb, 0) + (1 - 0.7::DOUBLE) * pb) AS lb
+    FROM pairs JOIN shares USING (word) LEFT JOIN listed USING (before, word)),
+means AS (SELECT doc_id, count(*) AS n, avg(lt) AS lt, avg(lb) AS lb FROM losses GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(lt, 0), 6) AS target_loss, round(coalesce(lb, 0), 6) AS background_loss,
+    round(coalesce(lt - lb, 0), 6) AS difference FROM documents LEFT JOIN means USING (doc_id)"""
+
+
+@query("op10_cross_entropy_difference", _LM_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    # The target is read three times and is a part of the documents, so it is cut out once.
+    target = stored(docs.join(good, "doc_id", "left_semi").select("text"), "target")
+    made = lm.scores(docs, target)
+    rounded = [F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")]
+    return made.select("doc_id", "n_tokens", *rounded)
