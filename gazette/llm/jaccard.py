@@ -10,13 +10,13 @@ Plan, every step a Spark shuffle of bounded groups:
 3. Per map task, sets are put in rare-first order. The prefix of a set is its n - ceil(t * n) + 1 rarest shingles;
    two sets with Jaccard similarity t or more share one of them. A set whose prefix holds only unshared shingles is
    done.
-4. Sets that share a prefix shingle are first compared with the least set of that shingle only (a star). Links found
-   so join copies into classes, without a row per pair of copies.
-5. Whatever lies outside the class of its shingle's least set meets all other sets of that shingle. The join
+4. In a few rounds, every set is compared with a few sets (hubs) of its prefix shingles that are not in its class yet.
+   Links found so join copies into classes, with a few rows per copy and none per pair of copies.
+5. Sets that share a prefix shingle and are still in different classes are then compared, all of them. The join
    condition holds the length, positional and suffix filters, so pairs that they exclude are never made.
 6. Candidate pairs are made distinct, and each is verified once on the exact intersection of the shared shingles.
 
-The steps keep all links that change a class: a pair is left out only if both sides are in one class already.
+No link that changes a class is lost: a pair is left out only if both sides are in one class already.
 """
 
 from __future__ import annotations
@@ -29,15 +29,19 @@ from pyspark.sql import functions as F
 
 from gazette.llm import hashing
 from gazette.llm.components import components
+from gazette.operators import spread
 from gazette.session import stored
 
-PARTS = 8
+#: 64-bit words of a set's parity sketch.
+WORDS = 8
 #: A task sends a shingle as a count once this share of its documents has it.
 FREQUENT = 1024
+#: Rounds before all pairs that are still apart are compared, and hubs per set in each.
+ROUNDS, HUBS = 3, 4
 _ALL = np.uint32(0xFFFFFFFF)
 
 _SENT = "seg int, task int, kind int, at binary, hash binary, count binary, info binary"
-_SETS = "doc_id bigint, vid binary, n int, head int, keys array<bigint>, shared binary, parts array<int>"
+_SETS = "doc_id bigint, vid binary, n int, head int, keys array<bigint>, shared binary, sketch array<bigint>"
 
 
 def _segments(df: DataFrame) -> int:
@@ -190,7 +194,7 @@ def _count(bits: int):
 def _prefixes(num: int, den: int):
     """Per map task: rare-first order, prefix, and what verification needs of every set that can have a link."""
     schema = pa.schema([("doc_id", pa.int64()), ("vid", pa.binary()), ("n", pa.int32()), ("head", pa.int32()),
-                        ("keys", pa.list_(pa.int64())), ("shared", pa.binary()), ("parts", pa.list_(pa.int32()))])
+                        ("keys", pa.list_(pa.int64())), ("shared", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(group: pa.Table) -> pa.Table:
         kind = group.column("kind").to_pylist()
@@ -224,8 +228,9 @@ def _prefixes(num: int, den: int):
             alone = size - len(mine)
             prefix = size - -(-num * size // den) + 1
             if n[i] > 0 and alone < prefix:
-                parts = np.bincount((mine >> np.uint64(20)).astype(np.int64) % PARTS, minlength=PARTS)
-                row = (*row[:3], alone, mine[:prefix - alone].astype(np.int64), np.sort(mine).tobytes(), parts.astype(np.int32))
+                odd = np.bincount((mine >> np.uint64(12)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                row = (*row[:3], alone, mine[:prefix - alone].astype(np.int64), np.sort(mine).tobytes(), sketch)
             for name, value in zip(out, row):
                 out[name].append(value)
         return pa.table({f.name: pa.array(out[f.name], f.type) for f in schema})
@@ -235,7 +240,8 @@ def _prefixes(num: int, den: int):
 
 def sets(docs: DataFrame, key: str, body: str, size: int, num: int, den: int) -> DataFrame:
     """One row per document: its set's name (vid) and size, and for sets that can have a link the rarest shared
-    shingles (keys) after `head` unshared ones, all shared shingles, and their counts in PARTS parts."""
+    shingles (keys) after `head` unshared ones, all shared shingles, and their parity sketch: a bit for every hash
+    value, set if an odd number of the shared shingles has it."""
     segments = _segments(docs)
     bits = segments.bit_length() - 1
     sent = docs.select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(_split(size, bits), _SENT)
@@ -251,9 +257,9 @@ def _may_link(num: int, den: int):
     # Overlap that the similarity asks for; the bound is for the first shingle that the two share.
     need = F.ceil(F.lit(num) * (x("n") + y("n")) / F.lit(num + den))
     rest = F.least(x("n") - x("place"), y("n") - y("place"))
-    # Shared shingles fall into parts by hash; each part holds at most the smaller count of it.
-    within = sum((F.least(x(f"p{k}"), y(f"p{k}")) for k in range(PARTS)), F.lit(0))
-    return (small * den >= large * num) & (rest >= need) & (within >= need)
+    # A bit of the sketches that differs stands for a shingle of one set only, and so does every unshared shingle.
+    differ = sum((F.bit_count(x(f"s{k}").bitwiseXOR(y(f"s{k}"))) for k in range(WORDS)), x("head") + y("head"))
+    return (small * den >= large * num) & (rest >= need) & (differ <= x("n") + y("n") - 2 * need)
 
 
 def _verify(pairs: DataFrame, kept: DataFrame, num: int, den: int) -> DataFrame:
@@ -289,38 +295,49 @@ def classes(docs: DataFrame, key: str = "doc_id", body: str = "text", size: int
     """
     table = stored(sets(docs, key, body, size, num, den), "sets")
     shared = table.filter("keys IS NOT NULL")
-    kept = shared.groupBy("vid").agg(F.first(F.struct("n", "head", "keys", "shared", "parts")).alias("s")).select("vid", "s.*")
+    kept = shared.groupBy("vid").agg(F.first(F.struct("n", "head", "keys", "shared", "sketch")).alias("s")).select("vid", "s.*")
     kept = stored(kept, "kept")
-    parts = [F.col("parts")[k].alias(f"p{k}") for k in range(PARTS)]
-    keyed = kept.select("vid", "n", *parts, F.posexplode("keys").alias("i", "word"), "head")
-    keyed = keyed.withColumn("place", F.col("head") + F.col("i")).drop("head", "i")
+    sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(WORDS)]
+    keyed = kept.select("vid", "n", "head", *sketch, F.posexplode("keys").alias("i", "word"))
+    keyed = keyed.withColumn("place", F.col("head") + F.col("i")).drop("i")
 
-    least = keyed.groupBy("word").agg(F.min("vid").alias("hub"), F.count("*").alias("rows"))
-    least = least.filter("rows > 1").select("word", "hub")
     linked = _may_link(num, den)
-    pair = lambda: [F.least("x.vid", "y.vid").alias("a"), F.greatest("x.vid", "y.vid").alias("b")]
-    hubs = keyed.join(least.select("word", F.col("hub").alias("vid")), ["word", "vid"], "left_semi")
-    stars = (keyed.alias("x").join(hubs.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.vid") != F.col("y.vid")) & linked)
-             .select(*pair()).distinct())
-    first = stored(_verify(stars, kept, num, den), "stars")
-
-    roots = components(first).withColumnsRenamed({"node": "vid"})
-    placed = stored(keyed.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid")), "placed")
-    # What is outside the class of its shingle's least set meets the whole shingle.
-    of_hub = placed.join(least.select("word", F.col("hub").alias("vid")), ["word", "vid"], "left_semi")
-    outside = placed.join(of_hub.select("word", F.col("root").alias("hub_root")), "word").filter("root <> hub_root")
-    other = (F.col("x.word") == F.col("y.word")) & (F.col("x.root") != F.col("y.root"))
-    # A pair of two outsiders comes up from either side and is taken once.
-    once = (F.col("y.root") == F.col("x.hub_root")) | (F.col("x.vid") < F.col("y.vid"))
-    crossing = outside.alias("x").join(placed.alias("y"), other & once & linked).select(*pair()).distinct()
-    # The pairs that stars compared are not compared again.
-    crossing = crossing.join(stars, ["a", "b"], "left_anti")
-    second = _verify(crossing, kept, num, den)
-
-    roots = components(first.unionByName(second)).withColumnsRenamed({"node": "vid"})
+    pair = [F.least("x.vid", "y.vid").alias("a"), F.greatest("x.vid", "y.vid").alias("b")]
+    links, compared, roots = None, None, None
+    for round_ in range(ROUNDS):
+        open_ = stored(_open(keyed, roots), "open")
+        # Hubs of a shingle: the sets that are least under a few hashes, the same for most shingles of a group of copies.
+        order = lambda c, k: F.xxhash64(c, F.lit(HUBS * round_ + k))
+        hubs = open_.groupBy("word").agg(F.array(*[F.min_by("vid", order("vid", k)) for k in range(HUBS)]).alias("vid"))
+        hubs = open_.join(hubs.select("word", F.explode(F.array_distinct("vid")).alias("vid")), ["word", "vid"], "left_semi")
+        near = open_.alias("x").join(hubs.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.root") != F.col("y.root")) & linked)
+        near = near.select(F.col("x.vid").alias("vid"), F.col("y.vid").alias("hub")).distinct()
+        near = spread.top_per_group(near, ["vid"], [order("hub", 0), F.col("hub")], HUBS)
+        pairs = near.select(F.least("vid", "hub").alias("a"), F.greatest("vid", "hub").alias("b")).distinct()
+        pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        found = stored(_verify(pairs, kept, num, den), "links")
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links).withColumnsRenamed({"node": "vid"})
+    # What is still apart and shares a prefix shingle is compared, pair by pair.
+    open_ = stored(_open(keyed, roots), "open")
+    apart = (F.col("x.word") == F.col("y.word")) & (F.col("x.root") < F.col("y.root"))
+    crossing = open_.alias("x").join(open_.alias("y"), apart & linked).select(*pair).distinct()
+    last = _verify(crossing.join(compared, ["a", "b"], "left_anti"), kept, num, den)
+    roots = components(links.unionByName(last)).withColumnsRenamed({"node": "vid"})
     return _labelled(table, roots, key)
 
 
+def _open(keyed: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Prefix rows with the class of their set, for shingles that still lie in several classes."""
+    if roots is None:
+        placed = keyed.withColumn("root", F.col("vid"))
+    else:
+        placed = keyed.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    several = placed.groupBy("word").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return placed.join(several.select("word"), "word", "left_semi")
+
+
 def _labelled(table: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """Every document with the least key of its class; classes of one set are labelled by that set's rows."""
     rows = table.select("doc_id", "vid", "n")

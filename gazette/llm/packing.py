@@ -35,7 +35,7 @@ def _tokenize(path: str, end: int, narrow: bool):
     def run(batches):
         encoder, part, row, sent = Encoder(path), TaskContext.get().partitionId(), 0, {}
         for batch in batches:
-            for at, texts in pieces_of(batch.column(1), 4 << 20, 1 << 16):
+            for at, texts in pieces_of(batch.column(1), 8 << 20, 1 << 16):
                 flat, lengths = encoder.ids(texts)
                 if narrow and len(flat) and int(flat.max()) > 0xFFFF:
                     raise ValueError("the vocabulary has ids above 65535; pack with wide ids")
@@ -52,6 +52,7 @@ def _tokenize(path: str, end: int, narrow: bool):
                     pa.array(lengths + 1), pa.array([flat[cuts[i]:cuts[i + 1]].tobytes() + tail for i in range(len(texts))], pa.binary()),
                 ], ["part", "row", "doc", "queue", "local", "doc_tokens", "ids"])
                 row += len(texts)
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -60,17 +61,21 @@ def _cut(narrow: bool):
     """The ids of every piece, from the ids of its document."""
     kind = "<u2" if narrow else "<u4"
 
+    names = ["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "round"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * 4
+
     def run(batches):
         for batch in batches:
-            columns = [[] for _ in range(8)]
-            for doc, total, ids, pieces in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(ids, kind)
-                for p in sorted(pieces, key=lambda p: p["start"]):
-                    part = ids[p["start"]:p["start"] + p["length"]].astype("<u4").tobytes()
-                    for column, value in zip(columns, (doc, p["start"], p["length"], part, total, p["sequence_id"], p["offset"], p["round"])):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary()] + [pa.int64()] * 4)],
-                                             ["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "round"])
+            for at in range(0, batch.num_rows, 1024):
+                columns = [[] for _ in names]
+                docs, totals, every, places = (c.slice(at, 1024) for c in batch.columns)
+                for doc, total, ids, pieces in zip(docs.to_pylist(), totals.to_pylist(), every, places.to_pylist()):
+                    ids = np.frombuffer(ids.as_buffer(), kind)
+                    for p in sorted(pieces, key=lambda p: p["start"]):
+                        part = ids[p["start"]:p["start"] + p["length"]].astype("<u4").tobytes()
+                        for column, value in zip(columns, (doc, p["start"], p["length"], part, total, p["sequence_id"], p["offset"], p["round"])):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return run
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, decontaminate, embeddings, jaccard, lm, packing, warc
+from gazette.llm import chat, decontaminate, embeddings, jaccard, lm, packing, toxicity, warc
 from gazette.plans.registry import Query
 from gazette.session import fresh_path, stored, table
 
@@ -171,3 +171,20 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     made = lm.scores(docs, target)
     rounded = [F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")]
     return made.select("doc_id", "n_tokens", *rounded)
+
+
+def apart(key: str, parts: int, held: int):
+    """Whether a key is held out: crc32 of its text modulo `parts`."""
+    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts)) == held
+
+
+def toxic_scores(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter(~apart("doc_id", 5, 0))
+    return toxicity.scored(docs, labels)
+
+
+@query("op5_clause_grammar_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    made = toxic_scores(spark, table(spark, folder, "documents").select("doc_id", "text"), folder)
+    return made.select("doc_id", F.coalesce(apart("doc_id", 5, 0), F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 
 #: White space of any kind; a single space between other characters is where a byte-level vocabulary starts a word.
 _SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+#: Words that are encoded as one text.
+RUN = 4096
 _JOINED = f" {_SPACE}|{_SPACE} |^ | $"
 
 
@@ -15,71 +17,72 @@ class Encoder:
     """Ids of texts, with every distinct word of a batch encoded once.
 
     A byte-level vocabulary never joins characters across the start of a space that stands alone, so the ids of a text
-    are the ids of its parts at such spaces, one after the other. A text with other runs of white space beside a
-    space is encoded as a whole. The ids of up to `keep` words are remembered between batches.
+    are the ids of its parts at such spaces, one after the other. A text with other white space beside a space is
+    encoded as a whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str):
+        import os
+
         from tokenizers import Tokenizer
 
+        # Spark runs a task per core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep = keep
-        self._forget()
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.spaced[number] = token.startswith("\u0120")
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.size = np.empty(1 << 16, np.uint32), 0
-        self.first = np.zeros(1, np.int64)
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that follow a space, and their number for each word.
 
-    def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        for w in words:
-            self.known[w] = len(self.known)
-        more = np.fromiter((i for ids in found for i in ids), np.uint32)
-        while self.size + len(more) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.size:self.size + len(more)] = more
-        ends = self.size + np.cumsum([len(ids) for ids in found], dtype=np.int64)
-        self.first = np.concatenate([self.first, ends])
-        self.size += len(more)
+        Many are encoded as one text: no other id begins with a space, so those that do tell where a word begins.
+        """
+        found = []
+        for at in range(0, len(words), RUN):
+            text = " " + " ".join(words.slice(at, RUN).to_pylist())
+            found.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        flat = np.concatenate([np.empty(0, np.uint32), *found])
+        return flat, np.diff(np.append(np.flatnonzero(self.spaced[flat]), len(flat)))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and their number for each text; a null text has none."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         texts = texts.cast(pa.large_string()).fill_null("")
         whole = np.asarray(pc.match_substring_regex(texts, _JOINED).cast(pa.int8())).astype(bool)
         parts = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
-        count = np.asarray(pc.list_value_length(parts)).astype(np.int64)
+        heads = np.cumsum(np.asarray(pc.list_value_length(parts)).astype(np.int64))
+        heads = np.concatenate([[0], heads[:-1]])
         coded = parts.flatten().dictionary_encode()
-        names, place = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-        heads = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
-        # The first part of a text has no space before it; the others have.
-        place = place + len(names)
-        place[heads] -= len(names)
-        used = np.zeros(2 * len(names), bool)
+        place = np.asarray(coded.indices).astype(np.int64)
+        # The first part of a text has no space before it and gets ids of its own, behind those of the words.
+        first = coded.dictionary.take(pa.array(place[heads]))
+        place[heads] = len(coded.dictionary) + np.arange(len(heads))
+        used = np.zeros(len(coded.dictionary) + len(heads), bool)
         used[place] = True
-        at = np.flatnonzero(used)
-        wanted = [names[i] if i < len(names) else " " + names[i - len(names)] for i in at]
-        if len(self.known) + len(wanted) > self.keep:
-            self._forget()
-        fresh = [w for w in wanted if w not in self.known]
-        if fresh:
-            self._learn(fresh)
-        row = np.zeros(2 * len(names), np.int64)
-        row[at] = [self.known[w] for w in wanted]
-        row = row[place]
-        size = self.first[row + 1] - self.first[row]
+        words = coded.dictionary.filter(pa.array(used[:len(coded.dictionary)]))
+        (flat, sizes), (more, tops) = self._words(words), self._each(first.to_pylist())
+        place = (np.cumsum(used) - 1)[place]
+        table, sizes = np.concatenate([flat, more]), np.concatenate([sizes, tops])
+        begin = np.cumsum(sizes) - sizes
+        size = sizes[place]
         ends = np.cumsum(size)
-        flat = self.flat[np.repeat(self.first[row] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        lengths = np.add.reduceat(size, heads) if len(heads) else np.empty(0, np.int64)
+        out = table[np.repeat(begin[place] - ends + size, size) + np.arange(ends[-1])]
+        lengths = np.add.reduceat(size, heads)
         if whole.any():
-            cuts, out = np.concatenate([[0], np.cumsum(lengths)]), []
-            for i, text in enumerate(texts):
+            cuts, pieces = np.concatenate([[0], np.cumsum(lengths)]), []
+            for i in range(len(texts)):
                 if whole[i]:
-                    ids = np.array(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, np.uint32)
-                    lengths[i] = len(ids)
-                    out.append(ids)
+                    ids, n = self._each([texts[i].as_py()])
+                    lengths[i] = n[0]
                 else:
-                    out.append(flat[cuts[i]:cuts[i + 1]])
-            flat = np.concatenate(out)
-        return flat, lengths
+                    ids = out[cuts[i]:cuts[i + 1]]
+                pieces.append(ids)
+            out = np.concatenate(pieces)
+        return out, lengths
