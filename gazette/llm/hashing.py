@@ -166,3 +166,8 @@ def pieces_of(texts: pa.Array, limit: int = BLOCK, rows: int = BATCH_DOCS - 1):
         stop = max(stop, at + 1)
         yield at, texts.slice(at, stop - at)
         at = stop
+
+
+def spaces() -> np.ndarray:
+    """Which bytes lie between words."""
+    return _table("space", 256)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, decontaminate, embeddings, jaccard, lm, packing, toxicity, warc
+from gazette.llm import chat, decontaminate, embeddings, jaccard, lm, packing, quality, toxicity, warc
 from gazette.plans.registry import Query
 from gazette.session import fresh_path, stored, table
 
@@ -188,3 +188,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     made = toxic_scores(spark, table(spark, folder, "documents").select("doc_id", "text"), folder)
     return made.select("doc_id", F.coalesce(apart("doc_id", 5, 0), F.lit(False)).alias("held_out"), "score",
                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op2_rule_ensemble_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select("doc_id", "quality").filter(~apart("doc_id", 4, 2))
+    made = quality.scored(table(spark, folder, "documents").select("doc_id", "text"), labels)
+    return made.select("doc_id", F.coalesce(apart("doc_id", 4, 2), F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= 0.7).cast("int").alias("predicted"))
