@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, decontaminate, embeddings, jaccard, lm, packing, quality, toxicity, warc
+from gazette.llm import chat, decontaminate, embeddings, jaccard, lm, packing, quality, secret_scan, toxicity, warc
 from gazette.plans.registry import Query
 from gazette.session import fresh_path, stored, table
 
@@ -196,3 +196,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     made = quality.scored(table(spark, folder, "documents").select("doc_id", "text"), labels)
     return made.select("doc_id", F.coalesce(apart("doc_id", 4, 2), F.lit(False)).alias("held_out"), "score",
                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op1_random_forest_secrets")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    made = secret_scan.scan(table(spark, folder, "documents"), secret_scan.train(spark), path="source")
+    return made.select("doc_id", "start", "length", "kind", F.sha2("secret", 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
