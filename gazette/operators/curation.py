@@ -10,7 +10,8 @@ from gazette.functions import dates, keywords
 from gazette.functions.common import text
 from gazette.operators import spread
 
-STRATA_LIMIT = 100_000
+#: Rows of a stratum that are ranked together.
+RANKED_TOGETHER = 100_000
 
 
 def stratum(update_type: Column, place: Column, day: Column) -> Column:
@@ -20,31 +21,37 @@ def stratum(update_type: Column, place: Column, day: Column) -> Column:
     return F.concat_ws("|", F.coalesce(F.nullif(update_type, F.lit("")), F.lit("unknown")), bucket, month)
 
 
-def quotas(sizes: dict[str, int], prefix: int) -> list[tuple[str, int, int]]:
-    """(stratum, rank in it, position) of a prefix; each step serves the stratum furthest behind its share."""
-    total, taken, out = sum(sizes.values()), dict.fromkeys(sorted(sizes), 0), []
-    for position in range(1, min(prefix, total) + 1):
-        behind = lambda k: position * sizes[k] / total - taken[k]
-        chosen = max((k for k in taken if taken[k] < sizes[k]), key=behind)
-        taken[chosen] += 1
-        out.append((chosen, taken[chosen], position))
-    return out
+def _fraction(*parts: Column) -> Column:
+    """A number in [0, 1) from the MD5 of the parts; 52 bits, which any SQL engine can repeat."""
+    digits = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(16**13))
 
 
-def stratified_prefix(rows: DataFrame, key: str, strata: str, prefix: int, seed: int = 42) -> DataFrame:
-    """The first rows of an order whose every prefix keeps the strata's shares.
+def stratified_order(rows: DataFrame, key: str, strata: str, seed: int = 42) -> DataFrame:
+    """Rows with `place`, a number by which every prefix of the order holds each stratum in its share.
 
-    Only the sizes of the strata reach the driver, whose number is checked. Inside a stratum a seeded hash
-    orders the rows, and at most its quota of rows is kept.
+    Inside a stratum of n rows a seeded hash ranks the rows, and rank r is placed at (r - u) / n with an offset u in (0, 1]
+    of the stratum: a prefix up to x then holds n * x rows of it, give or take one. Ranks are counted in two
+    levels: the hash cuts a stratum into as many slices as its size asks for, so no task ranks a whole large stratum.
     """
-    counted = rows.groupBy(strata).agg(F.count("*").alias("n"))
-    if not spread.rows_at_most(counted, STRATA_LIMIT):
-        raise ValueError(f"more than {STRATA_LIMIT} strata")
-    plan = quotas({r[0]: r[1] for r in counted.collect()}, prefix)
-    schedule = rows.sparkSession.createDataFrame(plan, f"{strata} STRING, rank INT, position INT")
-    widest = max((rank for _, rank, _ in plan), default=0)
-    ranked = spread.top_per_group(rows, [strata], [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], widest, "rank")
-    return ranked.join(schedule, [strata, "rank"])
+    sizes = rows.groupBy(strata).agg(F.count("*").alias("_size"))
+    slices = F.ceil(F.col("_size") / RANKED_TOGETHER)
+    hashed = rows.withColumn("_hash", _fraction(F.lit(str(seed)), F.col(key).cast("string"))).join(sizes, strata)
+    hashed = hashed.withColumn("_slice", F.floor(F.col("_hash") * slices).cast("bigint"))
+    before = Window.partitionBy(strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy(strata, "_slice").agg(F.count("*").alias("_n"))
+    counts = counts.select(strata, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(strata, "_slice").orderBy("_hash", key))
+    ranked = hashed.withColumn("_rank", inside).join(counts, [strata, "_slice"])
+    offset = 1 - _fraction(F.lit(str(seed)), F.lit("stratum"), F.col(strata))
+    place = (F.col("_before") + F.col("_rank") - offset) / F.col("_size")
+    return ranked.withColumn("place", place).select(*rows.columns, "place")
+
+
+def stratified_prefix(rows: DataFrame, key: str, strata: str, prefix: int, seed: int = 42) -> DataFrame:
+    """The first rows of an order whose every prefix keeps the strata's shares, numbered from 1."""
+    ordered = stratified_order(rows, key, strata, seed)
+    return spread.ranked_limit(ordered, [F.col("place"), F.col(strata), F.col(key)], prefix).drop("place")
 
 
 def sweep(ordered: DataFrame, order: list[Column], target: int, cap: int) -> DataFrame:

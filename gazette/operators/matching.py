@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from gazette import vocab
 from gazette.functions import dates, scores
 from gazette.functions.common import text
-from gazette.operators import spread
-
-# Contract entities that may be broadcast, about 50 MB with their pieces.
-CONTRACT_ENTITY_LIMIT = 100_000
 
 
 def normal(entity: Column) -> Column:
@@ -80,13 +76,10 @@ def _probe(rows: DataFrame, pieces: DataFrame) -> DataFrame:
 def match_entities(rows: DataFrame, contracts: DataFrame, *columns: str) -> DataFrame:
     """Rows with an `entity` (normal form) and the contracts whose entities match it; pairs may repeat.
 
-    A contract table within the limit is broadcast, so rows are matched where they are read. A larger one
-    meets the distinct entity texts in a shuffle join, and rows take their contracts from that result.
+    The distinct entity texts meet the contracts' pieces, and rows take their contracts from that result. Which side
+    of a join is broadcast, and which heavy key is split, is left to adaptive execution, which knows the sizes.
     """
-    mine = contract_entities(contracts, *columns)
-    pieces = _contract_pieces(mine)
-    if spread.rows_at_most(mine, CONTRACT_ENTITY_LIMIT):
-        return _probe(rows, F.broadcast(pieces))
+    pieces = _contract_pieces(contract_entities(contracts, *columns))
     links = _probe(rows.select("entity").distinct(), pieces).distinct()
     return rows.join(links, "entity")
 

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from gazette.functions import text
 from gazette.functions.common import text as filled
 from gazette.operators import spread
-from gazette.session import stored
-
-# Terms that may be broadcast, about 60 MB.
-TERM_LIMIT = 1_000_000
 
 
 def term_counts(docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -36,31 +32,24 @@ def term_table(counts: DataFrame, docs: DataFrame, query: DataFrame) -> DataFram
     return merged.select("term", "rows", "query_tf", (F.log((total + 1) / (seen + 1)) + 1.0).alias("idf"))
 
 
-def _weigh(counts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    """TF-IDF weights. A vocabulary within the limit is broadcast. With a larger one the common words, which
-    are in most documents, meet their term row through a bounded broadcast and the others in a shuffle join."""
-    if spread.rows_at_most(terms, TERM_LIMIT):
-        joined = counts.join(F.broadcast(terms), "term")
-    else:
-        joined = spread.hot_key_join(counts, terms.drop("rows"), "term", terms.select("term", "rows"))
+def weights(docs: DataFrame, key: str, body: str, query: DataFrame) -> DataFrame:
+    """TF-IDF weight of each term in each document, by a plain join; a term of most documents is split by adaptive execution."""
+    counts = term_counts(docs, key, body)
+    joined = counts.join(term_table(counts, docs, query), "term")
     return joined.select(key, "term", (F.col("n") / F.col("length") * F.col("idf")).alias("weight"),
                          (F.col("query_tf") * F.col("idf")).alias("query_weight"))
 
 
-def weights(docs: DataFrame, key: str, body: str, query: DataFrame) -> DataFrame:
-    """TF-IDF weight of each term in each document. The texts are read once; their counts are stored."""
-    counts = stored(term_counts(docs, key, body), "terms")
-    return _weigh(counts, term_table(counts, docs, query), key)
-
-
 def cosine_to_query(docs: DataFrame, key: str, body: str, query: DataFrame) -> DataFrame:
-    """Cosine of each document with a shared word to the query; documents without one would be zero."""
-    counts = stored(term_counts(docs, key, body), "terms")
-    terms = term_table(counts, docs, query)
+    """Cosine of each document with a shared word to the query; documents without one would be zero.
+
+    One sum per document gives its product with the query and its norm.
+    """
+    per = weights(docs, key, body, query).groupBy(key).agg(
+        F.sum(F.col("weight") * F.col("query_weight")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    terms = term_table(term_counts(docs, key, body), docs, query)
     q = F.col("query_tf") * F.col("idf")
     query_norm = terms.filter("query_tf IS NOT NULL").agg(F.sqrt(F.sum(q * q))).scalar()
-    per = _weigh(counts, terms, key).groupBy(key).agg(
-        F.sum(F.col("weight") * F.col("query_weight")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return per.filter("dot IS NOT NULL").select(key, (F.col("dot") / (F.col("norm") * query_norm)).alias("score"))
 
 

@@ -8,28 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rows_at_most(df: DataFrame, limit: int) -> bool:
-    """Whether a frame has at most `limit` rows; stops reading once it has more."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def hot_key_join(facts: DataFrame, dim: DataFrame, key: str, sizes: DataFrame | None = None,
-                 share: float = 0.001) -> DataFrame:
-    """Inner join of facts to a dimension that is unique on the key.
-
-    A key with at least `share` of all fact rows is hot. There can be at most 1/share such keys, so their
-    dimension rows are broadcast under that bound; all other keys meet in a shuffle join. `sizes` (key, rows)
-    saves a count where the caller has one.
-    """
-    if sizes is None:
-        sizes = facts.groupBy(key).agg(F.count("*").alias("rows"))
-    total = sizes.agg(F.sum("rows")).scalar()
-    hot = sizes.filter(F.col("rows") >= F.greatest(total * F.lit(share), F.lit(2.0))).select(key)
-    hot_dim = F.broadcast(dim.join(F.broadcast(hot), key, "left_semi"))
-    cold = facts.join(F.broadcast(hot), key, "left_anti")
-    return facts.join(hot_dim, key).unionByName(cold.join(dim, key))
-
-
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first k rows of each group.
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,60 +129,6 @@ def cumulative_state(edits: DataFrame, baseline: DataFrame, releases: DataFrame)
     return joined.select("path", "release", state.alias("state"))
 
 
-def similarity(before: Column, after: Column) -> Column:
-    """Similarity of two texts from 0 to 1, over the whole texts; Arrow batches, one pair at a time."""
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-    return ratio(before, after)
-
-
-def _for_python(changes: DataFrame, key: str) -> DataFrame:
-    """Changes dealt out over as many tasks as a shuffle has. Comparing texts costs far more than its input's
-    size suggests, by which adaptive execution would merge the partitions."""
-    tasks = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return changes.repartition(tasks, key)
-
-
-def section_similarity(changes: DataFrame, key: str) -> DataFrame:
-    """Similarity of modified sections and how to show them."""
-    rated = _for_python(changes, key).withColumn("similarity", similarity(F.col("before"), F.col("after")))
-    mode = F.when(F.col("similarity") >= vocab.REDLINE_FLOOR, "redline").otherwise("split")
-    return rated.withColumn("mode", mode)
-
-
-def _line_rows(before: str, after: str, context: int) -> Iterator[tuple[str, str]]:
-    """Diff lines; a long unchanged run keeps `context` lines at its inner ends and a note on the rest."""
-    marks = {"  ": "context", "- ": "removed", "+ ": "added"}
-    diff = [(marks[l[:2]], l[2:]) for l in difflib.ndiff(before.splitlines(), after.splitlines()) if l[:2] in marks]
-    edges = [i for i in range(len(diff) + 1) if i in (0, len(diff)) or (diff[i][0] == "context") != (diff[i - 1][0] == "context")]
-    for start, end in zip(edges, edges[1:]):
-        run = diff[start:end]
-        if run[0][0] != "context" or len(run) <= 2 * context:
-            yield from run
-            continue
-        head, tail = (0 if start == 0 else context), (0 if end == len(diff) else context)
-        yield from run[:head]
-        yield "header", f"  … {len(run) - head - tail} unchanged lines …"
-        yield from run[len(run) - tail:]
-
-
-def line_diff(changes: DataFrame, key: str, context: int = 3) -> DataFrame:
-    """Diff lines of each pair of texts as rows (key, position, kind, content)."""
-    schema = f"{changes.select(key).schema[0].name} {changes.schema[key].dataType.simpleString()}, position INT, kind STRING, content STRING"
-
-    def rows(batches):
-        for batch in batches:
-            for k, a, b in zip(batch[key], batch["before"], batch["after"]):
-                found = list(_line_rows(a, b, context))
-                yield pd.DataFrame({key: [k] * len(found), "position": range(1, len(found) + 1),
-                                    "kind": [r[0] for r in found], "content": [r[1] for r in found]})
-
-    return _for_python(changes.select(key, "before", "after"), key).mapInPandas(rows, schema)
-
-
 def split_documents(docs: DataFrame, key: str, body: str) -> DataFrame:
     """Sections of each text as rows."""
     found = text.sections(text.strip_furniture(F.col(body)))

@@ -182,17 +182,3 @@ def section_first_page(spark, folder):
     """Documents as the pages of the book they come from."""
     pages = numbered(spark, folder).withColumnRenamed("doc_id", "page")
     return versions.section_first_page(pages, "source")
-
-
-def modified(spark, folder):
-    return changes(spark, folder, texts=True).filter("kind = 'modified'")
-
-
-@query("section_similarity")
-def section_similarity(spark, folder):
-    return versions.section_similarity(modified(spark, folder), "change_id").select("change_id", F.round("similarity", 4).alias("similarity"), "mode")
-
-
-@query("line_diff")
-def line_diff(spark, folder):
-    return versions.line_diff(modified(spark, folder), "change_id")

@@ -376,7 +376,15 @@ def sweep_until(spark, folder):
     return curation.sweep(ordered, [F.col("probe_id")], 200, 900).select("probe_id", "position", "survivors", "stop_reason")
 
 
-@query("stratified_prefix")
+@query("stratified_prefix", oracle("""
+    WITH s AS (SELECT record_id, coalesce(nullif(update_type, ''), 'unknown') || '|'
+                      || CASE WHEN country IN ('US', 'FR', 'CA', 'CN', 'AU', 'DE', 'GB', 'IT', 'CH', 'NL') THEN country ELSE 'other' END || '|'
+                      || CASE WHEN length(CAST(pub_date AS VARCHAR)) >= 7 THEN substr(CAST(pub_date AS VARCHAR), 1, 7) ELSE 'unknown' END AS stratum FROM records),
+    h AS (SELECT *, CAST('0x' || substr(md5('42|' || record_id), 1, 13) AS BIGINT) / 16.0::DOUBLE ** 13 AS hash,
+                 1 - CAST('0x' || substr(md5('42|stratum|' || stratum), 1, 13) AS BIGINT) / 16.0::DOUBLE ** 13 AS u FROM s),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY hash, record_id) - u) / count(*) OVER (PARTITION BY stratum) AS place FROM h)
+    SELECT record_id, stratum, CAST(row_number() OVER (ORDER BY place, stratum, record_id) AS INT) AS position FROM p
+    QUALIFY position <= 200""", "records"))
 def stratified_prefix(spark, folder):
     """A proportional sample of the records; strata are type, place and month."""
     rows = feed(spark, folder).select("record_id", curation.stratum(

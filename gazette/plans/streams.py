@@ -13,27 +13,37 @@ SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, valu
 
 
 def landing(spark, folder):
-    """Events in a few files by time, and the large ones once more in later files."""
+    """Events in a few files by time, and the large ones once more in later files.
+
+    The chunks land one after the other, so the order of arrival is that of the events and not of the tasks that write.
+    """
     path = fresh_path(spark, "landing")
     events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    events.repartitionByRange(4, "event_id").write.parquet(path)
-    events.filter("value > 10").repartitionByRange(2, "event_id").write.mode("append").parquet(path)
+    chunk = F.expr(f"least(3, event_id * 4 div {_last(events)})")
+    for number in range(4):
+        events.filter(chunk == number).coalesce(1).write.mode("append").parquet(path)
+    events.filter("value > 10").coalesce(1).write.mode("append").parquet(path)
     return ingest.plausible(ingest.landed(spark, path, SCHEMA, per_batch=2), "ts", "2024-01-01", "2024-02-01")
 
 
+def _last(events):
+    """One more than the greatest event id."""
+    return (events.agg(F.max("event_id")).first()[0] or 0) + 1
+
+
 def once(spark, folder):
     return ingest.dedupe(landing(spark, folder), "event_id", "ts", LATE)
 
 
 @query("stream_dedupe", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_dedupe(spark, folder):
-    out = ingest.run(once(spark, folder).select("event_id", "user_id", "event_type", "value"), "deduped")
+    out = ingest.run(once(spark, folder).select("event_id", "user_id", "event_type", "value"), fresh_path(spark, "deduped"))
     return ingest.result(spark, out, "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE")
 
 
 def _windows(spark, folder, length, slide=None):
     counts = ingest.window_counts(landing(spark, folder), "ts", ["event_type"], LATE, length, slide)
-    out = ingest.run(counts, "windows", mode="update")
+    out = ingest.run(counts, fresh_path(spark, "windows"), mode="update")
     rows = ingest.latest(spark, out, "start TIMESTAMP, event_type STRING, n BIGINT", ["start", "event_type"], ["n"])
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
@@ -59,6 +69,6 @@ def stream_sliding(spark, folder):
     SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id""")
 def stream_upsert(spark, folder):
     """The first event of each user that arrives, inserted once."""
-    step = ingest.insert_new("user_id", [F.col("event_id")], "user_id BIGINT, event_id BIGINT")
-    out = ingest.run(landing(spark, folder).select("user_id", "event_id"), "inserted", each=step)
+    first = ingest.insert_new(landing(spark, folder).select("user_id", "event_id"), "user_id", "event_id")
+    out = ingest.run(first, fresh_path(spark, "inserted"))
     return ingest.result(spark, out, "user_id BIGINT, event_id BIGINT")

@@ -32,14 +32,23 @@ def aliases(entities: DataFrame) -> DataFrame:
     return entities.select("canonical_name", F.explode(names).alias("name")).filter("name <> ''")
 
 
+def newest_folder(spark: SparkSession, folder: str, name: str = "snapshot") -> str | None:
+    """The greatest value among the `name=value` subfolders, from the listing of the folder alone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [s.getPath().getName() for s in listed if s.isDirectory()]
+    return max((n.split("=", 1)[1] for n in names if n.startswith(f"{name}=")), default=None)
+
+
 def read_latest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The newest snapshot of a folder with one `snapshot=...` subfolder each; older ones are not read."""
+    """The newest snapshot of a folder with one `snapshot=...` subfolder each; no file of an older one is opened."""
+    newest = newest_folder(spark, folder)
     reader = spark.read.schema(f"{schema}, snapshot STRING").option("basePath", folder)
-    return latest_snapshot(reader.json(folder))
+    return reader.json(f"{folder}/snapshot={newest}") if newest is not None else spark.createDataFrame([], f"{schema}, snapshot STRING")
 
 
 def latest_snapshot(df: DataFrame) -> DataFrame:
-    """Rows of the greatest snapshot; on a partition column the filter prunes folders."""
+    """Rows of the greatest snapshot."""
     return df.filter(F.col("snapshot") == df.agg(F.max("snapshot")).scalar())
 
 

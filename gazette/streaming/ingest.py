@@ -1,17 +1,18 @@
 """Incremental ingest, windowed counts and keyed inserts.
 
-Every query reads landed files, runs until they are used up, and keeps its progress in the shared folder, so a
-restart goes on where it stopped. Output is one folder per batch, which a repeated batch replaces.
+Every query reads landed files, runs until they are used up, and keeps its progress beside its output, so a run that
+is given the same output folder goes on where the last one stopped. Output is one folder per batch, which a repeated batch
+replaces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from gazette.session import fresh_path
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def landed(spark: SparkSession, path: str, schema, per_batch: int = 4, fmt: str = "parquet") -> DataFrame:
@@ -24,6 +25,11 @@ def plausible(stream: DataFrame, column: str, earliest: str, latest: str) -> Dat
     return stream.filter(F.col(column).between(F.lit(earliest), F.lit(latest)))
 
 
+def implausible(stream: DataFrame, column: str, earliest: str, latest: str) -> DataFrame:
+    """The rows that `plausible` leaves out, those without a time included, to be kept and counted on their own."""
+    return stream.filter(~F.coalesce(F.col(column).between(F.lit(earliest), F.lit(latest)), F.lit(False)))
+
+
 def dedupe(stream: DataFrame, key: str, time: str, late: str) -> DataFrame:
     """First row per key; repeats are remembered for as long as late data may arrive."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
@@ -36,19 +42,13 @@ def window_counts(stream: DataFrame, time: str, keys: list[str], late: str, leng
             .select(F.col("w.start").alias("start"), *keys, "n"))
 
 
-def run(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int, str], DataFrame] | None = None) -> str:
-    """Run a stream over everything that has landed and return the folder of its output.
-
-    `each` may change a batch; it gets the batch, its number and the output folder.
-    """
-    spark = stream.sparkSession
-    out = fresh_path(spark, name)
+def run(stream: DataFrame, out: str, mode: str = "append") -> str:
+    """Run a stream over everything that has landed since the last run into this folder; returns the folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = each(batch, number, out) if each else batch
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    done = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}-progress")
+    done = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out.rstrip('/')}-progress")
             .trigger(availableNow=True).start())
     done.awaitTermination()
     return out
@@ -65,15 +65,22 @@ def latest(spark: SparkSession, path: str, schema, keys: list[str], values: list
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
 
 
-def insert_new(key: str, order: list[Column], schema) -> Callable[[DataFrame, int, str], DataFrame]:
-    """Batch step that keeps the first row of each key that no earlier batch has kept."""
-
-    def each(batch: DataFrame, number: int, out: str) -> DataFrame:
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("_r")).select("_r.*")
-        if number == 0:
-            return first
-        earlier = [f"{out}/batch={i}" for i in range(number)]
-        kept = batch.sparkSession.read.schema(schema).parquet(*earlier).select(key)
-        return first.join(kept, key, "left_anti")
+def insert_new(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key, once: the least by `order` of the batch in which the key first arrives.
 
-    return each
+    The keys that were inserted are the state of the query, so no batch reads what earlier ones have written.
+    """
+    names = stream.columns
+
+    def first(_, frames, state: GroupState):
+        best = None
+        for frame in frames:
+            row = frame.sort_values(order, kind="stable").head(1)
+            best = row if best is None or row[order].iloc[0] < best[order].iloc[0] else best
+        if not state.exists and best is not None:
+            state.update((True,))
+            yield best[names]
+        else:
+            yield pd.DataFrame({n: pd.Series([], dtype="object") for n in names})
+
+    return stream.groupBy(key).applyInPandasWithState(first, stream.schema, "seen BOOLEAN", "append", GroupStateTimeout.NoTimeout)

@@ -51,16 +51,11 @@ TEXTS = st.text(alphabet="ab c&.(é-", min_size=0, max_size=9)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(TEXTS, min_size=1, max_size=25), st.lists(TEXTS, min_size=1, max_size=25), st.booleans())
-def test_join_equals_nested_loop(spark, records, mine, theirs, small):
-    old = matching.CONTRACT_ENTITY_LIMIT
-    matching.CONTRACT_ENTITY_LIMIT = 1000 if small else 0
-    try:
-        book = contracts(spark, *[(f"c{i}", [e], "active", "") for i, e in enumerate(mine)])
-        rows = records(*[make_record(record_id=f"r{i}", entities=[e]) for i, e in enumerate(theirs)])
-        found = {(r.contract_id, r.record_id) for r in matching.entity_join(book, rows).collect()}
-    finally:
-        matching.CONTRACT_ENTITY_LIMIT = old
+@given(st.lists(TEXTS, min_size=1, max_size=25), st.lists(TEXTS, min_size=1, max_size=25))
+def test_join_equals_nested_loop(spark, records, mine, theirs):
+    book = contracts(spark, *[(f"c{i}", [e], "active", "") for i, e in enumerate(mine)])
+    rows = records(*[make_record(record_id=f"r{i}", entities=[e]) for i, e in enumerate(theirs)])
+    found = {(r.contract_id, r.record_id) for r in matching.entity_join(book, rows).collect()}
     assert found == {(f"c{i}", f"r{j}") for i, a in enumerate(mine) for j, b in enumerate(theirs) if whole_word(a, b)}
 
 

@@ -61,13 +61,6 @@ def test_next_in_order_across_periods(spark):
     assert got == [("a", 0, 1), ("a", 1, 40), ("a", 40, 41), ("a", 41, 200), ("a", 200, None), ("b", 7, None)]
 
 
-def test_hot_key_join_is_a_plain_join(spark):
-    facts = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(100)], "k STRING, v INT")
-    dim = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 100, 2)], "k STRING, w INT")
-    rows = lambda df: sorted(tuple(r) for r in df.select("k", "v", "w").collect())
-    assert rows(spread.hot_key_join(facts, dim, "k", share=0.01)) == rows(facts.join(dim, "k"))
-
-
 def test_top_per_group_cuts_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
     top = spread.top_per_group(df, ["k"], [F.col("id").desc()], 3)
