@@ -65,7 +65,8 @@ def heat_delta(contracts: DataFrame, records: DataFrame, as_of: str, back: int =
     days = contract_days(contracts, records, until=as_of)
     per = (contracts.select("contract_id", "kind", now.alias("now")).join(days, "contract_id", "left")
            .groupBy("contract_id", "kind")
-           .agg(decayed_sum(F.col("now")).alias("heat"), decayed_sum(F.date_sub("now", back)).alias("heat_before")))
+           .agg(decayed_sum(F.col("now")).alias("heat"), decayed_sum(F.date_sub("now", back)).alias("heat_before"),
+                decayed_sum(today).alias("heat_today")))
     return per.withColumn("heat_delta", F.round(F.col("heat") - F.col("heat_before"), 2))
 
 
@@ -99,6 +100,13 @@ def peer_percentile(heats: DataFrame) -> DataFrame:
             .withColumn("tier", scores.heat_tier(F.col("heat"))))
 
 
+def heat_panel(contracts: DataFrame, records: DataFrame, as_of: str, back: int = 7) -> DataFrame:
+    """Heat, its change, its share among all contracts and its tier, from one match of contracts and records."""
+    both = heat_delta(contracts, records, as_of, back)
+    peers = peer_percentile(both.select("contract_id", F.col("heat_today").alias("heat")))
+    return both.select("contract_id", "heat_delta").join(peers, "contract_id")
+
+
 def sectioned(rows: DataFrame) -> DataFrame:
     """Dashboard order: active contracts by heat, then resolved ones by id, both downwards."""
     active = F.col("kind") == "active"

@@ -59,11 +59,13 @@ def next_catalyst(events: DataFrame, as_of: str) -> DataFrame:
                 .select("contract_id", "_n.*")
 
 
-def portfolio(contracts: DataFrame, heats: DataFrame, events: DataFrame, conditions: DataFrame, as_of: str,
-              days: int = 30) -> DataFrame:
-    """One row per active contract: heat, direction, counts, next catalyst, latest event.
+def portfolio(contracts: DataFrame, panel: DataFrame, events: DataFrame, conditions: DataFrame, as_of: str,
+              days: int = 30, positions: DataFrame | None = None) -> DataFrame:
+    """One row per active contract, hottest first: title, heat with tier, change and percentile, direction, counts, next
+    catalyst, latest event, position.
 
-    The events are read once: everything about them comes from one aggregate per contract and tag.
+    The events are read once: everything about them comes from one aggregate per contract and tag. `panel` has
+    contract_id, heat, heat_delta, percentile and tier; `positions` contract_id, side, size and entry_price.
     """
     up, down = F.col("direction") == "bullish", F.col("direction") == "bearish"
     recent = F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days)
@@ -71,7 +73,7 @@ def portfolio(contracts: DataFrame, heats: DataFrame, events: DataFrame, conditi
     per_tag = events.groupBy("contract_id", "tag").agg(
         F.count("*").alias("n"), F.count_if(up).alias("up"), F.count_if(down).alias("down"),
         F.count_if(up & recent).alias("recent_up"), F.count_if(down & recent).alias("recent_down"),
-        F.max(F.struct("day", (-F.col("seq")).alias("order"), "title")).alias("latest"), F.min(ahead).alias("catalyst_date"))
+        F.max(F.struct("day", (-F.col("seq")).alias("order"), "title", "direction", "magnitude")).alias("latest"), F.min(ahead).alias("catalyst_date"))
     wanted = conditions.select("contract_id", F.col("condition").alias("tag")).withColumn("direct", F.lit(True))
     marked = per_tag.join(wanted, ["contract_id", "tag"], "left")
     total = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
@@ -81,14 +83,22 @@ def portfolio(contracts: DataFrame, heats: DataFrame, events: DataFrame, conditi
         total(background, "up").alias("background_bullish"), total(background, "down").alias("background_bearish"),
         F.sum("n").alias("events"), F.sum("recent_up").alias("up"), F.sum("recent_down").alias("down"),
         F.max("latest").alias("latest"), F.min("catalyst_date").alias("catalyst_date"))
-    active = contracts.filter(F.col("kind") != "retrospective").select("contract_id", "platform")
-    rows = active.join(heats, "contract_id", "left").join(per, "contract_id", "left")
+    active = contracts.filter(F.col("kind") != "retrospective").select("contract_id", "platform", "title", "expires_at")
+    rows = active.join(panel, "contract_id", "left").join(per, "contract_id", "left")
+    if positions is None:
+        held = F.lit(None).cast("struct<side: string, size: double, entry_price: double>")
+    else:
+        rows = rows.join(positions.select("contract_id", F.struct("side", "size", "entry_price").alias("_held")), "contract_id", "left")
+        held = F.col("_held")
     counts = ["bullish", "bearish", "background_bullish", "background_bearish", "events"]
     return rows.select(
-        "contract_id", "platform", "heat", _direction(F.coalesce("up", F.lit(0)), F.coalesce("down", F.lit(0))).alias("net_direction"),
+        "contract_id", "platform", text(F.col("title")).alias("title"), text(F.col("expires_at")).alias("expires_at"), "heat",
+        F.coalesce("tier", F.lit("dormant")).alias("heat_tier"), F.coalesce("heat_delta", F.lit(0.0)).alias("heat_delta"),
+        F.coalesce("percentile", F.lit(0)).alias("peer_percentile"),
+        _direction(F.coalesce("up", F.lit(0)), F.coalesce("down", F.lit(0))).alias("net_direction"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("catalyst_date", F.lit("")).alias("catalyst_date"),
-        F.coalesce(F.col("latest.day").cast("string"), F.lit("")).alias("latest_day"),
-        F.coalesce("latest.title", F.lit("")).alias("latest_title"))
+        *[F.coalesce(F.col(f"latest.{c}").cast("string"), F.lit("")).alias(f"latest_{c}") for c in ("day", "title", "direction", "magnitude")],
+        held.alias("position")).orderBy(F.col("heat").desc(), "contract_id")
 
 
 def calendar_events(contracts: DataFrame, events: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gazette.operators import heat, matching, portfolio, ranking
-from gazette.plans.contracts import substantive
+from gazette.plans.contracts import _HEAT, substantive
 from gazette.plans.registry import query
 from gazette.plans.views import AS_OF, contracts, define, oracle, records
 from gazette.session import table
@@ -92,20 +92,33 @@ def next_catalyst(spark, folder):
     return portfolio.next_catalyst(picked(spark, folder), AS_OF)
 
 
-@query("portfolio", oracle("""
-    SELECT contract_id, platform, heat, net_direction, CAST(coalesce(b, 0) AS BIGINT) AS bullish, CAST(coalesce(d, 0) AS BIGINT) AS bearish,
+define("graded", "SELECT *, CASE WHEN score >= 6 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS magnitude FROM picked", "picked")
+
+
+@query("portfolio", oracle(f"""
+    SELECT contract_id, platform, title, expires_at, heat, tier AS heat_tier, heat_delta, percentile AS peer_percentile, net_direction, CAST(coalesce(b, 0) AS BIGINT) AS bullish, CAST(coalesce(d, 0) AS BIGINT) AS bearish,
            coalesce(bb, 0) AS background_bullish, coalesce(bd, 0) AS background_bearish, coalesce(n, 0) AS events,
-           coalesce(calendar_date, '') AS catalyst_date, coalesce(CAST(latest.day AS VARCHAR), '') AS latest_day, coalesce(latest.title, '') AS latest_title
-    FROM contracts JOIN heats USING (contract_id) JOIN directions USING (contract_id)
+           coalesce(calendar_date, '') AS catalyst_date, coalesce(CAST(latest.day AS VARCHAR), '') AS latest_day, coalesce(latest.title, '') AS latest_title,
+           coalesce(latest.direction, '') AS latest_direction, coalesce(latest.magnitude, '') AS latest_magnitude,
+           CASE WHEN CAST(substr(contract_id, 2) AS INT) % 3 = 0 THEN 'YES' END AS position_side
+    FROM contracts JOIN (SELECT contract_id, heat, tier, percentile FROM peers) USING (contract_id)
+    JOIN (SELECT contract_id, round(h1 - h2, 2) AS heat_delta FROM (SELECT contract_id, {_HEAT.format(asof=TODAY)} AS h1, {_HEAT.format(asof=f'({TODAY} - 7)')} AS h2
+          FROM contracts LEFT JOIN contract_days USING (contract_id) GROUP BY contract_id)) USING (contract_id)
+    JOIN directions USING (contract_id)
     LEFT JOIN (SELECT contract_id, sum(bullish) AS b, sum(bearish) AS d, max(background_bullish) AS bb, max(background_bearish) AS bd FROM conditions
                GROUP BY contract_id) USING (contract_id)
-    LEFT JOIN (SELECT contract_id, count(*) AS n, arg_max({'day': day, 'title': title}, (day, -seq)) AS latest FROM picked GROUP BY contract_id) USING (contract_id)
+    LEFT JOIN (SELECT contract_id, count(*) AS n, arg_max({{'day': day, 'title': title, 'direction': direction, 'magnitude': magnitude}}, (day, -seq)) AS latest FROM graded GROUP BY contract_id) USING (contract_id)
     LEFT JOIN catalysts USING (contract_id) WHERE contracts.kind <> 'retrospective'""".replace("LEFT JOIN catalysts USING",
-    "LEFT JOIN (SELECT contract_id, calendar_date FROM catalysts) USING"), "contracts", "heats", "directions", "conditions", "picked", "catalysts"))
+    "LEFT JOIN (SELECT contract_id, calendar_date FROM catalysts) USING"), "contracts", "peers", "contract_days", "directions", "conditions", "graded", "catalysts"))
 def portfolio_rows(spark, folder):
+    """Positions are those of every third contract; an event's magnitude follows its score."""
     book = contracts(spark, folder)
-    heats = heat.heat(book, substantive(spark, folder), AS_OF)
-    return portfolio.portfolio(book, heats, picked(spark, folder), conditions(spark, folder), AS_OF)
+    panel = heat.heat_panel(book, substantive(spark, folder), AS_OF)
+    events = picked(spark, folder).withColumn("magnitude", F.when(F.col("score") >= 6, "high").when(F.col("score") >= 4, "medium").otherwise("low"))
+    held = book.filter(F.substring("contract_id", 2, 9).cast("int") % 3 == 0).select(
+        "contract_id", F.lit("YES").alias("side"), F.lit(100.0).alias("size"), F.lit(0.5).alias("entry_price"))
+    rows = portfolio.portfolio(book, panel, events, conditions(spark, folder), AS_OF, positions=held)
+    return rows.withColumn("position_side", F.col("position.side")).drop("position")
 
 
 define("calendar", """SELECT contract_id, 'settlement' AS kind, substring(expires_at, 1, 10) AS calendar_date, 'Settlement: ' || title AS title FROM contracts
