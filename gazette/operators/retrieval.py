@@ -62,12 +62,23 @@ def name_tier(query: str, acronym: Column, name: Column) -> Column:
     )
 
 
+def resolve_names(topics: DataFrame, queries: list[str]) -> DataFrame:
+    """Topics of the best tier that each query has, with the lower-cased query; nothing for an empty one.
+
+    All queries share one pass over the topics. The table of best tiers has a row per query.
+    """
+    asked = [q for q in queries if q.strip()]
+    if not asked:
+        return topics.withColumn("query", F.lit("")).withColumn("tier", F.lit(None).cast("int")).limit(0)
+    tiers = F.array(*[F.struct(F.lit(q.strip().lower()).alias("query"), name_tier(q, F.col("acronym"), F.col("name")).alias("tier")) for q in asked])
+    tiered = topics.withColumn("_q", F.explode(F.filter(tiers, lambda t: t["tier"].isNotNull()))).select(*topics.columns, "_q.query", "_q.tier")
+    best = tiered.groupBy("query").agg(F.min("tier").alias("tier"))
+    return tiered.join(best, ["query", "tier"], "left_semi")
+
+
 def resolve_name(topics: DataFrame, query: str) -> DataFrame:
     """Topics of the best tier that has any; nothing for an empty query."""
-    if not query.strip():
-        return topics.withColumn("tier", F.lit(None).cast("int")).limit(0)
-    tiered = topics.withColumn("tier", name_tier(query, F.col("acronym"), F.col("name"))).filter("tier IS NOT NULL")
-    return tiered.filter(F.col("tier") == tiered.agg(F.min("tier")).scalar())
+    return resolve_names(topics, [query]).drop("query")
 
 
 def search_updates(topics: DataFrame, updates: DataFrame, name: str, keyword: str | None, limit: int = 5) -> DataFrame:

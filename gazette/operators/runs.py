@@ -55,19 +55,43 @@ def _quartile_value(i: int) -> Column:
     return F.when(n < 4, low).otherwise((low * (4 - delta) + high * delta) / 4)
 
 
-def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median, quartiles, 90th percentile by index, least and greatest value of each group."""
-    found = spread.order_statistics(rows, keys, value, {
-        "_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2), **_quartile(1), **_quartile(3),
-        "_p90": lambda n: F.least(n - 1, F.floor(n * 9 / 10)), "_min": lambda n: F.lit(0), "_max": lambda n: n - 1})
-    return found.select(
-        *keys, ((F.col("_low") + F.col("_high")) / 2).alias(f"{value}_median"), _quartile_value(1).alias(f"{value}_q1"),
-        _quartile_value(3).alias(f"{value}_q3"), F.col("_p90").alias(f"{value}_p90"), F.col("_min").alias(f"{value}_min"),
-        F.col("_max").alias(f"{value}_max"))
+def measured(rows: DataFrame, keys: list[str], values: list[str], statistics) -> DataFrame:
+    """Order statistics of several measures of each group, by one pass: a measure is one more key.
+
+    `statistics` gives the columns of one measure from its order statistics, by name.
+    """
+    pairs = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values])
+    long = rows.select(*keys, F.explode(pairs).alias("_m")).select(*keys, F.col("_m.name").alias("_measure"), F.col("_m.value").alias("_v"))
+    positions, columns = statistics
+    found = spread.order_statistics(long, [*keys, "_measure"], "_v", positions)
+    wide = [F.max(F.when(F.col("_measure") == v, expression)).alias(f"{v}_{name}") for v in values for name, expression in columns.items()]
+    return found.groupBy(*keys).agg(*wide)
+
+
+_MIDDLE = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.floor(n / 2)}
+
+
+def _median():
+    return _MIDDLE, {"median": (F.col("_low") + F.col("_high")) / 2}
+
+
+def _distribution():
+    """Median, quartiles, 90th percentile by index, least and greatest value."""
+    positions = {**_MIDDLE, **_quartile(1), **_quartile(3), "_p90": lambda n: F.least(n - 1, F.floor(n * 9 / 10)), "_min": lambda n: F.lit(0), "_max": lambda n: n - 1}
+    return positions, {**_median()[1], "q1": _quartile_value(1), "q3": _quartile_value(3), "p90": F.col("_p90"), "min": F.col("_min"), "max": F.col("_max")}
+
+
+def distribution(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """Median, quartiles, 90th percentile by index, least and greatest value of each measure and group."""
+    return measured(rows, keys, list(values), _distribution())
+
+
+def medians(rows: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    return measured(rows, keys, list(values), _median())
 
 
 def arm_stats(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Accuracy, cost and latency of each group; runs shrink to one row per question first."""
+    """Accuracy, cost, latency and tokens of each group; runs shrink to one row per question first."""
     per_question = scored.groupBy(*keys, "question_id").agg(
         F.count("*").alias("runs"), F.sum("accuracy").alias("accuracy"), F.count_if(F.col("accuracy") == 0).alias("zero"),
         (F.max("accuracy") - F.min("accuracy")).alias("spread"))
@@ -77,7 +101,7 @@ def arm_stats(scored: DataFrame, keys: list[str]) -> DataFrame:
         F.round(F.sum("accuracy") / F.sum("runs"), 4).alias("accuracy_mean"),
         F.round(F.sum("zero") / F.sum("runs"), 4).alias("zero_rate"),
         F.round(F.coalesce(F.avg(F.when(many, F.col("spread"))), F.lit(0.0)), 4).alias("repeat_spread"))
-    return totals.join(distribution(scored, keys, "cost"), keys).join(distribution(scored, keys, "latency"), keys)
+    return totals.join(distribution(scored, keys, "cost", "latency", "tokens"), keys).withColumn("cost_per_1k", 1000 * F.col("cost_median"))
 
 
 def pareto(points: DataFrame) -> DataFrame:
@@ -114,9 +138,9 @@ def replay_pairs(first: DataFrame, replay: DataFrame) -> DataFrame:
 
 def replay_summary(pairs: DataFrame) -> DataFrame:
     """Median cost of first runs and replays, change in percent, and cached share, per arm."""
-    out = pairs.groupBy("arm").agg(F.count("*").alias("pairs"))
-    for c in ("first_cost", "replay_cost", "cached_share"):
-        out = out.join(spread.median(pairs, ["arm"], c, c), "arm")
+    columns = ["first_cost", "replay_cost", "cached_share"]
+    out = pairs.groupBy("arm").agg(F.count("*").alias("pairs")).join(medians(pairs, ["arm"], *columns), "arm")
+    out = out.withColumnsRenamed({f"{c}_median": c for c in columns})
     change = 100 * (F.col("replay_cost") - F.col("first_cost")) / F.col("first_cost")
     return out.select("arm", "pairs", F.round(1000 * F.col("first_cost"), 2).alias("first_per_1k"),
                       F.round(1000 * F.col("replay_cost"), 2).alias("replay_per_1k"), F.round(change, 1).alias("change_pct"),
@@ -126,20 +150,22 @@ def replay_summary(pairs: DataFrame) -> DataFrame:
 def hit_rate(answers: DataFrame, pattern: str, control: str) -> DataFrame:
     """Share of answers per arm that name the expected thing, and of items where any repeat does.
 
-    For the control arm a mention is a false positive, so silence counts as right.
+    For the control arm a mention is a false positive, so silence counts as right. Answers with a cost also give the
+    median cost of a thousand.
     """
     per_item = answers.withColumn("hit", F.col("text").rlike(pattern)).groupBy("arm", "item").agg(
         F.count("*").alias("n"), F.count_if("hit").alias("hits"))
     right = F.when(F.col("arm") == control, F.sum("n") - F.sum("hits")).otherwise(F.sum("hits"))
-    return per_item.groupBy("arm").agg(
+    rates = per_item.groupBy("arm").agg(
         F.sum("n").alias("answers"), F.sum("hits").alias("hits"), right.alias("right"), F.count("*").alias("items"),
         F.count_if(F.col("hits") > 0).alias("any_hit")).withColumn("rate", F.round(F.col("right") / F.col("answers"), 4))
+    if "cost" not in answers.columns:
+        return rates
+    return rates.join(medians(answers, ["arm"], "cost").select("arm", (1000 * F.col("cost_median")).alias("cost_per_1k")), "arm", "left")
 
 
 def probe_summary(runs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Median and range of several measures of each group."""
     out = runs.groupBy(*keys).agg(F.count("*").alias("runs"), *[F.min(v).alias(f"{v}_min") for v in values],
                                   *[F.max(v).alias(f"{v}_max") for v in values])
-    for v in values:
-        out = out.join(spread.median(runs, keys, v, f"{v}_median"), keys)
-    return out
+    return out.join(medians(runs, keys, *values), keys)

@@ -10,7 +10,8 @@ from gazette.operators import audit, ranking, spread
 from gazette.plans.fields import feed, shortlist_rows
 from gazette.plans.registry import query
 from gazette.plans.views import AS_OF, define, oracle, records
-from gazette.session import table
+from gazette.session import fresh_path, table
+from gazette.sources import tables
 
 TODAY = f"DATE '{AS_OF}'"
 
@@ -166,9 +167,11 @@ def corpus_stats(spark, folder):
            AS sector, count(*) AS docs, CAST(sum(requirements) AS BIGINT) AS obligations
     FROM records JOIN nation ON n_nationkey = CAST(topic_id AS INT) GROUP BY 1""", "records"))
 def sector_counts(spark, folder):
-    """Sectors from a lookup of topics; one industry is blanked so that the lookup is used."""
-    sectors = table(spark, folder, "nation").filter("n_regionkey < 3").select(
-        F.col("n_nationkey").cast("string").alias("topic_id"), F.concat(F.lit("Sector "), "n_regionkey").alias("sector"))
+    """Sectors from a CSV lookup of topics; one industry is blanked so that the lookup is used."""
+    path = fresh_path(spark, "sectors")
+    table(spark, folder, "nation").filter("n_regionkey < 3").select(
+        F.col("n_nationkey").cast("string").alias("topic_id"), F.concat(F.lit("Sector "), "n_regionkey").alias("sector")).write.option("header", True).csv(path)
+    sectors = tables.read_lookup(spark, path, "topic_id STRING, sector STRING")
     own = F.when(F.col("industry") != "HOUSEHOLD", F.col("industry")).otherwise("")
     base = feed(spark, folder).withColumn("impacted_business", F.struct(F.array(own).alias("industry")))
     return audit.sector_counts(base, sectors)
@@ -389,10 +392,8 @@ def domain_query(spark, folder):
     SELECT 'month', substring(pub_date, 1, 7), count(*), max(impact_score) FROM domain_records WHERE pub_date >= '2000-01-01' GROUP BY 2
     """, "domain_records"))
 def domain_group(spark, folder):
-    rows = domain_records(spark, folder)
-    views = [ranking.DomainQuery(date_from="2000-01-01", group_by=g).groups(rows).withColumn("view", F.lit(g))
-             for g in ("regulator", "update_type", "month")]
-    return views[0].unionByName(views[1]).unionByName(views[2])
+    recent = ranking.DomainQuery(date_from="2000-01-01").condition()
+    return ranking.group_views(domain_records(spark, folder).filter(recent), ["regulator", "update_type", "month"])
 
 
 @query("domain_query_page", oracle("""

@@ -73,7 +73,7 @@ def _stats_sql(source, keys):
     return f"""
     WITH g AS (SELECT {keys}, count(*) AS n, count(DISTINCT question_id) AS n_questions, avg(accuracy) AS a,
                       avg(CASE WHEN accuracy = 0 THEN 1.0 ELSE 0.0 END) AS z, list_sort(list(cost)) AS s_cost,
-                      list_sort(list(latency)) AS s_latency, median(cost) AS mc, median(latency) AS ml,
+                      list_sort(list(latency)) AS s_latency, median(cost) AS mc, median(latency) AS ml, median(tokens) AS mt,
                       greatest(least((count(*) + 1) // 4, count(*) - 1), 1) AS j1,
                       greatest(least(3 * (count(*) + 1) // 4, count(*) - 1), 1) AS j3 FROM {source} GROUP BY {keys}),
     sp AS (SELECT {keys}, avg(d) AS spread FROM (SELECT {keys}, question_id, max(accuracy) - min(accuracy) AS d FROM {source}
@@ -82,12 +82,12 @@ def _stats_sql(source, keys):
            round(coalesce(spread, 0), 4) AS repeat_spread, round(mc, 5) AS cost_median, round({quartile('cost', 1)}, 5) AS cost_q1,
            round({quartile('cost', 3)}, 5) AS cost_q3, round(s_cost[least(n - 1, n * 9 // 10) + 1], 5) AS cost_p90,
            round(ml, 1) AS latency_median, s_latency[1] AS latency_min, s_latency[n] AS latency_max,
-           s_latency[least(n - 1, n * 9 // 10) + 1] AS latency_p90
+           s_latency[least(n - 1, n * 9 // 10) + 1] AS latency_p90, round(mt, 1) AS tokens_median, round(1000 * mc, 2) AS cost_per_1k
     FROM g LEFT JOIN sp USING ({keys})"""
 
 
 def _stats(rows, keys):
-    rounded = {"cost_median": 5, "cost_q1": 5, "cost_q3": 5, "cost_p90": 5, "latency_median": 1}
+    rounded = {"cost_median": 5, "cost_q1": 5, "cost_q3": 5, "cost_p90": 5, "latency_median": 1, "tokens_median": 1, "cost_per_1k": 2}
     found = runs.arm_stats(rows, keys)
     return found.select(*keys, "n_runs", "n_questions", "accuracy_mean", "zero_rate", "repeat_spread",
                         *[F.round(c, d).alias(c) for c, d in rounded.items()], "latency_min", "latency_max", "latency_p90")
@@ -154,11 +154,13 @@ def replay_summary(spark, folder):
                FROM conversations GROUP BY ALL)
     SELECT arm, CAST(sum(n) AS BIGINT) AS answers, CAST(sum(h) AS BIGINT) AS hits,
            CAST(CASE WHEN arm = 'system' THEN sum(n) - sum(h) ELSE sum(h) END AS BIGINT) AS "right", count(*) AS items,
-           count(*) FILTER (h > 0) AS any_hit, round(CASE WHEN arm = 'system' THEN sum(n) - sum(h) ELSE sum(h) END / sum(n), 4) AS rate
+           count(*) FILTER (h > 0) AS any_hit, round(CASE WHEN arm = 'system' THEN sum(n) - sum(h) ELSE sum(h) END / sum(n), 4) AS rate,
+           (SELECT round(1000 * median(length(text) / 100000), 3) FROM conversations c WHERE c.role = arm) AS cost_per_1k
     FROM i GROUP BY arm""")
 def hit_rate(spark, folder):
-    answers = table(spark, folder, "conversations").select(F.col("role").alias("arm"), F.col("conv_id").alias("item"), "text")
-    return runs.hit_rate(answers, r"(?i)\b(the|de)\b", "system")
+    answers = table(spark, folder, "conversations").select(F.col("role").alias("arm"), F.col("conv_id").alias("item"), "text",
+                                                             (F.length("text") / 100000).alias("cost"))
+    return runs.hit_rate(answers, r"(?i)\b(the|de)\b", "system").withColumn("cost_per_1k", F.round("cost_per_1k", 3))
 
 
 @query("probe_summary", oracle("""

@@ -158,9 +158,13 @@ def latest_snapshot(spark, folder):
 @query("alias_dim", """
     SELECT n_name AS canonical_name, unnest([n_name, 'Agency of ' || n_name, 'N' || n_nationkey]) AS name FROM nation""")
 def alias_dim(spark, folder):
-    seeds = table(spark, folder, "nation").select(F.col("n_name").alias("canonical_name"), F.array(
-        F.concat(F.lit("Agency of "), "n_name"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))).alias("aliases"))
-    return tables.aliases(seeds)
+    """Seeds written as one JSON array per region and read back."""
+    path = fresh_path(spark, "seeds")
+    seeds = table(spark, folder, "nation").select("n_regionkey", F.struct(F.col("n_name").alias("canonical_name"), F.array(
+        F.concat(F.lit("Agency of "), "n_name"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))).alias("aliases")).alias("seed"))
+    arrays = seeds.groupBy("n_regionkey").agg(F.to_json(F.collect_list("seed")).alias("value"))
+    arrays.repartition("n_regionkey").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return tables.aliases(tables.read_seeds(spark, path, "canonical_name STRING, aliases ARRAY<STRING>"))
 
 
 @query("market_union", """

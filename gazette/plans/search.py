@@ -125,11 +125,7 @@ def _tiers(q):
 @query("name_resolve", "SELECT query, topic_id, tier FROM (" + " UNION ALL ".join(_tiers(q) for q in NAMES)
        + ") WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY query)")
 def name_resolve(spark, folder):
-    found = [retrieval.resolve_name(topics(spark, folder), q).select(F.lit(q.lower()).alias("query"), "topic_id", "tier") for q in NAMES]
-    out = found[0]
-    for one in found[1:]:
-        out = out.unionByName(one)
-    return out
+    return retrieval.resolve_names(topics(spark, folder), NAMES).select("query", "topic_id", "tier")
 
 
 @query("update_search", oracle("""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +12,15 @@ from gazette.operators import spread
 LISTING_STATUS = {"open": "active", "active": "active", "settled": "resolved", "closed": "resolved"}
 
 
-def load_seed(path: str) -> list[dict]:
-    """A small curated seed file, JSON or (where the parser is installed) YAML. Read on the driver."""
-    with open(path, encoding="utf-8") as f:
-        if path.endswith(".json"):
-            return json.load(f)
-        try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("reading YAML seeds needs the yaml module") from e
-        return yaml.safe_load(f)
+def read_lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A lookup table kept as CSV with a header; rows without a key are left out."""
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return rows.filter(F.coalesce(F.trim(rows.columns[0]), F.lit("")) != "")
+
+
+def read_seeds(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Curated seeds kept as JSON, an object per line or an array per file."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
 def aliases(entities: DataFrame) -> DataFrame:

@@ -61,10 +61,11 @@ RECOGNISED_NAMES = [
 STATUS_CYCLE = ["new", "in_review", "acknowledged", "new", "drafted"]
 
 # Postal codes of the states and territories.
-US_STATES = (
-    "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND "
-    "OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC PR VI GU AS MP"
-).split()
+US_STATES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME",
+    "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ", "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA",
+    "RI", "SC", "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY", "DC", "PR", "VI", "GU", "AS", "MP",
+]
 
 # Bodies whose rules are widely known.
 FAMOUS_REGULATORS = [
@@ -107,9 +108,10 @@ SCENARIO_B_FINANCE = [
 ]
 SCENARIO_B_PROMOTION = ["marketing", "advertising", "promotion", "promotional", "campaign", "solicitation"]
 SCENARIO_B_COMBINED = ["financial promotion", "financial promotions", "credit advertising"]
-EEA_COUNTRIES = (
-    "AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE IS LI NO"
-).split()
+EEA_COUNTRIES = [
+    "AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT", "LU", "MT",
+    "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE", "IS", "LI", "NO",
+]
 # Domain bucket of each scenario keyword, and each scenario's bucket when none matches.
 DOMAIN_BUCKETS = {
     "A": {
@@ -365,12 +367,14 @@ MONTHS = [
     "november", "december",
 ]
 # Words the tokeniser drops.
-STOP_WORDS = (
-    "a an the and or but in on at to for of with by from is are was were be been have has had do does did "
-    "will would could should may might shall can not this that these those it its as if so we our their "
-    "they he she his her which what who when where how all also more new other any each no than then into "
-    "out up about after before between through during under over per"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are",
+    "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "shall", "can", "not", "this", "that", "these", "those", "it", "its", "as", "if", "so", "we", "our",
+    "their", "they", "he", "she", "his", "her", "which", "what", "who", "when", "where", "how", "all", "also", "more",
+    "new", "other", "any", "each", "no", "than", "then", "into", "out", "up", "about", "after", "before", "between",
+    "through", "during", "under", "over", "per",
+]
 
 # Citation outcome of each URL status.
 URL_OUTCOMES = {
