@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,20 @@ def centroid(column: str, size: int) -> Column:
 
 def top(vectors: DataFrame, query: list[float], k: int, min_score: float = 0.0, column: str = "embedding",
         key: str = "vec_id") -> DataFrame:
-    """The k vectors nearest to a query vector. The query is a literal; each task keeps k rows."""
-    wanted = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.select(key, F.round(cosine(F.col(column), wanted), 6).alias("score"))
+    """The k vectors nearest to a query vector; each task keeps k rows.
+
+    The query is brought to length one once; a task multiplies a whole Arrow batch of vectors with it.
+    """
+    wanted = np.asarray(query, np.float64)
+    wanted = wanted / (np.sqrt(wanted @ wanted) or 1.0)
+
+    @F.pandas_udf("double")
+    def score(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype="float64")
+        matrix = np.stack(rows.to_numpy()).astype(np.float64)
+        length = np.sqrt((matrix * matrix).sum(axis=1))
+        return pd.Series(np.where(length > 0, matrix @ wanted / np.where(length > 0, length, 1.0), 0.0))
+
+    scored = vectors.filter(F.size(column) == len(wanted)).select(key, F.round(score(F.col(column)), 6).alias("score"))
     return scored.filter(F.col("score") >= min_score).orderBy(F.col("score").desc(), key).limit(k)
