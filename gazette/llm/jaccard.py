@@ -37,17 +37,16 @@ WORDS = 8
 #: A task sends a shingle as a count once this share of its documents has it.
 FREQUENT = 1024
 #: Rounds before all pairs that are still apart are compared, and hubs per set in each.
-ROUNDS, HUBS = 3, 4
-_ALL = np.uint32(0xFFFFFFFF)
+ROUNDS, HUBS = 1, 4
 
 _SENT = "seg int, task int, kind int, at binary, hash binary, count binary, info binary"
 _SETS = "doc_id bigint, vid binary, n int, head int, keys array<bigint>, shared binary, sketch array<bigint>"
 
 
 def _segments(df: DataFrame) -> int:
-    """Power of two with a few segments for each shuffle partition."""
-    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << min(max(wanted - 1, 1).bit_length(), 40)
+    """Power of two with a few segments for each shuffle partition; 16 at least, so that 48 bits are left."""
+    wanted = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << min(max((wanted - 1).bit_length(), 4), 40)
 
 
 def _split(size: int, bits: int):
@@ -102,20 +101,24 @@ def _split(size: int, bits: int):
                 out.write_table(table)
         owner, word = owner[listed], word[listed]
 
-        def rows_of(seg, at, values, times, kind):
+        def rows_of(at, values, times, kind):
             cuts = np.searchsorted(values >> low, np.arange((1 << bits) + 1, dtype=np.uint64))
             for s in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[s], cuts[s + 1])
-                within = values[part] & mask
-                yield {"seg": int(s), "task": task, "kind": kind, "at": at[part].tobytes() if at is not None else None,
-                       "hash": _packed(within), "count": times[part].astype(np.int64).tobytes() if times is not None else None,
-                       "info": None}
+                within, places, n = values[part] & mask, None, None
+                if at is not None:
+                    # In the order of documents their places are small steps, which take little room.
+                    by_doc = np.argsort(at[part], kind="stable")
+                    within, places = within[by_doc], _steps(at[part][by_doc])
+                else:
+                    n = times[part].astype(np.int64).tobytes()
+                yield {"seg": int(s), "task": task, "kind": kind, "at": places, "hash": _packed(within), "count": n, "info": None}
 
         def everything():
             yield {"seg": task % (1 << bits), "task": task, "kind": 0, "at": None, "hash": None,
                    "count": None, "info": sink.getvalue().to_pybytes()}
-            yield from rows_of(None, owner, word, None, 1)
-            yield from rows_of(None, None, hot_hash, hot_times, 2)
+            yield from rows_of(owner, word, None, 1)
+            yield from rows_of(None, hot_hash, hot_times, 2)
 
         yield from _batches(everything(), run.schema)
 
@@ -135,6 +138,16 @@ def _unpacked(data: bytes) -> np.ndarray:
             | np.frombuffer(data, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
+def _steps(places: np.ndarray) -> bytes:
+    """Rising places as steps of two bytes, or of four if one is too wide."""
+    steps = np.diff(places.astype(np.int64), prepend=0)
+    return steps.astype(np.uint16 if not len(steps) or steps.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _places(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32), dtype=np.int64)
+
+
 def _batches(rows, schema: pa.Schema, limit: int = 8 << 20):
     """Record batches of about `limit` bytes."""
     have, size = [], 0
@@ -148,51 +161,45 @@ def _batches(rows, schema: pa.Schema, limit: int = 8 << 20):
         yield pa.RecordBatch.from_pylist(have, schema)
 
 
-def _count(bits: int):
-    """Segment side: documents per shingle; the answer to each map task names its shingles of several documents."""
-    low = np.uint64(hashing.PIECE_BITS - bits)
-    schema = pa.schema([("task", pa.int32()), ("kind", pa.int32()), ("at", pa.binary()), ("hash", pa.binary()),
-                        ("count", pa.binary()), ("info", pa.binary())])
+_ANSWER = "seg int, task int, kind int, at binary, hash binary, count binary, info binary"
 
-    def run(group: pa.Table) -> pa.Table:
-        kind = np.asarray(group.column("kind").combine_chunks())
-        passed = group.filter(pa.array(kind == 0)).drop_columns(["seg"])
-        blocks = group.filter(pa.array(kind > 0))
-        if not blocks.num_rows:
-            return passed.cast(schema)
-        seg = blocks.column("seg")[0].as_py()
-        task = blocks.column("task").to_pylist()
-        parts = [_unpacked(x) for x in blocks.column("hash").to_pylist()]
-        at = [np.frombuffer(x, np.uint32) if x is not None else np.full(len(p), _ALL, np.uint32)
-              for x, p in zip(blocks.column("at").to_pylist(), parts)]
-        times = [np.frombuffer(x, np.int64) if x is not None else np.ones(len(p), np.int64)
-                 for x, p in zip(blocks.column("count").to_pylist(), parts)]
-        source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        word, at, times = np.concatenate(parts), np.concatenate(at), np.concatenate(times)
-        order = np.argsort(word, kind="stable")
-        word, at, times, source = word[order], at[order], times[order], source[order]
-        head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        total = np.repeat(np.add.reduceat(times, head), np.diff(np.append(head, len(word))))
-        keep = total > 1
-        word, at, total, source = word[keep] | np.uint64(seg) << low, at[keep], total[keep], source[keep]
-        # All blocks of a map task travel back as one.
-        names, number = np.unique(np.array(task), return_inverse=True)
-        owner = number[source]
-        order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(len(names) + 1))
-        out = []
-        for k, name in enumerate(names):
-            part = order[cuts[k]:cuts[k + 1]]
-            if len(part):
-                out.append({"task": int(name), "kind": 1, "at": at[part].tobytes(), "hash": word[part].tobytes(),
-                            "count": total[part].tobytes(), "info": None})
-        return pa.concat_tables([passed.cast(schema), pa.Table.from_pylist(out, schema)])
-
-    return run
 
+def _count(group: pa.Table) -> pa.Table:
+    """Segment side: documents per shingle; the answer to each map task names its shingles of several documents.
 
-def _prefixes(num: int, den: int):
+    Of kind 1 are answers for documents that the task named, of kind 2 those for its frequent shingles.
+    """
+    schema = pa.schema([("seg", pa.int32()), ("task", pa.int32()), ("kind", pa.int32()), ("at", pa.binary()), ("hash", pa.binary()),
+                        ("count", pa.binary()), ("info", pa.binary())])
+    kind = np.asarray(group.column("kind").combine_chunks())
+    passed = group.filter(pa.array(kind == 0)).cast(schema)
+    blocks = group.filter(pa.array(kind > 0))
+    if not blocks.num_rows:
+        return passed
+    seg = blocks.column("seg")[0].as_py()
+    parts = [_unpacked(x) for x in blocks.column("hash").to_pylist()]
+    at = [_places(x, len(p)) if x is not None else np.zeros(len(p), np.int64) for x, p in zip(blocks.column("at").to_pylist(), parts)]
+    times = [np.frombuffer(x, np.int64) if x is not None else np.ones(len(p), np.int64) for x, p in zip(blocks.column("count").to_pylist(), parts)]
+    source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    word, at, times = np.concatenate(parts), np.concatenate(at), np.concatenate(times)
+    order = np.argsort(word, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], word[order][1:] != word[order][:-1]]))
+    total = np.empty(len(word), np.int64)
+    total[order] = np.repeat(np.add.reduceat(times[order], head), np.diff(np.append(head, len(word))))
+    keep = np.flatnonzero(total > 1)
+    cuts = np.searchsorted(source[keep], np.arange(len(parts) + 1))
+    out = []
+    for k, (task, kind) in enumerate(zip(blocks.column("task").to_pylist(), blocks.column("kind").to_pylist())):
+        mine = keep[cuts[k]:cuts[k + 1]]
+        if len(mine):
+            out.append({"seg": seg, "task": task, "kind": kind, "at": _steps(at[mine]) if kind == 1 else None, "hash": _packed(word[mine]),
+                        "count": np.minimum(total[mine], 0xFFFFFFFF).astype(np.uint32).tobytes(), "info": None})
+    return pa.concat_tables([passed, pa.Table.from_pylist(out, schema)])
+
+
+def _prefixes(num: int, den: int, bits: int):
     """Per map task: rare-first order, prefix, and what verification needs of every set that can have a link."""
+    low = np.uint64(hashing.PIECE_BITS - bits)
     schema = pa.schema([("doc_id", pa.int64()), ("vid", pa.binary()), ("n", pa.int32()), ("head", pa.int32()),
                         ("keys", pa.list_(pa.int64())), ("shared", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
@@ -203,20 +210,27 @@ def _prefixes(num: int, den: int):
         hot = pa.ipc.open_stream(source).read_all()
         ids, n = docs.column("id").to_pylist(), np.asarray(docs.column("n").combine_chunks())
         names = np.stack([np.asarray(docs.column(c).combine_chunks()) for c in ("low", "high")], 1)
-        blocks = group.filter(pa.array(np.asarray(kind) == 1))
-        empty = np.empty(0, np.uint64)
-        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in blocks.column(c).to_pylist()] or [empty.astype(t)])
-        at, word, times = join("at", np.uint32), join("hash", np.uint64), join("count", np.int64)
-        frequent = at == _ALL
-        if frequent.any():
+        at, word, times = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        often = [], []
+        for block in group.filter(pa.array(np.asarray(kind) > 0)).to_pylist():
+            found = _unpacked(block["hash"]) | np.uint64(block["seg"]) << low
+            total = np.frombuffer(block["count"], np.uint32)
+            if block["kind"] == 1:
+                for column, part in zip((at, word, times), (_places(block["at"], len(found)), found, total)):
+                    column.append(part)
+            else:
+                often[0].append(found)
+                often[1].append(total)
+        if often[0]:
+            known, known_times = map(np.concatenate, often)
+            order = np.argsort(known)
+            known, known_times = known[order], known_times[order]
             hot_hash, hot_at = np.asarray(hot.column("hash").combine_chunks()), np.asarray(hot.column("at").combine_chunks())
-            order = np.argsort(word[frequent])
-            known, known_times = word[frequent][order], times[frequent][order]
             place = np.minimum(np.searchsorted(known, hot_hash), len(known) - 1)
             real = known[place] == hot_hash
-            at = np.concatenate([at[~frequent], hot_at[real]])
-            word = np.concatenate([word[~frequent], hot_hash[real]])
-            times = np.concatenate([times[~frequent], known_times[place[real]]])
+            for column, part in zip((at, word, times), (hot_at[real].astype(np.int64), hot_hash[real], known_times[place[real]])):
+                column.append(part)
+        at, word, times = map(np.concatenate, (at, word, times))
         order = np.lexsort((word, times, at))
         at, word = at[order], word[order]
         cuts = np.searchsorted(at, np.arange(len(ids) + 1))
@@ -245,9 +259,8 @@ def sets(docs: DataFrame, key: str, body: str, size: int, num: int, den: int) ->
     segments = _segments(docs)
     bits = segments.bit_length() - 1
     sent = docs.select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(_split(size, bits), _SENT)
-    answered = sent.groupBy("seg").applyInArrow(
-        _count(bits), "task int, kind int, at binary, hash binary, count binary, info binary")
-    return answered.groupBy("task").applyInArrow(_prefixes(num, den), _SETS)
+    answered = sent.groupBy("seg").applyInArrow(_count, _ANSWER)
+    return answered.groupBy("task").applyInArrow(_prefixes(num, den, bits), _SETS)
 
 
 def _may_link(num: int, den: int):
