@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gazette.llm import findings
 
 # Patterns of candidates, and words that speak for or against a secret.
-LONG = re.compile(r"[A-Za-z0-9_+/=~-]{16,}(?:\.[A-Za-z0-9_+/=~-]{16,})*")
+LONG = re.compile(r"[A-Za-z0-9_+/~-]{16,}(?:\.[A-Za-z0-9_+/~-]{16,})*={0,2}")
 ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}(?::=|=|:)\s{0,3}[\"']?([^\s\"'<>{}()\[\],;]{8,})")
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
 #: A text without any of this has no candidate.
