@@ -45,7 +45,7 @@ def scenario_eligible(scenario: str, country: Column, bloc: Column, tags: Column
 def domain_bucket(scenario: str, tags: Column | None = None) -> Column:
     """Bucket of the first tag that matches a keyword of the scenario, the longest keyword first."""
     tags = scenario_tags() if tags is None else tags
-    words = {w: bucket for bucket, listed in vocab.DOMAIN_BUCKETS[scenario].items() for w in listed}
+    words = vocab.DOMAIN_BUCKETS[scenario]
     ordered = sorted(words, key=len, reverse=True)
 
     def bucket_of(tag: Column) -> Column:

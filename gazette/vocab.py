@@ -112,32 +112,55 @@ EEA_COUNTRIES = [
     "AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT", "LU", "MT",
     "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE", "IS", "LI", "NO",
 ]
-# Domain bucket of each scenario keyword, and each scenario's bucket when none matches.
+# Domain bucket of each keyword, by scenario, and each scenario's bucket when none matches.
 DOMAIN_BUCKETS = {
     "A": {
-        "AI-assisted decisioning": [
-            "artificial intelligence", "ai", "algorithm", "algorithmic", "automated decision-making",
-            "machine learning", "generative ai", "foundation model", "ai act", "algorithmic decision-making",
-        ],
-        "automated profiling": ["automated profiling", "profiling"],
-        "biometric/emotion inference": [
-            "biometric", "biometric data", "facial recognition", "emotion recognition",
-        ],
-        "data processing & retention": ["data protection", "data privacy", "gdpr", "personal data"],
-        "algorithmic content ranking": ["content moderation", "recommender system"],
+        "artificial intelligence": "AI-assisted decisioning",
+        "ai": "AI-assisted decisioning",
+        "algorithm": "AI-assisted decisioning",
+        "algorithmic": "AI-assisted decisioning",
+        "automated decision-making": "AI-assisted decisioning",
+        "machine learning": "AI-assisted decisioning",
+        "generative ai": "AI-assisted decisioning",
+        "foundation model": "AI-assisted decisioning",
+        "ai act": "AI-assisted decisioning",
+        "algorithmic decision-making": "AI-assisted decisioning",
+        "automated profiling": "automated profiling",
+        "profiling": "automated profiling",
+        "biometric": "biometric/emotion inference",
+        "biometric data": "biometric/emotion inference",
+        "facial recognition": "biometric/emotion inference",
+        "emotion recognition": "biometric/emotion inference",
+        "data protection": "data processing & retention",
+        "data privacy": "data processing & retention",
+        "gdpr": "data processing & retention",
+        "personal data": "data processing & retention",
+        "content moderation": "algorithmic content ranking",
+        "recommender system": "algorithmic content ranking",
     },
     "B": {
-        "investment product marketing": [
-            "securities", "investment product", "investment advice", "retail investor", "asset management",
-            "wealth management", "mifid",
-        ],
-        "retail financial promotions": [
-            "marketing", "advertising", "promotion", "promotional", "campaign", "solicitation",
-            "financial promotion", "financial promotions",
-        ],
-        "crypto/digital-asset promotion": ["digital asset", "cryptocurrency", "crypto"],
-        "robo-advice disclosures": ["robo-advice"],
-        "credit advertising": ["consumer credit", "consumer finance", "credit advertising"],
+        "securities": "investment product marketing",
+        "investment product": "investment product marketing",
+        "investment advice": "investment product marketing",
+        "retail investor": "investment product marketing",
+        "asset management": "investment product marketing",
+        "wealth management": "investment product marketing",
+        "mifid": "investment product marketing",
+        "robo-advice": "robo-advice disclosures",
+        "consumer credit": "credit advertising",
+        "consumer finance": "credit advertising",
+        "credit advertising": "credit advertising",
+        "digital asset": "crypto/digital-asset promotion",
+        "cryptocurrency": "crypto/digital-asset promotion",
+        "crypto": "crypto/digital-asset promotion",
+        "marketing": "retail financial promotions",
+        "advertising": "retail financial promotions",
+        "promotion": "retail financial promotions",
+        "promotional": "retail financial promotions",
+        "campaign": "retail financial promotions",
+        "solicitation": "retail financial promotions",
+        "financial promotion": "retail financial promotions",
+        "financial promotions": "retail financial promotions",
     },
 }
 DEFAULT_BUCKETS = {"A": "AI-assisted decisioning", "B": "investment product marketing"}
