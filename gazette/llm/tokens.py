@@ -9,19 +9,19 @@ import pyarrow.compute as pc
 #: White space of any kind; a single space between other characters is where a byte-level vocabulary starts a word.
 _SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 #: Words that are encoded as one text.
-RUN = 4096
+RUN = 256
 _JOINED = f" {_SPACE}|{_SPACE} |^ | $"
 
 
 class Encoder:
-    """Ids of texts, with every distinct word of a batch encoded once.
+    """Ids of texts, with every distinct word encoded once while at most `keep` of them are remembered.
 
     A byte-level vocabulary never joins characters across the start of a space that stands alone, so the ids of a text
     are the ids of its parts at such spaces, one after the other. A text with other white space beside a space is
     encoded as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = 1 << 19):
         import os
 
         from tokenizers import Tokenizer
@@ -33,22 +33,39 @@ class Encoder:
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.spaced[number] = token.startswith("\u0120")
+        self.keep = keep
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.sizes = pa.array([], pa.large_string()), np.empty(0, np.uint32), np.empty(0, np.int64)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words that follow a space, and their number for each word.
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Rows of words that follow a space in the table of known ones.
 
-        Many are encoded as one text: no other id begins with a space, so those that do tell where a word begins.
+        Many new ones are encoded as one text: no other id begins with a space, so those that do tell where a word begins.
         """
+        if len(self.known) + len(words) > self.keep:
+            self._forget()
+        rows = pc.index_in(words, value_set=self.known)
+        if not rows.null_count:
+            return rows.to_numpy()
+        words = words.filter(rows.is_null())
         found = []
         for at in range(0, len(words), RUN):
             text = " " + " ".join(words.slice(at, RUN).to_pylist())
             found.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-        flat = np.concatenate([np.empty(0, np.uint32), *found])
-        return flat, np.diff(np.append(np.flatnonzero(self.spaced[flat]), len(flat)))
+        flat = np.concatenate(found)
+        self.sizes = np.concatenate([self.sizes, np.diff(np.append(np.flatnonzero(self.spaced[flat]), len(flat)))])
+        self.flat = np.concatenate([self.flat, flat])
+        rows = rows.to_numpy(zero_copy_only=False)
+        fresh = np.isnan(rows)
+        rows[fresh] = len(self.known) + np.arange(len(words))
+        self.known = pa.concat_arrays([self.known, words])
+        return rows.astype(np.int64)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and their number for each text; a null text has none."""
@@ -66,10 +83,12 @@ class Encoder:
         place[heads] = len(coded.dictionary) + np.arange(len(heads))
         used = np.zeros(len(coded.dictionary) + len(heads), bool)
         used[place] = True
-        words = coded.dictionary.filter(pa.array(used[:len(coded.dictionary)]))
-        (flat, sizes), (more, tops) = self._words(words), self._each(first.to_pylist())
-        place = (np.cumsum(used) - 1)[place]
-        table, sizes = np.concatenate([flat, more]), np.concatenate([sizes, tops])
+        rows = np.zeros(len(used), np.int64)
+        rows[np.flatnonzero(used[:len(coded.dictionary)])] = self._learn(coded.dictionary.filter(pa.array(used[:len(coded.dictionary)])))
+        more, tops = self._each(first.to_pylist())
+        rows[len(coded.dictionary):] = len(self.known) + np.arange(len(heads))
+        place = rows[place]
+        table, sizes = np.concatenate([self.flat, more]), np.concatenate([self.sizes, tops])
         begin = np.cumsum(sizes) - sizes
         size = sizes[place]
         ends = np.cumsum(size)
