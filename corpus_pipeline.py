@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.llm import decontaminate, jaccard, secret_scan
+from gazette.llm.batches import bounded
 from gazette.llm.queries import packed, toxic_scores
 from gazette.session import fresh_path, stored, table
 
@@ -48,7 +49,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark; n_chars is the length of the new text where the text changed."""
     forest = secret_scan.train(spark)
-    made = docs.select(*COLUMNS).withColumn("new", secret_scan.redacted(F.col("text"), F.col("source").cast("string"), forest))
+    made = bounded(docs).select(*COLUMNS).withColumn("new", secret_scan.redacted(F.col("text"), F.col("source").cast("string"), forest))
     changed = F.coalesce(F.col("new") != F.col("text"), F.lit(False))
     return made.select("doc_id", F.col("new").alias("text"), "lang", "source",
                        F.when(changed, F.length("new").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"))

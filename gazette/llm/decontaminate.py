@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm import hashing
+from gazette.llm.batches import bounded, tidy
 from gazette.session import stored
 
 #: Seeds in a part, and the size of the bit table in bits at most.
@@ -209,8 +210,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", body: str =
     packed = (seeds.select(part.alias("part"), "item", "place", "hash", F.pmod(F.xxhash64("hash"), F.lit(PART_SEEDS >> 16)).alias("slice"))
               .groupBy("part", "slice").applyInArrow(_packed, _ROWS))
     packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("part", "salt", *[c.split()[0] for c in _ROWS.split(", ")[2:]])
-    hits = docs.select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(
-        _hits(seed, spark.sparkContext.broadcast(table.tobytes()), parts, salts), _ROWS)
+    hits = bounded(docs).select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(
+        tidy(_hits(seed, spark.sparkContext.broadcast(table.tobytes()), parts, salts)), _ROWS)
     met = (hits.unionByName(packed).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(_meet, _MATCHES))
     sizes = seeds.groupBy("item").agg(F.max("words").alias("words"))
     pairs = met.groupBy("row", "item").agg(F.first("doc").alias("doc"), F.collect_list("matches").alias("matches")).join(sizes, "item")

@@ -9,7 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+#: Bytes that are hashed at a time; the arrays on the way take some fifty times as much.
+BLOCK = 1 << 18
 PIECE_BITS = 52
 PIECE_MASK = np.uint64((1 << PIECE_BITS) - 1)
 BATCH_DOCS = 1 << (64 - PIECE_BITS)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm import hashing
+from gazette.llm.batches import bounded, release, tidy
 from gazette.llm.components import components
 from gazette.operators import spread
 from gazette.session import stored
@@ -84,8 +85,12 @@ def _split(size: int, bits: int):
             return
         task = TaskContext.get().partitionId()
         owner, word = np.concatenate(owners), np.concatenate(hashes)
+        del owners, hashes, known
         order = np.argsort(word, kind="stable")
-        owner, word = owner[order], word[order]
+        owner = owner[order]
+        word = word[order]
+        del order
+        release()
         head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.empty(0, np.int64)
         times = np.diff(np.append(head, len(word)))
         often = times >= max(8, rows // FREQUENT)
@@ -258,7 +263,7 @@ def sets(docs: DataFrame, key: str, body: str, size: int, num: int, den: int) ->
     value, set if an odd number of the shared shingles has it."""
     segments = _segments(docs)
     bits = segments.bit_length() - 1
-    sent = docs.select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(_split(size, bits), _SENT)
+    sent = bounded(docs).select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(tidy(_split(size, bits)), _SENT)
     answered = sent.groupBy("seg").applyInArrow(_count, _ANSWER)
     return answered.groupBy("task").applyInArrow(_prefixes(num, den, bits), _SETS)
 

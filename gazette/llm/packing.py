@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazette.llm.batches import bounded, gathered, tidy
 from gazette.llm.hashing import pieces_of
 from gazette.llm.tokens import Encoder
 from gazette.session import fresh_path
@@ -34,8 +35,8 @@ def _tokenize(path: str, end: int, narrow: bool):
 
     def run(batches):
         encoder, part, row, sent = Encoder(path), TaskContext.get().partitionId(), 0, {}
-        for batch in batches:
-            for at, texts in pieces_of(batch.column(1), 8 << 20, 1 << 16):
+        for batch in gathered(batches, 4 << 20):
+            for at, texts in pieces_of(batch.column(1), 4 << 20, 1 << 16):
                 flat, lengths = encoder.ids(texts)
                 if narrow and len(flat) and int(flat.max()) > 0xFFFF:
                     raise ValueError("the vocabulary has ids above 65535; pack with wide ids")
@@ -52,7 +53,6 @@ def _tokenize(path: str, end: int, narrow: bool):
                     pa.array(lengths + 1), pa.array([flat[cuts[i]:cuts[i + 1]].tobytes() + tail for i in range(len(texts))], pa.binary()),
                 ], ["part", "row", "doc", "queue", "local", "doc_tokens", "ids"])
                 row += len(texts)
-                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -98,8 +98,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", body: str = "text
     queue = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
     path = fresh_path(spark, "tokens")
     # Tokens are made once and written: their counts fix the layout, and a lost executor does not make them again.
-    (docs.select(F.col(key).cast("bigint"), F.col(body).cast("string"), queue)
-     .mapInArrow(_tokenize(tokenizer, end, narrow), _TOKENS).write.option("compression", "zstd").parquet(path))
+    (bounded(docs).select(F.col(key).cast("bigint"), F.col(body).cast("string"), queue)
+     .mapInArrow(tidy(_tokenize(tokenizer, end, narrow)), _TOKENS).write.option("compression", "zstd").parquet(path))
     tokens = spark.read.schema(_TOKENS).parquet(path)
 
     parts = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("tokens"))
@@ -146,4 +146,4 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", body: str = "text
     of_doc = pieces.groupBy("part", "row").agg(F.collect_list(piece).alias("pieces"))
     # One shuffle of the ids brings them to their pieces; part and row are unique, so no source weighs on a task.
     cut = tokens.select("part", "row", "doc", "doc_tokens", "ids").join(of_doc, ["part", "row"])
-    return cut.select("doc", "doc_tokens", "ids", "pieces").mapInArrow(_cut(narrow), _PIECES).withColumnRenamed("doc", key)
+    return cut.select("doc", "doc_tokens", "ids", "pieces").mapInArrow(tidy(_cut(narrow)), _PIECES).withColumnRenamed("doc", key)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm import hashing
+from gazette.llm.batches import bounded
 from gazette.session import stored
 
 # The characters that count as each kind of sign.
@@ -60,7 +61,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", body: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())], ["k", "x"])
 
-    return docs.select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(run, "k bigint, x array<double>").withColumnRenamed("k", key)
+    return bounded(docs).select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(run, "k bigint, x array<double>").withColumnRenamed("k", key)
 
 
 def paths(forest) -> list[Rule]:

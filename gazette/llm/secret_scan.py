@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import findings
+from gazette.llm.batches import bounded, release
 
 # Patterns of candidates, and words that speak for or against a secret.
 LONG = re.compile(r"[A-Za-z0-9_+/~-]{16,}(?:\.[A-Za-z0-9_+/~-]{16,})*={0,2}")
@@ -162,7 +163,7 @@ def scan(docs: DataFrame, forest: Forest, key: str = "doc_id", body: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()))], names)
 
     place = F.lit("") if path is None else F.col(path).cast("string")
-    made = docs.select(F.col(key).cast("bigint"), F.col(body).cast("string"), place).mapInArrow(
+    made = bounded(docs).select(F.col(key).cast("bigint"), F.col(body).cast("string"), place).mapInArrow(
         run, "k bigint, start bigint, length bigint, kind string, secret string, score double")
     return made.withColumnRenamed("k", key)
 
@@ -181,6 +182,7 @@ def redacted(body: Column, path: Column, forest: Forest, mark: str = "[SECRET]",
             for start, stop in reversed(spots):
                 text = text[:start] + mark + text[stop:]
             out[i] = text
+        release()
         return pd.Series(out)
 
     return run(body, path)

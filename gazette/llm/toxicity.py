@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm import hashing
+from gazette.llm.batches import bounded, release
 from gazette.session import stored
 
 # Common words of each part of the grammar.
@@ -164,6 +165,7 @@ def features(text: Column, insults: dict[str, float]) -> Column:
                     for kind, weight, _ in _clauses(text, table, machine, graver):
                         sums[place[kind]] += weight
             out.append([math.log1p(x) for x in sums])
+        release()
         return pd.Series(out)
 
     return run(text)
@@ -196,7 +198,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, key: str, body: str, most
     counts = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, most / max(counts.get(1, 0), 1))).otherwise(min(1.0, most / max(counts.get(0, 0), 1)))
     chosen = labels.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share * (1 << 30)).groupBy(key).agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col(key), F.col(body).cast("string").alias("text")).join(F.broadcast(chosen), key).filter("length(text) > 0")
+    texts = bounded(docs).select(F.col(key), F.col(body).cast("string").alias("text")).join(F.broadcast(chosen), key).filter("length(text) > 0")
     marked = texts.select("text", F.col("toxic").cast("int")).mapInPandas(_marked, "text string, toxic int, a bigint, b bigint, c bigint")
     for mark in "abc":
         marked = marked.dropDuplicates(["toxic", mark])
@@ -269,4 +271,4 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", body: str =
     An existing column named score is replaced. An empty table gives an empty table. labels: (key, toxic) to learn from.
     """
     model = fit(docs, labels, key, body, most)
-    return docs.withColumn("score", score(F.col(body).cast("string"), model))
+    return bounded(docs).withColumn("score", score(F.col(body).cast("string"), model))

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazette.llm.batches import bounded
+
 CHUNK_BYTES = 1 << 16
 _VERSION = "WARC/1.1\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n"
@@ -33,7 +35,7 @@ def _record_id(key) -> str:
 def chunk_table(pages: DataFrame, key: str, url: str, body: str, chunk_bytes: int = CHUNK_BYTES, least_revisit: int = 100) -> DataFrame:
     """One row per chunk of every record; revisits have one row without bytes."""
     payload = F.coalesce(F.col(body).cast("string"), F.lit("")).cast("binary")
-    sized = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
+    sized = bounded(pages).select(F.col(key).cast("bigint").alias("key"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     sized = sized.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("bigint"))
     # Keys and digests only: the least key of a payload is found before any payload moves.
     firsts = (sized.filter(F.col("bytes") >= least_revisit).groupBy("digest", "bytes")
