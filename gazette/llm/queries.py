@@ -173,6 +173,34 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", *rounded)
 
 
+_LM_WHOLE_SQL = f"""
+WITH worded AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+') AS w,
+        doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS chosen FROM documents),
+said AS MATERIALIZED (SELECT doc_id, chosen, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded),
+totals AS (SELECT count(*) FILTER (chosen) AS t, count(*) AS b, count(DISTINCT word) + 1 AS v FROM said),
+shares AS MATERIALIZED (SELECT word, (count(*) FILTER (chosen) + 1) / (any_value(n.t) + any_value(n.v)) AS pt,
+    (count(*) + 1) / (any_value(n.b) + any_value(n.v)) AS pb FROM said, totals n GROUP BY word),
+pairs AS MATERIALIZED (SELECT doc_id, chosen, word, lag(word, 1, ' ') OVER (PARTITION BY doc_id ORDER BY i) AS before FROM said),
+double AS MATERIALIZED (SELECT before, word, count(*) FILTER (chosen) AS t, count(*) AS b FROM pairs GROUP BY before, word),
+firsts AS (SELECT before, greatest(sum(t), 1) AS t, greatest(sum(b), 1) AS b FROM double GROUP BY before),
+losses AS (SELECT doc_id, -ln(0.7 * (d.t / f.t) + (1 - 0.7::DOUBLE) * pt) AS lt, -ln(0.7 * (d.b / f.b) + (1 - 0.7::DOUBLE) * pb) AS lb
+    FROM pairs JOIN shares USING (word) JOIN double d USING (before, word) JOIN firsts f USING (before)),
+means AS (SELECT doc_id, count(*) AS n, avg(lt) AS lt, avg(lb) AS lb FROM losses GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(lt, 0), 6) AS target_loss, round(coalesce(lb, 0), 6) AS background_loss,
+    round(coalesce(lt - lb, 0), 6) AS difference FROM documents LEFT JOIN means USING (doc_id)"""
+
+
+@query("op10_cross_entropy_whole", _LM_WHOLE_SQL)
+def op10_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """op10 without limits: all words are the vocabulary and all bigrams are listed."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    target = docs.join(good.hint("merge"), "doc_id", "left_semi").select("text")
+    rounded = [F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")]
+    return lm.whole(docs, target).select("doc_id", "n_tokens", *rounded)
+
+
 def apart(key: str, parts: int, held: int):
     """Whether a key is held out: crc32 of its text modulo `parts`."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts)) == held
