@@ -427,12 +427,22 @@ def ticket_counts(spark, folder):
     SELECT DISTINCT s.s_suppkey FROM supplier s WHERE s_suppkey IN (
       SELECT a.s_suppkey FROM supplier a, customer c WHERE c_acctbal > 9900 AND contains(lower(a.s_name), right(c_name, 3)))""")
 def topic_prefilter(spark, folder):
-    """Suppliers whose name contains the last three digits of a rich customer's name."""
+    """Suppliers whose name contains the last three digits of a rich customer's name, as the SQL has it; all customers: topic_prefilter_all."""
     names = table(spark, folder, "customer").filter("c_acctbal > 9900").select(F.expr("right(c_name, 3)").alias("name"))
     topics = table(spark, folder, "supplier").select("s_suppkey", F.col("s_name").alias("topic_name"))
     return joins.topic_prefilter(topics, names).select("s_suppkey")
 
 
+@query("topic_prefilter_all", """
+    SELECT s_suppkey FROM supplier WHERE EXISTS (
+      SELECT 1 FROM (SELECT DISTINCT right(c_name, 3) AS name FROM customer) WHERE contains(lower(s_name), lower(name)))""")
+def topic_prefilter_all(spark, folder):
+    """Suppliers whose name contains the last three digits of any customer's name."""
+    names = table(spark, folder, "customer").select(F.expr("right(c_name, 3)").alias("name"))
+    topics = table(spark, folder, "supplier").select("s_suppkey", F.col("s_name").alias("topic_name"))
+    return joins.topic_prefilter(topics, names).select("s_suppkey")
+
+
 @query("dedupe_first", oracle("""
     SELECT title, record_id FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY seq) AS rn FROM candidates)
     WHERE rn = 1 AND NOT contains(failed, 'update_type') AND NOT contains(failed, 'key_requirements')""", "candidates"))
