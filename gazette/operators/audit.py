@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from gazette import vocab
 from gazette.functions import dates, keywords, money, places
 from gazette.functions.common import blank, text
 from gazette.operators import spread
 
+#: Critical dates that make a record a dated one.
+DATE_FIELDS = ("effective_date", "compliance_date", "comment_deadline", "early_adoption_date", "updated_date")
+
 
 def unpivot(row: DataFrame, names: list[str], label: str, value: str) -> DataFrame:
     """One row per named column of a frame that is already aggregated."""
@@ -41,12 +48,17 @@ def _filled(values: Column) -> Column:
 
 
 def corpus_stats(records: DataFrame) -> DataFrame:
-    """Obligations, references, critical dates and penalties in one pass."""
+    """Obligations, references, critical dates and penalties in one pass.
+
+    A record is dated by any of its critical dates that the frame has a field for.
+    """
     requirements = F.coalesce(F.size("impact_summary.key_requirements"), F.lit(0))
     requirements = F.greatest(requirements, F.lit(0))
     refs = sum((_filled(F.col(f"reg_references.{k}")) for k in ("rules", "statutes", "other_ref")), F.lit(0))
-    dated = ~(blank(F.col("critical_dates.effective_date")) & blank(F.col("critical_dates.compliance_date"))
-              & blank(F.col("critical_dates.comment_deadline")))
+    have = records.schema["critical_dates"].dataType.fieldNames()
+    dated = reduce(or_, [~blank(F.col(f"critical_dates.{f}")) for f in DATE_FIELDS if f in have], F.lit(False))
+    if "other_dates" in have:
+        dated |= populated(F.col("critical_dates.other_dates"), "array")
     penalties = _filled(F.col("penalties_consequences"))
     mentions = money.money_mentions(F.array_join("penalties_consequences", " "))
     return records.agg(
@@ -58,6 +70,27 @@ def corpus_stats(records: DataFrame) -> DataFrame:
         F.sum(F.when(penalties > 0, mentions).otherwise(0)).alias("money_mentions"))
 
 
+def corpus_tops(records: DataFrame, sectors: DataFrame) -> DataFrame:
+    """The largest sectors, topic sectors, jurisdictions and sectors by obligations, each with its own limit.
+
+    `sectors` (topic_id, sector) is a lookup as in `sector_counts`. Topics without a sector and records without a jurisdiction
+    are in no list of theirs; equal counts go by value.
+    """
+    own, topic = F.trim(F.get(F.col("impacted_business.industry"), 0)), F.trim("sector")
+    by_topic = F.when(~blank(topic), topic)
+    place = F.get(F.col("impacted_business.jurisdiction"), 0)
+    sector = F.when(text(own) != "", own).otherwise(F.coalesce(by_topic, F.lit("Uncategorized")))
+    one, due = F.lit(1), F.greatest(F.coalesce(F.size("impact_summary.key_requirements"), F.lit(0)), F.lit(0))
+    lists = {"sector": (sector, one, 14), "topic_sector": (by_topic, one, 14),
+             "jurisdiction": (F.when(place != "", F.trim(place)), one, 20), "obligations": (sector, due, 14)}
+    rows = F.array(*[F.struct(F.lit(n).alias("dimension"), c.alias("value"), w.alias("weight")) for n, (c, w, _) in lists.items()])
+    counted = (records.join(sectors, "topic_id", "left").select(F.explode(rows).alias("p")).filter("p.value IS NOT NULL AND p.weight > 0")
+               .groupBy("p.dimension", "p.value").agg(F.sum("p.weight").alias("n")))
+    ranked = spread.top_per_group(counted, ["dimension"], [F.col("n").desc(), F.col("value")], 20, "rank")
+    limits = F.create_map(*[F.lit(x) for n, (_, _, limit) in lists.items() for x in (n, limit)])
+    return ranked.filter(F.col("rank") <= limits[F.col("dimension")])
+
+
 def sector_counts(records: DataFrame, sectors: DataFrame) -> DataFrame:
     """Records and obligations per sector: own industry, else the topic's sector, else Uncategorized.
 
@@ -92,13 +125,22 @@ def populated(c: Column, kind: str) -> Column:
     return c.isNotNull()
 
 
+def _has(kind: DataType, path: list[str]) -> bool:
+    return not path or isinstance(kind, StructType) and path[0] in kind.fieldNames() and _has(kind[path[0]].dataType, path[1:])
+
+
+def _said(records: DataFrame, path: str, kind: str) -> Column:
+    """Whether a field is filled; a field that the frame does not have never is."""
+    return populated(F.col(path), kind) if _has(records.schema, path.split(".")) else F.lit(False)
+
+
 def field_audit(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Share of records with each field filled; `fields` maps a column path to its kind.
 
-    All fields are counters of one aggregate, turned into rows afterwards.
+    All fields are counters of one aggregate, turned into rows afterwards. Fields that the frame does not have are never filled.
     """
     flat = {path.replace(".", "__"): path for path in fields}
-    row = records.agg(*[F.avg(populated(F.col(path), fields[path]).cast("double")).alias(n) for n, path in flat.items()])
+    row = records.agg(*[F.avg(_said(records, path, fields[path]).cast("double")).alias(n) for n, path in flat.items()])
     shares = unpivot(row, list(flat), "field", "share")
     return shares.select(F.regexp_replace("field", "__", ".").alias("field"),
                          F.round(100 * F.col("share"), 1).alias("percent"))
@@ -108,7 +150,7 @@ def field_audit_by_type(records: DataFrame, fields: dict[str, str], top: int = 5
     """The audit inside each of the most frequent update types."""
     flat = {path.replace(".", "__"): path for path in fields}
     per = records.groupBy("update_type").agg(F.count("*").alias("n"), *[
-        F.count_if(populated(F.col(path), fields[path])).alias(n) for n, path in flat.items()])
+        F.count_if(_said(records, path, fields[path])).alias(n) for n, path in flat.items()])
     best = per.orderBy(F.col("n").desc(), "update_type").limit(top)
     rows = best.select("update_type", "n", F.explode(F.array(*[
         F.struct(F.lit(path).alias("field"), F.col(n).alias("filled")) for n, path in flat.items()])).alias("r"))

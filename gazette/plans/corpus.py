@@ -209,6 +209,59 @@ def field_audit_by_type(spark, folder):
     return audit.field_audit_by_type(records(spark, folder), {f: AUDITED[f] for f in ("title", "regulator_name")})
 
 
+# All fields of the reference's audit; the records have no column for those whose SQL is false.
+_EVERY = {
+    "artifact_id": ("string", "record_id <> ''"), "feed_entry_id": ("string", "false"), "topic_id": ("string", "topic_id <> ''"),
+    "topic_name": ("string", "topic_name <> ''"), "topic_acronym": ("string", "false"),
+    "topic_jurisdiction_code": ("string", "jurisdiction_code <> ''"), "topic_scope": ("string", "false"), "title": ("string", "trim(title) <> ''"),
+    "link": ("string", "link <> ''"), "feed_id": ("string", "false"), "current_published_date": ("string", "false"),
+    "update_type": ("string", "update_type <> ''"), "update_subtype": ("string", "false"), "jurisdiction_tier": ("struct", "true"),
+    "regulator_name": ("string", "coalesce(regulator_name, '') <> ''"), "regulator_division": ("string", "regulator_division <> ''"),
+    "regulator_other": ("string", "false"), "classification_base_url": ("string", "false"), "classification_summary": ("string", "false"),
+    "pub_date": ("string", "pub_date <> ''"), "pub_date_valid": ("boolean", "pub_date_valid"), "impacted_functions": ("array", "true"),
+    "penalties_consequences": ("array", "true"), "tags": ("array", "true"), "entities": ("array", "true"), "actionables": ("array", "false"),
+    "critical_dates.pub_date_content": ("string", "false"), "critical_dates.effective_date": ("string", "effective_date <> ''"),
+    "critical_dates.compliance_date": ("string", "compliance_date <> ''"), "critical_dates.comment_deadline": ("string", "comment_deadline <> ''"),
+    "impact_summary.what_changed": ("string", "what_changed <> ''"), "impact_summary.why_it_matters": ("string", "why_it_matters <> ''"),
+    "impact_summary.key_requirements": ("array", "requirements > 0"), "impact_summary.objective": ("string", "false"),
+    "impact_summary.risk_impact": ("string", "false"), "reg_references.rules": ("array", "true"), "reg_references.statutes": ("array", "false"),
+    "impacted_business.jurisdiction": ("array", "true"), "impacted_business.type": ("array", "true"), "impacted_business.industry": ("array", "true"),
+    "scores.urgency.score": ("number", "urgency IS NOT NULL"), "scores.impact.score": ("number", "impact IS NOT NULL"),
+    "scores.relevance.score": ("number", "relevance IS NOT NULL"), "jurisdiction_tier.label": ("string", "tier_label <> ''"),
+    "jurisdiction_tier.tier": ("number", "true")}
+_BY_TYPE = ("title", "link", "regulator_name", "impact_summary.what_changed", "scores.urgency.score")
+
+
+@query("field_audit_all", oracle(" UNION ALL ".join(
+    f"SELECT '{f}' AS field, round(100.0 * avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 1) AS percent FROM records"
+    for f, (_, c) in _EVERY.items()), "records"))
+def field_audit_all(spark, folder):
+    rows = records(spark, folder).withColumnRenamed("record_id", "artifact_id")
+    return audit.field_audit(rows, {f: kind for f, (kind, _) in _EVERY.items()})
+
+
+@query("field_audit_by_type_all", oracle(" UNION ALL ".join(
+    f"SELECT update_type, '{f}' AS field, count(*) FILTER ({_EVERY[f][1]}) AS filled, count(*) FILTER (NOT ({_EVERY[f][1]}))"
+    " AS empty FROM records GROUP BY update_type" for f in _BY_TYPE), "records"))
+def field_audit_by_type_all(spark, folder):
+    return audit.field_audit_by_type(records(spark, folder), {f: _EVERY[f][0] for f in _BY_TYPE})
+
+
+@query("corpus_tops", oracle("""
+    SELECT dimension, value, n, rank FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS INT) AS rank FROM (
+        SELECT 'sector' AS dimension, industry AS value, count(*) AS n FROM records GROUP BY 2 UNION ALL
+        SELECT 'topic_sector', 'Sector ' || n_regionkey, count(*) FROM records JOIN nation ON n_nationkey = CAST(topic_id AS INT)
+          WHERE n_regionkey < 3 GROUP BY 2 UNION ALL
+        SELECT 'jurisdiction', impacted_1, count(*) FROM records WHERE impacted_1 <> '' GROUP BY 2 UNION ALL
+        SELECT 'obligations', industry, CAST(sum(requirements) AS BIGINT) FROM records GROUP BY 2 HAVING sum(requirements) > 0))
+    WHERE rank <= CASE dimension WHEN 'jurisdiction' THEN 20 ELSE 14 END""", "records"))
+def corpus_tops(spark, folder):
+    sectors = table(spark, folder, "nation").filter("n_regionkey < 3").select(
+        F.col("n_nationkey").cast("string").alias("topic_id"), F.concat(F.lit("Sector "), "n_regionkey").alias("sector"))
+    return audit.corpus_tops(records(spark, folder), sectors)
+
+
 @query("top_breakdown", oracle("""
     SELECT dimension, value, n, rank FROM (
       SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS INT) AS rank FROM (

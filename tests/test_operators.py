@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gazette.operators import curation, geography, heat, joins, portfolio, ranking, retrieval, runs, verdicts, versions
+from gazette.operators import audit, curation, geography, heat, joins, portfolio, ranking, retrieval, runs, verdicts, versions
 from gazette.sources import annotations, tables
 from tests.conftest import make_record
 
@@ -234,3 +234,35 @@ def test_topic_prefilter_all_looks_for_every_customer(spark):
     rich = {r.s_suppkey for r in catalog.QUERIES["topic_prefilter"](spark, folder).collect()}
     found = {r.s_suppkey for r in catalog.QUERIES["topic_prefilter_all"](spark, folder).collect()}
     assert found == wanted and found > rich
+
+
+def test_corpus_stats_takes_all_date_fields(spark):
+    from gazette.schemas import RECORD
+    from tests.conftest import make_record
+
+    schema = RECORD.replace("comment_deadline: STRING", "comment_deadline: STRING, early_adoption_date: STRING, updated_date: STRING, other_dates: ARRAY<STRING>", 1)
+    none = {"effective_date": "", "compliance_date": "", "comment_deadline": " "}
+    rows = [make_record(critical_dates={**none, **d}) for d in ({}, {"early_adoption_date": "2026-01-01"}, {"updated_date": "2026-01-01"},
+                                                                {"other_dates": ["2026-01-01"]}, {"other_dates": []}, {"compliance_date": "2026-01-01"})]
+    assert audit.corpus_stats(spark.createDataFrame(rows, schema)).first().with_dates == 4
+
+
+def test_audits_count_fields_that_the_frame_lacks_as_empty(records):
+    made = {r.field: r.percent for r in audit.field_audit(records(make_record()), {"title": "string", "feed_id": "string", "impact_summary.objective": "string"}).collect()}
+    assert made == {"title": 100.0, "feed_id": 0.0, "impact_summary.objective": 0.0}
+
+
+def test_field_audit_all_has_the_fields_of_the_reference():
+    from gazette.plans import corpus
+
+    assert len(corpus._EVERY) == 45 and sum("." in f for f in corpus._EVERY) == 19
+
+
+def test_corpus_tops_fall_back_to_the_topic_and_end_at_their_limits(spark, records):
+    place = lambda i, j: {"impacted_business": {"industry": i, "jurisdiction": j, "type": []}}
+    rows = [make_record(**place([" Banks "], [" US "])), make_record(**place([" "], [""])), make_record(topic_id="t2", **place([], None))]
+    rows += [make_record(**place(["Banks"], [f"C{k:02}"])) for k in range(30)]
+    made = [tuple(r) for r in audit.corpus_tops(records(*rows), spark.createDataFrame([("t1", " Law ")], "topic_id string, sector string")).collect()]
+    by = lambda d: [(v, n) for dim, v, n, _ in sorted(made, key=lambda r: r[3]) if dim == d]
+    assert by("sector") == [("Banks", 31), ("Law", 1), ("Uncategorized", 1)] and by("topic_sector") == [("Law", 32)]
+    assert by("jurisdiction") == [(f"C{k:02}", 1) for k in range(20)] and by("obligations") == []
