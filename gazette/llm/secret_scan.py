@@ -24,6 +24,8 @@ from gazette.llm.batches import bounded, release
 # Patterns of candidates, and words that speak for or against a secret.
 LONG = re.compile(r"[A-Za-z0-9_+/~-]{16,}(?:\.[A-Za-z0-9_+/~-]{16,})*={0,2}")
 ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}(?::=|=|:)\s{0,3}[\"']?([^\s\"'<>{}()\[\],;]{8,})")
+#: A name inside a value.
+INNER = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)(?::=|=|:)")
 PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
 #: A text without any of this has no candidate.
 _PRE = r"(?i)[0-9]|passw|pwd|secret|token|api[_-]?key|access[_-]?key|auth|BEGIN [A-Z ]*PRIVATE"
@@ -72,16 +74,30 @@ def measures(candidate: str, before: str, after: str, path: str) -> list[float]:
             float(any(w in place for w in PATHS_AGAINST))]
 
 
-def candidates(text: str):
-    """(start, stop, kind) of every candidate, in order and without overlap; where two begin together the longer counts."""
+def _found(text: str) -> list[tuple[int, int, str]]:
+    """(start, -stop, kind) of every candidate, in order; candidates may overlap, no place comes twice."""
     found = [(m.start(), -m.end(), "private_key") for m in PEM.finditer(text)]
-    found += [(m.start(1), -m.end(1), "assigned") for m in ASSIGNED.finditer(text)]
+    for m in ASSIGNED.finditer(text):
+        found.append((m.start(1), -m.end(1), "assigned"))
+        # Names inside a value, as in the query of an address, have values of their own, each up to the next name.
+        inner = list(INNER.finditer(text, *m.span(1)))
+        for name, after in zip(inner, [*[x.start() for x in inner[1:]], m.end(1)]):
+            if after - name.end() >= 8:
+                found.append((name.end(), -after, "assigned"))
     for m in LONG.finditer(text):
         word = m.group()
         if any(c.isdigit() for c in word) and any(c.isalpha() for c in word):
             found.append((m.start(), -m.end(), "string"))
-    end = 0
+    places: dict[tuple[int, int], str] = {}
     for start, stop, kind in sorted(found):
+        places.setdefault((start, stop), kind)
+    return [(start, stop, kind) for (start, stop), kind in places.items()]
+
+
+def candidates(text: str):
+    """(start, stop, kind) of candidates in order and without overlap; where two begin together the longer counts."""
+    end = 0
+    for start, stop, kind in _found(text):
         if start >= end:
             end = -stop
             yield start, end, kind
@@ -131,18 +147,24 @@ def train(spark: SparkSession, rows: list[tuple[str, str, str, str, int]] | None
 
 
 def _judged(texts: pa.Array, paths: list, forest: Forest, least: float):
-    """(index of the text, start, stop, kind, score) of all kept findings of the texts."""
+    """(index of the text, start, stop, kind, score) of all kept findings of the texts, in order.
+
+    Every candidate is judged; of those that are kept, one that lies within another is left out.
+    """
     at = np.flatnonzero(np.asarray(pc.match_substring_regex(texts.fill_null(""), _PRE).cast(pa.int8())))
     spots, rows = [], []
     for i in at.tolist():
         text = texts[i].as_py()
-        for start, stop, kind in candidates(text):
+        for start, stop, kind in _found(text):
+            stop = -stop
             spots.append((i, start, stop, kind))
             rows.append(measures(text[start:stop], text[max(0, start - NEAR):start], text[stop:stop + NEAR], paths[i] or ""))
     if not rows:
         return
+    reach = (-1, 0)
     for spot, score in zip(spots, forest(np.array(rows))):
-        if score >= least:
+        if score >= least and (spot[0], spot[2]) > reach:
+            reach = (spot[0], spot[2])
             yield *spot, float(score)
 
 
@@ -176,7 +198,10 @@ def redacted(body: Column, path: Column, forest: Forest, mark: str = "[SECRET]",
         out = texts.tolist()
         cuts: dict[int, list] = {}
         for i, start, stop, _, _ in _judged(pa.array(out, pa.string()), paths.tolist(), forest, least):
-            cuts.setdefault(i, []).append((start, stop))
+            spots = cuts.setdefault(i, [])
+            if spots and start < spots[-1][1]:
+                start = spots.pop()[0]
+            spots.append((start, stop))
         for i, spots in cuts.items():
             text = out[i]
             for start, stop in reversed(spots):

@@ -156,3 +156,19 @@ def test_candidates_do_not_overlap():
     got = list(secret_scan.candidates(text))
     assert [k for _, _, k in got] == ["private_key", "assigned", "assigned"] and text[slice(*got[0][:2])] == pem
     assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+
+
+def known(x):
+    """A stand-in for the forest that keeps candidates with a known beginning."""
+    return x[:, secret_scan.FEATURES.index("known")]
+
+
+def test_candidates_inside_a_rejected_one_are_judged(frame):
+    token = "ghp_" + "a1B2" * 9
+    texts = [f"auth=https://bot:{token}@host", f"auth=http://h?token={token}&password=AKIAhunt", f"-----BEGIN PRIVATE KEY-----\nabc token = {token}"]
+    df = frame(list(enumerate(texts)), DOCS)
+    found = sorted((r.doc_id, r.secret) for r in secret_scan.scan(df, known).collect())
+    pem = texts[2][:texts[2].index("_")]
+    assert found == [(0, token), (1, "AKIAhunt"), (1, f"{token}&"), (2, pem), (2, token)]
+    made = [r.t for r in df.select("doc_id", secret_scan.redacted(F.col("text"), F.lit(""), known).alias("t")).orderBy("doc_id").collect()]
+    assert made == ["auth=https://bot:[SECRET]@host", "auth=http://h?token=[SECRET]password=[SECRET]", "[SECRET]"]
