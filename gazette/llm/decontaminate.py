@@ -3,7 +3,7 @@
 Words are lower-cased runs of ASCII letters, digits and any other non-ASCII characters. Every window of `seed` words
 has a running Karp-Rabin hash; windows that a document and an item share are seeds, and a run of seeds along a diagonal
 is a match. Tiling takes the longest match again and again and marks its words on both sides; what is left of matches that
-lose words to it stays in the race while it has `seed` words. The share of an item's words under tiles is its coverage, whatever
+lose words to it stays in the race while it has `seed` words. An item of fewer words has one window, of all its words. The share of an item's words under tiles is its coverage, whatever
 the order of the passages.
 
 Documents are read once. A bit table of the items' seeds, of bounded size whatever the items, drops windows that no item
@@ -34,22 +34,27 @@ _ROWS = "part int, salt int, kind int, doc bigint, row bigint, words int, places
 _MATCHES = "doc bigint, row bigint, item bigint, words int, matches binary"
 
 
-def _windows(texts: pa.Array, size: int):
-    """(index of the text, place, hash) of all windows, and the number of words of every text."""
+def _windows(texts: pa.Array, size: int, shorter=()):
+    """(index of the text, place, hash) of all windows, those of `shorter` sizes included, and the number of words of every text."""
     hashes, owner = hashing.words(pc.utf8_lower(texts.cast(pa.large_string())), "marks")
     count = np.bincount(owner, minlength=len(texts))
-    runs = hashing.rolling(hashes, size)
-    inside = owner[:len(runs)] == owner[size - 1:] if len(runs) else np.empty(0, bool)
     first = np.cumsum(count) - count
-    at = np.flatnonzero(inside)
-    return owner[at], at - first[owner[at]], runs[at], count
+    found = []
+    for k in (size, *shorter):
+        runs = hashing.rolling(hashes, k)
+        at = np.flatnonzero(owner[:len(runs)] == owner[k - 1:]) if len(runs) else np.empty(0, np.int64)
+        found.append((owner[at], at - first[owner[at]], runs[at]))
+    return *(np.concatenate(x) for x in zip(*found)), count
 
 
 def _items(seed: int):
     def run(batches):
         for batch in batches:
             for at, texts in hashing.pieces_of(batch.column(1)):
-                owner, place, hashes, count = _windows(texts, seed)
+                # Windows of fewer words than `seed` are those of items that have no more.
+                parts = [(k, _windows(texts, k)) for k in range(1, seed + 1)]
+                count = parts[-1][1][3]
+                owner, place, hashes = (np.concatenate([x[c][(count[x[0]] == k) | (k == seed)] for k, x in parts]) for c in range(3))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(texts)).take(pa.array(owner)), pa.array(count[owner].astype(np.int32)),
                     pa.array(place.astype(np.int32)), pa.array(hashes.view(np.int64))], ["item", "words", "place", "hash"])
@@ -57,7 +62,7 @@ def _items(seed: int):
     return run
 
 
-def _hits(seed: int, table, parts: int, salts: int):
+def _hits(seed: int, shorter: list[int], table, parts: int, salts: int):
     """Windows of documents that the bit table knows, a row for each document and part."""
 
     def run(batches):
@@ -66,7 +71,7 @@ def _hits(seed: int, table, parts: int, salts: int):
         for batch in batches:
             out = {n: [] for n in ("part", "doc", "row", "words", "places", "hashes")}
             for start, texts in hashing.pieces_of(batch.column(1)):
-                owner, place, hashes, count = _windows(texts, seed)
+                owner, place, hashes, count = _windows(texts, seed, shorter)
                 at = hashes & mask
                 known = np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
                 owner, place, hashes = owner[known], place[known].astype(np.int32), hashes[known]
@@ -171,10 +176,11 @@ def _tile(seed: int, least: float):
             out = {n: [] for n in names}
             for doc, row, item, words, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 pairs = np.unique(np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in parts]), axis=0)
-                # A window covers `seed` words at most, so fewer windows than this cannot reach the coverage.
-                if len(np.unique(pairs[:, 0])) * seed < least * words:
+                size = min(seed, words)
+                # A window covers `size` words at most, so fewer windows than this cannot reach the coverage.
+                if len(np.unique(pairs[:, 0])) * size < least * words:
                     continue
-                found = tiles(pairs[:, 0], pairs[:, 1], seed)
+                found = tiles(pairs[:, 0], pairs[:, 1], size)
                 covered = sum(n for _, _, n in found)
                 if covered >= least * words:
                     made = [{"item_place": s, "doc_place": p, "words": n} for s, p, n in sorted(found)]
@@ -190,15 +196,18 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", body: str =
     """(key, item_key, item_words, covered, coverage, tiles) for every document and item with a coverage of at least `least`.
 
     A tile is its place in the item, its place in the document and its number of words. Items of fewer than `seed`
-    words and null or empty texts match nothing. Rows that repeat a document's key are tiled one by one and give a row
-    each; rows that repeat an item's key are one item whose windows come from all of them. Documents without a key are reported with a
+    words match as a whole, null or empty texts match nothing. Rows that repeat a document's key are tiled one by one and give a row
+    each; rows that repeat an item's key are one item whose windows come from all of them that have `seed` words, else from the longest. Documents without a key are reported with a
     null key, items without one are not compared. Other columns are not read. Empty tables give an empty table.
     """
     spark = docs.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seeds = stored(items.select(F.col(item_key).cast("bigint"), F.col(item_body).cast("string")).filter(F.col(item_key).isNotNull())
                    .mapInArrow(_items(seed), _SEEDS), "seeds")
-    n = seeds.count()
+    n, shorter = seeds.agg(F.count("*"), F.sort_array(F.collect_set(F.when(F.col("words") < seed, F.col("words"))))).first()
+    if shorter:
+        longest = seeds.groupBy("item").agg(F.max("words").alias("_longest"))
+        seeds = stored(seeds.join(longest, "item").filter(F.least("_longest", F.lit(seed)) == F.least("words", F.lit(seed))).drop("_longest"), "seeds")
     bits = min(MOST_BITS, 1 << max(10, (16 * n).bit_length()))
     words = (seeds.select(F.expr(f"(hash & {bits - 1}L) >> 6").alias("word"), F.expr("shiftleft(1L, cast(hash & 63L AS int))").alias("bit"))
              .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
@@ -211,7 +220,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", body: str =
               .groupBy("part", "slice").applyInArrow(_packed, _ROWS))
     packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("part", "salt", *[c.split()[0] for c in _ROWS.split(", ")[2:]])
     hits = bounded(docs).select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(
-        tidy(_hits(seed, spark.sparkContext.broadcast(table.tobytes()), parts, salts)), _ROWS)
+        tidy(_hits(seed, shorter, spark.sparkContext.broadcast(table.tobytes()), parts, salts)), _ROWS)
     met = (hits.unionByName(packed).repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(_meet, _MATCHES))
     sizes = seeds.groupBy("item").agg(F.max("words").alias("words"))
     pairs = met.groupBy("row", "item").agg(F.first("doc").alias("doc"), F.collect_list("matches").alias("matches")).join(sizes, "item")

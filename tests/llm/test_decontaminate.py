@@ -95,3 +95,13 @@ def test_empty_tables_and_other_columns(frame):
     assert decontaminate.matches(frame([(1, "a b c d e f")], DOCS), frame([], ITEMS)).count() == 0
     made = decontaminate.matches(frame([(1, "a b c d e f", 9, 8)], DOCS + ", item_id int, row int"), frame([(2, "a b c d e f", 7)], ITEMS + ", doc_id int")).first()
     assert (made.doc_id, made.item_id, made.coverage) == (1, 2, 1.0)
+
+
+def test_items_shorter_than_a_seed_match_as_a_whole(frame):
+    items = [(1, "alpha beta"), (2, "gamma"), (3, "one two three"), (4, "a b c d e f"), (5, "alpha"), (5, "alpha beta gamma"), (6, "x y"), (6, "p q r s t u")]
+    docs = [(1, "so Alpha, beta then alpha beta"), (2, "gamma gamma alpha"), (3, "one two and three"), (4, "a b c d"), (5, "alpha beta gamma"),
+            (6, "one two three"), (7, "x y and no more"), (8, "p q r s t u"), (9, "a b c d e")]
+    made = decontaminate.matches(frame(docs, DOCS), frame(items, ITEMS), seed=5, least=0.5).collect()
+    got = sorted((r.doc_id, r.item_id, r.item_words, r.covered, [tuple(t) for t in r.tiles]) for r in made)
+    assert got == [(1, 1, 2, 2, [(0, 1, 2)]), (2, 2, 1, 1, [(0, 0, 1)]), (5, 1, 2, 2, [(0, 0, 2)]), (5, 2, 1, 1, [(0, 2, 1)]), (5, 5, 3, 3, [(0, 0, 3)]),
+                   (6, 3, 3, 3, [(0, 0, 3)]), (8, 6, 6, 6, [(0, 0, 6)]), (9, 4, 6, 5, [(0, 0, 5)])]
