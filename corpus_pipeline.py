@@ -4,8 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all documents that its prede
 the columns of documents. sf_dir names the folder with the labels and the benchmark.
 
 Rows without a doc_id cannot be named by a link or a match, so the Jaccard and benchmark stages keep them. Rows that repeat an
-id are scored one by one; if one of them goes in the Jaccard or benchmark stage, all rows with that id go, and of rows that
-repeat both the id and the text one stays.
+id stay or go one by one; of rows that repeat both the id and the text one is left by the Jaccard stage.
 """
 
 from __future__ import annotations
@@ -26,24 +25,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic_scores(spark, docs.select(*COLUMNS), sf_dir).filter("score < 0.5").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with `repeats`, whether their id occurs more than once, and `row`, a key of the id and text: the id if it occurs once, else a 64-bit hash."""
+    ids = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("repeats")), "repeats")
+    docs = docs.select(*COLUMNS).join(ids, "doc_id", "left").withColumn("repeats", F.coalesce("repeats", F.lit(False)))
+    # Null and empty texts differ.
+    return docs.withColumn("row", F.when(F.col("repeats"), F.xxhash64("doc_id", F.col("text").isNull(), "text")).otherwise(F.col("doc_id").cast("bigint")))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group linked by a Jaccard similarity of 0.8 on shingles of five words."""
-    groups = jaccard.classes(docs, size=5, num=80, den=100).filter("doc_id IS NOT NULL")
-    ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("goes"), F.count("*").alias("n"))
-    odd = stored(ids.filter("goes OR n > 1"), "odd")
-    docs = docs.select(*COLUMNS)
-    once = docs.join(odd.select("doc_id"), "doc_id", "left_anti")
-    # Ids that stay and occur more than once are looked at again; their texts are few.
-    again = docs.join(odd.filter("NOT goes").select("doc_id"), "doc_id", "left_semi")
-    repeated = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
-    again = again.withColumn("_n", F.row_number().over(repeated)).filter("_n = 1").drop("_n")
-    return once.unionByName(again).select(*COLUMNS)
+    docs = _keyed(docs)
+    groups = stored(jaccard.classes(docs, key="row", size=5, num=80, den=100).filter("row IS NOT NULL").select("row", "component_id"), "groups")
+    # Groups with a repeated id: keys that are hashes do not tell the least id, so the first row is looked for by its id.
+    owners = stored(docs.filter("repeats").select("row", "doc_id").distinct(), "owners")
+    mixed = groups.join(owners, "row", "left_semi").select("component_id").distinct()
+    inside = groups.join(mixed, "component_id", "left_semi").join(owners, "row", "left")
+    first = F.min(F.struct(F.coalesce("doc_id", "row").alias("id"), "row"))
+    firsts = stored(inside.groupBy("component_id").agg(first["row"].alias("first")), "firsts")
+    gone = groups.join(firsts, "component_id", "left").filter(F.col("row") != F.coalesce("first", "component_id")).select("row").distinct()
+    kept = docs.join(stored(gone, "gone"), "row", "left_anti")
+    same = Window.partitionBy("row", F.xxhash64("text")).orderBy("source", "lang", "n_chars")
+    again = kept.filter("repeats").withColumn("_n", F.row_number().over(same)).filter("_n = 1")
+    return kept.filter("NOT repeats").select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item has half of its words under tiles."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), seed=5, least=0.5)
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    docs = _keyed(docs)
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), key="row", seed=5, least=0.5)
+    return docs.join(found.select("row").distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,3 +112,13 @@ def test_no_documents(spark, frame):
     for name, stage in corpus_pipeline.STAGES:
         made = stage(spark, docs, FOLDER)
         assert made.count() == 0 and (name == "packing" or made.columns == corpus_pipeline.COLUMNS)
+
+
+def test_rows_that_repeat_an_id_go_one_by_one(spark, frame):
+    stages = dict(corpus_pipeline.STAGES)
+    a, b, c = "one two three four five six seven", "red green blue pink grey black white", "north south east west up down left"
+    left = lambda name, rows: sorted((r.doc_id, r.text) for r in stages[name](spark, frame([(*r, "en", "s", 1) for r in rows], SCHEMA), FOLDER).collect())
+    assert left("ngram_jaccard", [(3, a), (3, b), (1, b), (9, a)]) == [(1, b), (3, a)]
+    assert left("ngram_jaccard", [(3, a), (3, b), (5, b), (2, a), (7, c), (7, c), (7, "")]) == [(2, a), (3, b), (7, ""), (7, c)]
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    assert left("decontamination", [(3, a), (3, item), (4, item), (5, b)]) == [(3, a), (5, b)]
