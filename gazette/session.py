@@ -67,3 +67,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str):
     """One parquet table of a data folder."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that no later step reads, on whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
