@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm import chat, decontaminate, embeddings, jaccard, lm, packing, quality, secret_scan, toxicity, warc
+from gazette.llm import (chat, decontaminate, embeddings, jaccard, lm, packing, quality, secret_scan, spelling, token_files, toxicity,
+                         vector_codes, warc)
 from gazette.plans.registry import Query
 from gazette.session import fresh_path, stored, table
 
@@ -230,3 +231,78 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     made = secret_scan.scan(table(spark, folder, "documents"), secret_scan.train(spark), path="source")
     return made.select("doc_id", "start", "length", "kind", F.sha2("secret", 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd's rounds one after the other, each an assignment and a mean."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, e, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+    SELECT vec_id, p, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * {entries} + e) AS best
+    FROM parts JOIN b{r} USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, (best % {entries})::BIGINT AS e, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, len(x) + 1) t(i) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (
+    SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM m{r} GROUP BY p, e
+    UNION ALL SELECT p, e, c FROM b{r} WHERE (p, e) NOT IN (SELECT (p, e) FROM m{r}))""")
+    steps.append(f"""coded AS (
+    SELECT vec_id, string_agg(printf('%02x', (best % {entries})::INT), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), book""")
+    return ",\n".join(steps)
+
+
+@query("op11_member_resident_lloyd", _codes_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    coded, book = vector_codes.codes(table(spark, folder, "embeddings"))
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.book_digest(book)).alias("codebooks_sha256"))
+
+
+@query("op12_elias_fano_token_files")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = token_files.archive(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of every byte, by the rule of its reflected polynomial."""
+    made = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        made.append(c)
+    return made
+
+
+_SPELLING_SQL = f"""
+WITH RECURSIVE said AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '{spelling.RUN}')) AS w FROM documents),
+runs AS MATERIALIZED (SELECT w, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM said WHERE length(w) >= 5 GROUP BY doc_id, w),
+hashed AS (SELECT w, c, xor(list_reduce(list_transform(range(length(x) // 2),
+    lambda i: instr('123456789ABCDEF', x[2 * i + 1]) * 16 + instr('123456789ABCDEF', x[2 * i + 2])),
+    lambda s, b: xor(s >> 8, {_crc_table()}[xor(s, b) % 256 + 1]), 4294967295), 4294967295) AS h FROM runs),
+made AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed),
+vocabulary AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+holes AS MATERIALIZED (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS hole, substr(word, 1, i) || substr(word, i + 2) AS less
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary)),
+fewer AS (SELECT DISTINCT word, n, less FROM holes),
+near AS MATERIALIZED (
+    SELECT x.word AS a, y.word AS b, y.n FROM holes x JOIN holes y ON x.hole = y.hole AND x.word <> y.word
+    UNION ALL SELECT f.word, v.word, v.n FROM fewer f JOIN vocabulary v ON f.less = v.word
+    UNION ALL SELECT v.word, f.word, f.n FROM fewer f JOIN vocabulary v ON f.less = v.word),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS m FROM near GROUP BY a),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN b END AS form,
+    CASE WHEN m >= 2 * n THEN m END AS form_n FROM vocabulary LEFT JOIN best ON a = word),
+walk(word, here) AS (SELECT word, form FROM forms WHERE form IS NOT NULL
+    UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.here WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word, w.here FROM walk w JOIN forms f ON f.word = w.here WHERE f.form IS NULL)
+SELECT word, n, n_near, form, form_n, coalesce(here, word) AS root FROM forms LEFT JOIN ends USING (word)"""
+
+
+@query("op13_partenum_spelling", _SPELLING_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(stored(spelling.words(table(spark, folder, "documents")), "words"))

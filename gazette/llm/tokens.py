@@ -105,3 +105,98 @@ class Encoder:
                 pieces.append(ids)
             out = np.concatenate(pieces)
         return out, lengths
+
+
+class Words:
+    """Ids of texts by a vocabulary that drops white space and lowers case, with every distinct word encoded once.
+
+    Such a vocabulary never joins characters across white space, so the ids of a text are those of the runs between ASCII
+    white space, one after the other. Sentence marks at the end of a run, behind a letter or digit, are a run of their own, and
+    A-Z are lowered beforehand, so that fewer runs are distinct. At most `keep` of them are remembered.
+    """
+
+    MARK = "\x01"
+
+    def __init__(self, path: str, keep: int = 1 << 19):
+        import os
+
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.size, self.keep = self.tokenizer.get_vocab_size(), keep
+        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. Many go as one text, with a mark between them that is a token of its own."""
+        if any(self.MARK in w for w in words) or len(self.mark) != 1:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        made = []
+        between = f" {self.MARK} "
+        for one in self.tokenizer.encode_batch_fast([between.join(words[i:i + RUN]) for i in range(0, len(words), RUN)], add_special_tokens=False):
+            ids = np.array(one.ids, np.uint32)
+            made += np.split(ids, np.flatnonzero(ids == self.mark[0]))
+        # Each but the first of a text begins with the mark.
+        return [x[1:] if i % RUN else x for i, x in enumerate(made)]
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Rows of words in the table of known ones, which learns those that are new."""
+        known = self.known
+        rows = [known.get(w, -1) for w in words]
+        fresh = list(dict.fromkeys(w for w, r in zip(words, rows) if r < 0))
+        if fresh:
+            if len(known) + len(fresh) > self.keep and known:
+                self._forget()
+                return self._rows(words)
+            found = self._encoded(fresh)
+            sizes = np.array([len(x) for x in found], np.int32)
+            ends = len(self.flat) + np.cumsum(sizes, dtype=np.int64)
+            self.known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+            self.flat = np.concatenate([self.flat, *found])
+            self.begin, self.sizes = np.concatenate([self.begin, ends - sizes]), np.concatenate([self.sizes, sizes])
+            rows = [known[w] for w in words]
+        return np.array(rows, np.int64)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order and their number for each text; a null text has none."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        counts = np.asarray(pc.list_value_length(parts)).astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        runs = coded.dictionary
+        stem = pc.utf8_rtrim(runs, characters=".,;:!?")
+        apart = pc.match_substring_regex(stem, r"[\p{L}\p{N}]$")
+        low = pc.ascii_lower(pc.if_else(apart, stem, runs))
+        longer = np.flatnonzero(np.asarray(pc.binary_length(low)) < np.asarray(pc.binary_length(runs)))
+        # What was cut off is ASCII, so its length in bytes is that in characters.
+        cut = runs.take(pa.array(longer)).to_pylist()
+        tails = [run[len(word):] for run, word in zip(cut, low.take(pa.array(longer)).to_pylist())]
+        rows = self._rows([*low.to_pylist(), *tails, ""])
+        head, tail = rows[:len(runs)], np.full(len(runs), rows[-1])
+        tail[longer] = rows[len(runs):-1]
+        # Ids of each distinct run: those of its stem and those of its tail.
+        both = np.stack([head, tail], 1).reshape(-1)[np.stack([coded.indices.to_numpy() * 2, coded.indices.to_numpy() * 2 + 1], 1).reshape(-1)]
+        size = self.sizes[both].astype(np.int64)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.flat[np.repeat(self.begin[both] - ends + size, size) + np.arange(total)]
+        upto = np.concatenate([[0], ends[1::2]])[np.concatenate([[0], np.cumsum(counts)])]
+        return out, np.diff(upto)
+
+
+_shared: dict[str, Words] = {}
+
+
+def shared_words(path: str) -> Words:
+    """One encoder for all tasks of a worker, so that words that one task has met are known to the next."""
+    if path not in _shared:
+        _shared.clear()
+        _shared[path] = Words(path)
+    return _shared[path]
