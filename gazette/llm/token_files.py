@@ -38,6 +38,8 @@ MAGIC = b"gztokens"
 TRAILER = struct.Struct("<qqqqqqq8s")
 #: Ids after which a task begins another file; places in it fit into 32 bits.
 FULL = 1 << 29
+#: Bytes of texts that are encoded at a time; more of them have fewer distinct words each.
+GATHERED = 8 << 20
 #: Ids that a reader takes in at a time, unless one document has more.
 TAKEN = 1 << 20
 
@@ -86,8 +88,8 @@ def _written(folder: str, tokenizer: str, end: int, full: int):
         words = shared_words(tokenizer)
         width = 2 if max(words.size, end + 1) <= 1 << 16 else 4
         shard, part, file, have = TaskContext.get().partitionId(), 0, None, 0
-        for batch in gathered(batches, 4 << 20):
-            for at, texts in pieces_of(batch.column(1), min(4 << 20, full), 1 << 16):
+        for batch in gathered(batches, GATHERED):
+            for at, texts in pieces_of(batch.column(1), min(GATHERED, full), 1 << 16):
                 flat, sizes = words.ids(texts)
                 flat = np.insert(flat, np.cumsum(sizes), end)
                 if file is not None and have + len(flat) > full:

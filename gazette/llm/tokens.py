@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -117,50 +119,62 @@ class Words:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, keep: int = 1 << 19):
+    def __init__(self, path: str, keep: int = 3 << 18):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size, self.keep = self.tokenizer.get_vocab_size(), keep
-        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        made = self.tokenizer.encode(self.MARK, add_special_tokens=False)
+        self.mark = made.ids if len(made.ids) == 1 else None
+        # Runs of a-z alone need no normal form and no splitting, which cost as much as the vocabulary itself. There the mark
+        # is written as the vocabulary has it.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.plain_mark = made.tokens[0].removesuffix(self.plain.model.end_of_word_suffix or "") if self.mark else None
+        test = [self.plain_mark or "", "abcdefghijklmnopqrstuvwxyz", "the"]
+        same = [self.tokenizer.encode(w if w != test[0] else self.MARK, add_special_tokens=False).ids == self.plain.encode(w, add_special_tokens=False).ids for w in test]
+        self.plainly = bool(self.mark) and all(same)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.begin, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def _encoded(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word. Many go as one text, with a mark between them that is a token of its own."""
-        if any(self.MARK in w for w in words) or len(self.mark) != 1:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        made = []
-        between = f" {self.MARK} "
-        for one in self.tokenizer.encode_batch_fast([between.join(words[i:i + RUN]) for i in range(0, len(words), RUN)], add_special_tokens=False):
-            ids = np.array(one.ids, np.uint32)
-            made += np.split(ids, np.flatnonzero(ids == self.mark[0]))
-        # Each but the first of a text begins with the mark.
-        return [x[1:] if i % RUN else x for i, x in enumerate(made)]
+    def _encoded(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order and their number for each. Many go as one text, each behind a mark that is a token of its own."""
+        if not words:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        tokenizer, mark = (self.plain, self.plain_mark) if plain else (self.tokenizer, self.MARK)
+        if self.mark is None or not plain and any(mark in w for w in words):
+            found = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *(np.array(x, np.uint32) for x in found)]), np.array([len(x) for x in found], np.int64)
+        head, between = f"{mark} ", f" {mark} "
+        made = tokenizer.encode_batch_fast([head + between.join(words[i:i + RUN]) for i in range(0, len(words), RUN)], add_special_tokens=False)
+        ids = np.concatenate([np.array(one.ids, np.uint32) for one in made])
+        marks = ids == self.mark[0]
+        return ids[~marks], np.diff(np.append(np.flatnonzero(marks), len(ids))) - 1
 
     def _rows(self, words: list[str]) -> np.ndarray:
         """Rows of words in the table of known ones, which learns those that are new."""
         known = self.known
-        rows = [known.get(w, -1) for w in words]
-        fresh = list(dict.fromkeys(w for w, r in zip(words, rows) if r < 0))
-        if fresh:
+        rows = list(map(known.get, words, repeat(-1)))
+        if min(rows, default=0) < 0:
+            fresh = list(dict.fromkeys(w for w, r in zip(words, rows) if r < 0))
             if len(known) + len(fresh) > self.keep and known:
                 self._forget()
                 return self._rows(words)
-            found = self._encoded(fresh)
-            sizes = np.array([len(x) for x in found], np.int32)
-            ends = len(self.flat) + np.cumsum(sizes, dtype=np.int64)
-            self.known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-            self.flat = np.concatenate([self.flat, *found])
-            self.begin, self.sizes = np.concatenate([self.begin, ends - sizes]), np.concatenate([self.sizes, sizes])
-            rows = [known[w] for w in words]
+            plain = [w for w in fresh if w.isascii() and w.isalpha() and w.islower()] if self.plainly else []
+            fresh = plain + [w for w in fresh if not (w.isascii() and w.isalpha() and w.islower())] if plain else fresh
+            flat, sizes = (np.concatenate(x) for x in zip(self._encoded(plain, True), self._encoded(fresh[len(plain):], False)))
+            ends = len(self.flat) + np.cumsum(sizes)
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+            self.flat = np.concatenate([self.flat, flat])
+            self.begin, self.sizes = np.concatenate([self.begin, ends - sizes]), np.concatenate([self.sizes, sizes.astype(np.int32)])
+            rows = list(map(known.__getitem__, words))
         return np.array(rows, np.int64)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
