@@ -10,8 +10,10 @@ Plan, every step a Spark shuffle of bounded groups:
 3. Per map task, sets are put in rare-first order. The prefix of a set is its n - ceil(t * n) + 1 rarest shingles;
    two sets with Jaccard similarity t or more share one of them. A set whose prefix holds only unshared shingles is
    done.
-4. In a few rounds, every set is compared with a few sets (hubs) of its prefix shingles that are not in its class yet.
-   Links found so join copies into classes, with a few rows per copy and none per pair of copies.
+4. In rounds, every set is compared with a few sets (hubs) of its prefix shingles that are not in its class yet: first those
+   with the fewest shingles of their own, which the text that copies were made from has, then others by chance. Links
+   found so join copies into classes, with a few rows per copy and none per pair of copies. Rounds go on while they find
+   links and the sets of a shingle that are apart could still make many pairs.
 5. Sets that share a prefix shingle and are still in different classes are then compared, all of them. The join
    condition holds the length, positional and suffix filters, so pairs that they exclude are never made.
 6. Candidate pairs are made distinct, and each is verified once on the exact intersection of the shared shingles.
@@ -37,8 +39,11 @@ from gazette.session import stored
 WORDS = 8
 #: A task sends a shingle as a count once this share of its documents has it.
 FREQUENT = 1024
-#: Rounds before all pairs that are still apart are compared, and hubs per set in each.
-ROUNDS, HUBS = 1, 4
+#: Hubs per shingle in the first round and in later ones, and how many of them a set is verified with in a round.
+HUBS, MORE_HUBS, TRIED = 4, 32, 4
+#: Rounds go on while the sets that are apart could make more than this many pairs for each of their rows. All pairs that
+#: are left after the last round are compared whatever their number, so this decides about work, not about links.
+ROUNDS, PAIRS_A_ROW = 8, 4
 
 _SENT = "seg int, task int, kind int, at binary, hash binary, count binary, info binary"
 _SETS = "doc_id bigint, vid binary, n int, head int, keys array<bigint>, shared binary, sketch array<bigint>"
@@ -322,27 +327,37 @@ def classes(docs: DataFrame, key: str = "doc_id", body: str = "text", size: int
     linked = _may_link(num, den)
     pair = [F.least("x.vid", "y.vid").alias("a"), F.greatest("x.vid", "y.vid").alias("b")]
     links, compared, roots = None, None, None
+    open_ = stored(_open(keyed, roots), "open")
     for round_ in range(ROUNDS):
-        open_ = stored(_open(keyed, roots), "open")
-        # Hubs of a shingle: the sets that are least under a few hashes, the same for most shingles of a group of copies.
-        order = lambda c, k: F.xxhash64(c, F.lit(HUBS * round_ + k))
-        hubs = open_.groupBy("word").agg(F.array(*[F.min_by("vid", order("vid", k)) for k in range(HUBS)]).alias("vid"))
-        hubs = open_.join(hubs.select("word", F.explode(F.array_distinct("vid")).alias("vid")), ["word", "vid"], "left_semi")
+        order = lambda c, k: F.xxhash64(c, F.lit(k))
+        if round_ == 0:
+            # The same sets for most shingles of a group of copies: half of them those with few shingles of their own.
+            own = lambda k: F.struct((F.col("head") / F.col("n")).alias("own"), order("vid", k).alias("by"))
+            least = [F.min_by("vid", own(k) if k < HUBS // 2 else order("vid", k)) for k in range(HUBS)]
+            hubs = open_.groupBy("word").agg(F.array_distinct(F.array(*least)).alias("vid"))
+            hubs = open_.join(hubs.select("word", F.explode("vid").alias("vid")), ["word", "vid"], "left_semi")
+        else:
+            hubs = spread.top_per_group(open_, ["word"], [order("vid", round_)], MORE_HUBS)
         near = open_.alias("x").join(hubs.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.root") != F.col("y.root")) & linked)
         near = near.select(F.col("x.vid").alias("vid"), F.col("y.vid").alias("hub")).distinct()
-        near = spread.top_per_group(near, ["vid"], [order("hub", 0), F.col("hub")], HUBS)
+        near = spread.top_per_group(near, ["vid"], [order("hub", round_), F.col("hub")], TRIED)
         pairs = near.select(F.least("vid", "hub").alias("a"), F.greatest("vid", "hub").alias("b")).distinct()
         pairs = stored(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         found = stored(_verify(pairs, kept, num, den), "links")
         compared = pairs if compared is None else compared.unionByName(pairs)
+        if found.isEmpty():
+            break
         links = found if links is None else links.unionByName(found)
         roots = components(links).withColumnsRenamed({"node": "vid"})
+        open_ = stored(_open(keyed, roots), "open")
+        if not _crowded(open_):
+            break
     # What is still apart and shares a prefix shingle is compared, pair by pair.
-    open_ = stored(_open(keyed, roots), "open")
     apart = (F.col("x.word") == F.col("y.word")) & (F.col("x.root") < F.col("y.root"))
     crossing = open_.alias("x").join(open_.alias("y"), apart & linked).select(*pair).distinct()
-    last = _verify(crossing.join(compared, ["a", "b"], "left_anti"), kept, num, den)
-    roots = components(links.unionByName(last)).withColumnsRenamed({"node": "vid"})
+    last = stored(_verify(crossing.join(compared, ["a", "b"], "left_anti"), kept, num, den), "links")
+    if roots is None or not last.isEmpty():
+        roots = components(last if links is None else links.unionByName(last)).withColumnsRenamed({"node": "vid"})
     return _labelled(table, roots, key)
 
 
@@ -356,6 +371,14 @@ def _open(keyed: DataFrame, roots: DataFrame | None) -> DataFrame:
     return placed.join(several.select("word"), "word", "left_semi")
 
 
+def _crowded(open_: DataFrame) -> bool:
+    """Whether the sets of a shingle that are in different classes could make many pairs for each row."""
+    per_class = open_.groupBy("word", "root").agg(F.count("*").cast("double").alias("n"))
+    per_word = per_class.groupBy("word").agg(F.sum("n").alias("rows"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+    pairs, rows = per_word.agg(F.sum("pairs"), F.sum("rows")).first()
+    return (pairs or 0) > PAIRS_A_ROW * (rows or 0)
+
+
 def _labelled(table: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """Every document with the least key of its class; classes of one set are labelled by that set's rows."""
     rows = table.select("doc_id", "vid", "n")

@@ -86,3 +86,25 @@ def test_a_set_at_the_threshold_links(frame):
     # 9 of 10 shingles of one word are shared: exactly 90 %.
     docs = [(1, " ".join("abcdefghij")), (2, " ".join("abcdefghi")), (3, " ".join("abcdefgh"))]
     check(frame, docs, 1, 90)
+
+
+def test_a_group_of_near_copies_makes_no_square(frame, monkeypatch):
+    """Copies with one word changed each: about a twentieth of all pairs link, and all hang together by way of the original."""
+    r, verified = random.Random(2), []
+    real = jaccard._verify
+
+    def counted(pairs, *rest):
+        verified.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    for original in (True, False):
+        verified.clear()
+        base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        docs = [(9999, " ".join(base))] if original else []
+        for i in range(400):
+            copy = list(base)
+            copy[r.randrange(60)] = f"e{i}"
+            docs.append((i, " ".join(copy)))
+        check(frame, docs, 5, 80)
+        assert sum(verified) < 10 * len(docs) and verified[-1] < len(docs)
