@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gazette.llm.batches import bounded, gathered, tidy
 from gazette.llm.hashing import pieces_of
-from gazette.llm.tokens import Encoder
+from gazette.llm.tokens import Encoder, shared
 from gazette.session import fresh_path
 
 _TOKENS = "part int, row bigint, doc bigint, queue string, local bigint, doc_tokens bigint, ids binary"
@@ -34,7 +34,7 @@ def _tokenize(path: str, end: int, narrow: bool):
     kind = "<u2" if narrow else "<u4"
 
     def run(batches):
-        encoder, part, row, sent = Encoder(path), TaskContext.get().partitionId(), 0, {}
+        encoder, part, row, sent = shared(Encoder, path), TaskContext.get().partitionId(), 0, {}
         for batch in gathered(batches, 4 << 20):
             for at, texts in pieces_of(batch.column(1), 4 << 20, 1 << 16):
                 flat, lengths = encoder.ids(texts)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gazette.llm import elias_fano
 from gazette.llm.batches import bounded, gathered, tidy
 from gazette.llm.hashing import pieces_of
-from gazette.llm.tokens import shared_words
+from gazette.llm.tokens import Words, shared
 from gazette.session import fresh_path, stored
 
 MAGIC = b"gztokens"
@@ -85,7 +85,7 @@ class _File:
 
 def _written(folder: str, tokenizer: str, end: int, full: int):
     def run(batches):
-        words = shared_words(tokenizer)
+        words = shared(Words, tokenizer)
         width = 2 if max(words.size, end + 1) <= 1 << 16 else 4
         shard, part, file, have = TaskContext.get().partitionId(), 0, None, 0
         for batch in gathered(batches, GATHERED):

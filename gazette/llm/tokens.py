@@ -205,12 +205,12 @@ class Words:
         return out, np.diff(upto)
 
 
-_shared: dict[str, Words] = {}
+_shared: dict[tuple[type, str], Encoder | Words] = {}
 
 
-def shared_words(path: str) -> Words:
+def shared(kind: type, path: str):
     """One encoder for all tasks of a worker, so that words that one task has met are known to the next."""
-    if path not in _shared:
+    if (kind, path) not in _shared:
         _shared.clear()
-        _shared[path] = Words(path)
-    return _shared[path]
+        _shared[kind, path] = kind(path)
+    return _shared[kind, path]
