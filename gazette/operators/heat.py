@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from gazette import vocab
 from gazette.functions import dates, scores
 from gazette.operators import matching, spread
+from gazette.session import stored
 
 
 def contract_days(contracts: DataFrame, records: DataFrame, since: str | None = None,
-                  until: str | None = None) -> DataFrame:
+                  until: str | None = None, links: DataFrame | None = None) -> DataFrame:
     """contract_id, day, n, urgency, urgency_whole over matching records.
 
     Records with the same entities on the same day are counted before any join, so a popular entity costs
@@ -32,7 +33,7 @@ def contract_days(contracts: DataFrame, records: DataFrame, since: str | None =
     )
     # A contract counts a set of entities once, however many of them match.
     single = counted.withColumn("entity", F.explode("entities"))
-    hits = (matching.match_entities(single, contracts).groupBy("contract_id", "entities", "day")
+    hits = (matching.match_entities(single, contracts, links=links).groupBy("contract_id", "entities", "day")
             .agg(F.max("n").alias("n"), F.max("urgency").alias("urgency"), F.max("urgency_whole").alias("urgency_whole")))
     return hits.groupBy("contract_id", "day").agg(
         F.sum("n").alias("n"), F.sum("urgency").alias("urgency"), F.sum("urgency_whole").alias("urgency_whole"))
@@ -55,14 +56,14 @@ def heat(contracts: DataFrame, records: DataFrame, as_of: str) -> DataFrame:
             .groupBy("contract_id").agg(decayed_sum(today).alias("heat")))
 
 
-def heat_delta(contracts: DataFrame, records: DataFrame, as_of: str, back: int = 7) -> DataFrame:
+def heat_delta(contracts: DataFrame, records: DataFrame, as_of: str, back: int = 7, links: DataFrame | None = None) -> DataFrame:
     """Heat now, a week earlier and their difference; a resolved contract's "now" is its last day.
 
     All as-of dates are conditions on the same contract days: one join, one aggregate.
     """
     today = F.lit(as_of).cast("date")
     now = F.when(F.col("kind") == "retrospective", dates.iso_day(F.col("resolved_at"))).otherwise(today)
-    days = contract_days(contracts, records, until=as_of)
+    days = contract_days(contracts, records, until=as_of, links=links)
     per = (contracts.select("contract_id", "kind", now.alias("now")).join(days, "contract_id", "left")
            .groupBy("contract_id", "kind")
            .agg(decayed_sum(F.col("now")).alias("heat"), decayed_sum(F.date_sub("now", back)).alias("heat_before"),
@@ -100,9 +101,9 @@ def peer_percentile(heats: DataFrame) -> DataFrame:
             .withColumn("tier", scores.heat_tier(F.col("heat"))))
 
 
-def heat_panel(contracts: DataFrame, records: DataFrame, as_of: str, back: int = 7) -> DataFrame:
+def heat_panel(contracts: DataFrame, records: DataFrame, as_of: str, back: int = 7, links: DataFrame | None = None) -> DataFrame:
     """Heat, its change, its share among all contracts and its tier, from one match of contracts and records."""
-    both = heat_delta(contracts, records, as_of, back)
+    both = stored(heat_delta(contracts, records, as_of, back, links), "heat")
     peers = peer_percentile(both.select("contract_id", F.col("heat_today").alias("heat")))
     return both.select("contract_id", "heat_delta").join(peers, "contract_id")
 

@@ -1,7 +1,9 @@
 """Contracts matched to records by whole-word entity overlap.
 
 The theta join runs as an equi-join: a phrase that sits in another at word boundaries has all its words among
-the other's words, so any one of them is a complete key. A pattern then checks each candidate pair.
+the other's words, so any one of them is a complete key. The key is the word that the fewest texts have, by a table of
+document frequencies; a pattern then checks each candidate pair. A word that half of all texts have is a key only
+where a text has no other, so candidates stay near the matches.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from gazette import vocab
 from gazette.functions import dates, scores
 from gazette.functions.common import text
+from gazette.session import stored
 
 
 def normal(entity: Column) -> Column:
@@ -38,10 +41,36 @@ def _pieces(c: Column) -> Column:
     return F.when(F.size(_words(c)) > 0, F.array_distinct(F.concat(_words(c), runs))).otherwise(F.array(c))
 
 
-def _key(c: Column) -> Column:
-    """The longest word, the first in alphabetical order among equals; long words are in few texts."""
-    words = F.transform(_words(c), lambda w: F.struct((-F.length(w)).alias("size"), w.alias("word")))
-    return F.coalesce(F.array_min(words)["word"], c)
+#: A piece is common if it is over one in this many of all pieces; fewer than this many pieces can be.
+COMMON = 1024
+
+
+def _with_pieces(texts: DataFrame) -> DataFrame:
+    """(text, piece): the pieces of distinct texts."""
+    return texts.select("text", F.explode(_pieces(F.col("text"))).alias("piece"))
+
+
+def piece_frequencies(texts: DataFrame) -> DataFrame:
+    """(piece, rows): in how many of the distinct texts each piece is."""
+    return _with_pieces(texts).groupBy("piece").agg(F.count("*").alias("rows"))
+
+
+def rarest_pieces(texts: DataFrame) -> DataFrame:
+    """(text, piece): for every distinct text the word that the fewest of them have, of equally rare ones the longest and
+    then the first; a text without words is its own piece.
+
+    The common pieces, fewer than COMMON, come from a copied table, so no common piece brings its texts into one
+    task; the others are joined by shuffle.
+    """
+    counted = stored(piece_frequencies(texts), "pieces")
+    total = counted.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
+    often = F.col("rows") * COMMON > total
+    words = F.when(F.size(_words(F.col("text"))) > 0, _words(F.col("text"))).otherwise(F.array("text"))
+    asked = texts.select("text", F.explode(words).alias("piece"))
+    hot = F.broadcast(counted.filter(often))
+    known = asked.join(hot, "piece").unionByName(asked.join(hot, "piece", "left_anti").join(counted.filter(~often), "piece"))
+    best = F.min_by("piece", F.struct("rows", (-F.length("piece")).alias("size"), "piece"))
+    return known.groupBy("text").agg(best.alias("piece"))
 
 
 def _inside(needle: str, hay: str) -> Column:
@@ -55,33 +84,55 @@ def contract_entities(contracts: DataFrame, *columns: str) -> DataFrame:
     return listed.withColumn("c_entity", normal(F.col("matched_entity"))).filter("c_entity <> ''")
 
 
-def _contract_pieces(mine: DataFrame) -> DataFrame:
-    """Contract entities by each of their pieces, with a mark on the key."""
-    return mine.withColumn("piece", F.explode(_pieces(F.col("c_entity")))) \
-               .withColumn("c_key", F.col("piece") == _key(F.col("c_entity")))
+def candidates(entities: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(entity, c_entity) that may match: those where one has the rarest piece of the other. Pairs may repeat.
 
+    entities: distinct `entity`; phrases: distinct `c_entity`, both in normal form.
+    """
+    mine, theirs = phrases.select(F.col("c_entity").alias("text")), entities.select(F.col("entity").alias("text"))
+    keys = stored(rarest_pieces(theirs.unionByName(mine).distinct()), "keys")
+    asked = keys.join(mine, "text", "left_semi").withColumnRenamed("text", "c_entity")
+    given = keys.join(theirs, "text", "left_semi").withColumnRenamed("text", "entity")
+    # The phrase inside the entity or equal to it, then the entity inside the phrase.
+    inner = asked.join(_with_pieces(theirs).withColumnRenamed("text", "entity"), "piece")
+    outer = given.join(_with_pieces(mine).withColumnRenamed("text", "c_entity"), "piece")
+    return inner.select("entity", "c_entity").unionByName(outer.select("entity", "c_entity"))
 
-def _probe(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Rows with an `entity` joined to the contract entities that equal it, lie inside it or enclose it.
 
-    Rows meet on a shared piece that is the key of the enclosed text; the pattern then decides.
-    """
-    by_piece = rows.withColumn("piece", F.explode(_pieces(F.col("entity")))) \
-                   .withColumn("r_key", F.col("piece") == _key(F.col("entity")))
-    found = (F.col("c_key") & ((F.col("entity") == F.col("c_entity")) | _inside("c_entity", "entity"))) \
-        | (F.col("r_key") & _inside("entity", "c_entity"))
-    return by_piece.join(pieces, "piece").filter(found).drop("piece", "c_key", "r_key", "c_entity")
+def entity_links(entities: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(entity, c_entity) of all distinct texts that are equal or lie in each other at word boundaries."""
+    found = (F.col("entity") == F.col("c_entity")) | _inside("c_entity", "entity") | _inside("entity", "c_entity")
+    return candidates(entities, phrases).filter(found).distinct()
+
+
+def _linked(entities: DataFrame, contracts: DataFrame) -> DataFrame:
+    """The links of distinct entities to the phrases of contracts, as a written table: the texts are few
+    beside the rows that have them, and both sides are read several times on the way."""
+    phrases = stored(contract_entities(contracts).select("c_entity").distinct(), "phrases")
+    return stored(entity_links(stored(entities.select("entity").distinct(), "entities"), phrases), "links")
 
 
-def match_entities(rows: DataFrame, contracts: DataFrame, *columns: str) -> DataFrame:
+def link_table(contracts: DataFrame, records: DataFrame) -> DataFrame:
+    """(entity, c_entity) for all entities and topic names of records, for several matches of the same records."""
+    return _linked(_exploded(records, _named()), contracts)
+
+
+def match_entities(rows: DataFrame, contracts: DataFrame, *columns: str, links: DataFrame | None = None) -> DataFrame:
     """Rows with an `entity` (normal form) and the contracts whose entities match it; pairs may repeat.
 
-    The distinct entity texts meet the contracts' pieces, and rows take their contracts from that result. Which side
+    The distinct entity texts meet the contracts' distinct texts once, and rows take their contracts from that result. Which side
     of a join is broadcast, and which heavy key is split, is left to adaptive execution, which knows the sizes.
+    links: a link table that has the rows' entities.
     """
-    pieces = _contract_pieces(contract_entities(contracts, *columns))
-    links = _probe(rows.select("entity").distinct(), pieces).distinct()
-    return rows.join(links, "entity")
+    mine = contract_entities(contracts, *columns)
+    if links is None:
+        links = _linked(rows, contracts)
+    return rows.join(links.join(mine, "c_entity").drop("c_entity").distinct(), "entity")
+
+
+def _named() -> Column:
+    """A record's entities and its topic's name."""
+    return F.concat(F.coalesce(F.col("entities"), F.array().cast("array<string>")), F.array(text(F.col("topic_name"))))
 
 
 def _exploded(records: DataFrame, entities: Column | None, *carried: Column | str) -> DataFrame:
@@ -122,16 +173,15 @@ def _claim_titles(matched: DataFrame, columns: list[str]) -> DataFrame:
             .agg(F.min_by(row, F.struct("seq", "entity_pos")).alias("_row")).select("contract_id", "_row.*"))
 
 
-def contract_timeline(contracts: DataFrame, records: DataFrame, as_of: str, *extra: str) -> DataFrame:
+def contract_timeline(contracts: DataFrame, records: DataFrame, as_of: str, *extra: str, links: DataFrame | None = None) -> DataFrame:
     """Events inside each contract's own window, one per title, with the entity that matched first."""
     start, end = contract_window(as_of)
     windows = contracts.select("contract_id", "settlement_entities", start.alias("start"), end.alias("end"))
     kept = records.filter(scores.is_substantive(vocab.TIMELINE_MIN_RELEVANCE) & dates.pub_day().isNotNull())
-    named = F.concat(F.coalesce(F.col("entities"), F.array().cast("array<string>")), F.array(text(F.col("topic_name"))))
     columns = ["record_id", "title", "link", "day", "regulator", "urgency", "impact", *[c.split(".")[-1] for c in extra]]
-    rows = _exploded(kept, named, "seq", "title", "link", dates.pub_day().alias("day"), scores.regulator_display().alias("regulator"),
+    rows = _exploded(kept, _named(), "seq", "title", "link", dates.pub_day().alias("day"), scores.regulator_display().alias("regulator"),
                      scores.score("urgency").alias("urgency"), scores.score("impact").alias("impact"), *extra)
-    matched = match_entities(rows, windows, "start", "end").filter(
+    matched = match_entities(rows, windows, "start", "end", links=links).filter(
         (F.col("start").isNull() | (F.col("day") >= F.col("start"))) & (F.col("end").isNull() | (F.col("day") <= F.col("end"))))
     return _claim_titles(matched, columns)
 

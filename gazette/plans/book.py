@@ -8,7 +8,7 @@ from gazette.operators import heat, matching, portfolio, ranking
 from gazette.plans.contracts import _HEAT, substantive
 from gazette.plans.registry import query
 from gazette.plans.views import AS_OF, contracts, define, oracle, records
-from gazette.session import table
+from gazette.session import stored, table
 
 TODAY = f"DATE '{AS_OF}'"
 define("verdicts", """SELECT CAST(l_orderkey AS VARCHAR) AS record_id, CASE l_returnflag WHEN 'A' THEN 'bullish' WHEN 'R' THEN 'bearish'
@@ -35,15 +35,15 @@ def verdicts(spark, folder):
     return rows.groupBy("record_id").agg(F.max_by(F.struct("direction", "tag", "score", "relevant"), "at").alias("v")).select("record_id", "v.*")
 
 
-def judged(spark, folder):
+def judged(spark, folder, links=None):
     """Timeline events with their verdicts, before the cut."""
     events = matching.contract_timeline(contracts(spark, folder), records(spark, folder), AS_OF,
-                                        "critical_dates.effective_date", "critical_dates.comment_deadline")
+                                        "critical_dates.effective_date", "critical_dates.comment_deadline", links=links)
     return events.join(verdicts(spark, folder), "record_id")
 
 
-def picked(spark, folder):
-    return ranking.relevance_top(judged(spark, folder))
+def picked(spark, folder, links=None):
+    return ranking.relevance_top(judged(spark, folder, links))
 
 
 @query("relevance_topn", oracle("SELECT contract_id, record_id, direction, tag, CAST(rank AS INT) AS rank FROM picked", "picked"))
@@ -111,10 +111,14 @@ define("graded", "SELECT *, CASE WHEN score >= 6 THEN 'high' WHEN score >= 4 THE
     LEFT JOIN catalysts USING (contract_id) WHERE contracts.kind <> 'retrospective'""".replace("LEFT JOIN catalysts USING",
     "LEFT JOIN (SELECT contract_id, calendar_date FROM catalysts) USING"), "contracts", "peers", "contract_days", "directions", "conditions", "graded", "catalysts"))
 def portfolio_rows(spark, folder):
-    """Positions are those of every third contract; an event's magnitude follows its score."""
+    """Positions are those of every third contract; an event's magnitude follows its score.
+
+    Heat and timeline share one table of entity links, and the picked events, read by five branches, are written once.
+    """
     book = contracts(spark, folder)
-    panel = heat.heat_panel(book, substantive(spark, folder), AS_OF)
-    events = picked(spark, folder).withColumn("magnitude", F.when(F.col("score") >= 6, "high").when(F.col("score") >= 4, "medium").otherwise("low"))
+    links = matching.link_table(book, records(spark, folder))
+    panel = heat.heat_panel(book, substantive(spark, folder), AS_OF, links=links)
+    events = stored(picked(spark, folder, links), "picked").withColumn("magnitude", F.when(F.col("score") >= 6, "high").when(F.col("score") >= 4, "medium").otherwise("low"))
     held = book.filter(F.substring("contract_id", 2, 9).cast("int") % 3 == 0).select(
         "contract_id", F.lit("YES").alias("side"), F.lit(100.0).alias("size"), F.lit(0.5).alias("entry_price"))
     rows = portfolio.portfolio(book, panel, events, conditions(spark, folder), AS_OF, positions=held)

@@ -185,30 +185,6 @@ def freshness(spark, folder):
     return audit.freshness(records(spark, folder), 1993, 2002)
 
 
-AUDITED = {"title": "string", "link": "string", "regulator_name": "string", "regulator_division": "string",
-           "pub_date_valid": "boolean", "scores.urgency.score": "number", "impact_summary.why_it_matters": "string",
-           "impact_summary.key_requirements": "array", "critical_dates.compliance_date": "string", "tags": "array"}
-_AUDITED_SQL = {
-    "title": "trim(title) <> ''", "link": "link <> ''", "regulator_name": "coalesce(regulator_name, '') <> ''",
-    "regulator_division": "regulator_division <> ''", "pub_date_valid": "pub_date_valid", "scores.urgency.score": "true",
-    "impact_summary.why_it_matters": "why_it_matters <> ''", "impact_summary.key_requirements": "requirements > 0",
-    "critical_dates.compliance_date": "compliance_date <> ''", "tags": "true"}
-
-
-@query("field_audit", oracle(" UNION ALL ".join(
-    f"SELECT '{f}' AS field, round(100.0 * avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 1) AS percent FROM records"
-    for f, c in _AUDITED_SQL.items()), "records"))
-def field_audit(spark, folder):
-    return audit.field_audit(records(spark, folder), AUDITED)
-
-
-@query("field_audit_by_type", oracle(" UNION ALL ".join(
-    f"SELECT update_type, '{f}' AS field, count(*) FILTER ({_AUDITED_SQL[f]}) AS filled, count(*) FILTER (NOT ({_AUDITED_SQL[f]}))"
-    " AS empty FROM records GROUP BY update_type" for f in ("title", "regulator_name")), "records"))
-def field_audit_by_type(spark, folder):
-    return audit.field_audit_by_type(records(spark, folder), {f: AUDITED[f] for f in ("title", "regulator_name")})
-
-
 # All fields of the reference's audit; the records have no column for those whose SQL is false.
 _EVERY = {
     "artifact_id": ("string", "record_id <> ''"), "feed_entry_id": ("string", "false"), "topic_id": ("string", "topic_id <> ''"),
@@ -232,18 +208,26 @@ _EVERY = {
 _BY_TYPE = ("title", "link", "regulator_name", "impact_summary.what_changed", "scores.urgency.score")
 
 
-@query("field_audit_all", oracle(" UNION ALL ".join(
+_AUDIT_SQL = oracle(" UNION ALL ".join(
     f"SELECT '{f}' AS field, round(100.0 * avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 1) AS percent FROM records"
-    for f, (_, c) in _EVERY.items()), "records"))
-def field_audit_all(spark, folder):
+    for f, (_, c) in _EVERY.items()), "records")
+
+
+@query("field_audit_all", _AUDIT_SQL)
+@query("field_audit", _AUDIT_SQL)
+def field_audit(spark, folder):
     rows = records(spark, folder).withColumnRenamed("record_id", "artifact_id")
     return audit.field_audit(rows, {f: kind for f, (kind, _) in _EVERY.items()})
 
 
-@query("field_audit_by_type_all", oracle(" UNION ALL ".join(
+_BY_TYPE_SQL = oracle(" UNION ALL ".join(
     f"SELECT update_type, '{f}' AS field, count(*) FILTER ({_EVERY[f][1]}) AS filled, count(*) FILTER (NOT ({_EVERY[f][1]}))"
-    " AS empty FROM records GROUP BY update_type" for f in _BY_TYPE), "records"))
-def field_audit_by_type_all(spark, folder):
+    " AS empty FROM records GROUP BY update_type" for f in _BY_TYPE), "records")
+
+
+@query("field_audit_by_type_all", _BY_TYPE_SQL)
+@query("field_audit_by_type", _BY_TYPE_SQL)
+def field_audit_by_type(spark, folder):
     return audit.field_audit_by_type(records(spark, folder), {f: _EVERY[f][0] for f in _BY_TYPE})
 
 

@@ -108,10 +108,10 @@ def source_union(spark, folder):
     return reports(spark, folder).select("id", "day", "source", "severity", "is_recall")
 
 
-@query("device_events", oracle("SELECT id, day, severity FROM reports WHERE source = 'FDA_MAUDE'", "reports"))
+@query("device_events", oracle("SELECT id, day, source, severity, is_recall FROM reports", "reports"))
 def device_events(spark, folder):
-    """One source's reports written as a JSON array per file and read back."""
-    mine = reports(spark, folder).filter(F.col("source") == "FDA_MAUDE").select("id", "day", "severity")
+    """The reports of all three sources written as JSON arrays, one per file, and read back by one array scan."""
+    mine = reports(spark, folder).select("id", "day", "source", "severity", "is_recall")
     path = fresh_path(spark, "arrays")
 
     def arrays(batches):
@@ -120,7 +120,7 @@ def device_events(spark, folder):
             yield pd.DataFrame({"value": [batch.to_json(orient="records")]})
 
     mine.mapInPandas(arrays, "value STRING").write.option("maxRecordsPerFile", 1).text(path)
-    return annotations.read_json_array(spark, path, "id STRING, day STRING, severity STRING")
+    return annotations.read_json_array(spark, path, "id STRING, day STRING, source STRING, severity STRING, is_recall BOOLEAN")
 
 
 @query("event_summary", oracle("""
@@ -355,12 +355,12 @@ def featured_join(spark, folder):
 
 @query("curated_order", oracle("""
     SELECT contract_id, CAST(coalesce(pos, -1) AS BIGINT) AS pos
-    FROM contracts LEFT JOIN (SELECT 'C' || s_nationkey AS contract_id, min(s_suppkey) AS pos FROM supplier
-                              WHERE s_acctbal > 8000 GROUP BY 1) USING (contract_id) ORDER BY pos = -1, pos, contract_id""", "contracts"))
+    FROM contracts LEFT JOIN (SELECT 'C' || (s_nationkey + 5) AS contract_id, min(s_suppkey) AS pos FROM supplier
+                              GROUP BY 1) USING (contract_id) ORDER BY pos = -1, pos, contract_id""", "contracts"))
 def curated_order(spark, folder):
-    """Contracts of rich suppliers first, in their order, then the rest by id."""
-    order = table(spark, folder, "supplier").filter("s_acctbal > 8000").groupBy(
-        F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("contract_id")).agg(F.min("s_suppkey").alias("pos"))
+    """Contracts in the order of the suppliers first, then the rest by id. The key leaves some contracts without a supplier."""
+    order = table(spark, folder, "supplier").groupBy(
+        F.concat(F.lit("C"), (F.col("s_nationkey") + 5).cast("string")).alias("contract_id")).agg(F.min("s_suppkey").alias("pos"))
     rows = joins.curated_order(contracts(spark, folder).select("contract_id"), order, "contract_id")
     return rows.withColumn("pos", F.coalesce("pos", F.lit(-1)))
 
@@ -376,10 +376,11 @@ def curated_semi(spark, folder):
 
 
 @query("rehydrate", """
-    SELECT p_partkey, l_orderkey, l_quantity FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size > 25
-    QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_quantity DESC) = 1""")
+    SELECT p_partkey + 50 AS p_partkey, l_orderkey, l_quantity FROM part JOIN lineitem ON l_partkey = p_partkey + 50
+    QUALIFY row_number() OVER (PARTITION BY part.p_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_quantity DESC) = 1""")
 def rehydrate(spark, folder):
-    parts = table(spark, folder, "part").filter("p_size > 25").select("p_partkey")
+    """All parts with their last line. The key leaves some parts without a line, which are dropped."""
+    parts = table(spark, folder, "part").select((F.col("p_partkey") + 50).alias("p_partkey"))
     corpus = table(spark, folder, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
     return joins.rehydrate(parts, corpus, "p_partkey", ["l_shipdate"], ["l_orderkey", "l_quantity"])
 
@@ -416,27 +417,21 @@ def refresh_merge(spark, folder):
 
 @query("ticket_counts", oracle("""
     SELECT c.contract_id, count(s_suppkey) AS tickets FROM contracts c
-    LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 6000) ON 'C' || s_nationkey = c.contract_id GROUP BY c.contract_id""", "contracts"))
+    LEFT JOIN supplier ON 'C' || (s_nationkey + 5) = c.contract_id GROUP BY c.contract_id""", "contracts"))
 def ticket_counts(spark, folder):
-    tickets = table(spark, folder, "supplier").filter("s_acctbal > 6000").select(
-        F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("contract_id"))
+    """Suppliers as tickets. The key leaves some contracts without a ticket, and some tickets without a contract."""
+    tickets = table(spark, folder, "supplier").select(F.concat(F.lit("C"), (F.col("s_nationkey") + 5).cast("string")).alias("contract_id"))
     return joins.counted(contracts(spark, folder).select("contract_id"), tickets, "contract_id", "tickets")
 
 
-@query("topic_prefilter", """
-    SELECT DISTINCT s.s_suppkey FROM supplier s WHERE s_suppkey IN (
-      SELECT a.s_suppkey FROM supplier a, customer c WHERE c_acctbal > 9900 AND contains(lower(a.s_name), right(c_name, 3)))""")
-def topic_prefilter(spark, folder):
-    """Suppliers whose name contains the last three digits of a rich customer's name, as the SQL has it; all customers: topic_prefilter_all."""
-    names = table(spark, folder, "customer").filter("c_acctbal > 9900").select(F.expr("right(c_name, 3)").alias("name"))
-    topics = table(spark, folder, "supplier").select("s_suppkey", F.col("s_name").alias("topic_name"))
-    return joins.topic_prefilter(topics, names).select("s_suppkey")
+_PREFILTER_SQL = """
+    SELECT s_suppkey FROM supplier WHERE EXISTS (
+      SELECT 1 FROM (SELECT DISTINCT right(c_name, 3) AS name FROM customer) WHERE contains(lower(s_name), lower(name)))"""
 
 
-@query("topic_prefilter_all", """
-    SELECT s_suppkey FROM supplier WHERE EXISTS (
-      SELECT 1 FROM (SELECT DISTINCT right(c_name, 3) AS name FROM customer) WHERE contains(lower(s_name), lower(name)))""")
-def topic_prefilter_all(spark, folder):
+@query("topic_prefilter_all", _PREFILTER_SQL)
+@query("topic_prefilter", _PREFILTER_SQL)
+def topic_prefilter(spark, folder):
     """Suppliers whose name contains the last three digits of any customer's name."""
     names = table(spark, folder, "customer").select(F.expr("right(c_name, 3)").alias("name"))
     topics = table(spark, folder, "supplier").select("s_suppkey", F.col("s_name").alias("topic_name"))

@@ -106,3 +106,22 @@ def test_peer_percentile_counts_itself(spark):
     got = {r.contract_id: (r.percentile, r.peer_tier, r.tier) for r in heat.peer_percentile(heats).collect()}
     assert got == {"a": (25, "watch", "dormant"), "b": (75, "critical", "dormant"), "c": (75, "critical", "dormant"),
                    "d": (100, "critical", "critical")}
+
+
+def test_a_common_word_is_no_key(spark):
+    """"commission" is the longest word of half of all texts; candidates stay near the matches all the same."""
+    n = 300
+    theirs = [f"Commission of town{i}" for i in range(n)] + [f"Bureau b{i}" for i in range(n)]
+    mine = [f"town{i} Commission" for i in range(0, n, 3)] + [f"commission of town{i}" for i in range(0, n, 3)] + ["commission"]
+    normal = lambda texts, c: spark.createDataFrame([(t.lower(),) for t in texts], f"{c} STRING").distinct()
+    entities, phrases = normal(theirs, "entity"), normal(mine, "c_entity")
+    links = {tuple(r) for r in matching.entity_links(entities, phrases).collect()}
+    assert links == {(a.lower(), b.lower()) for a in theirs for b in mine if whole_word(a, b)}
+    # All texts with the word are partners of the one phrase that is nothing else; the rest meet on names.
+    assert matching.candidates(entities, phrases).distinct().count() <= 2 * len(links)
+
+
+def test_rarest_pieces(spark):
+    texts = spark.createDataFrame([(t,) for t in ("bank of x", "bank of y", "bank", "&", "of")], "text STRING")
+    assert {r.text: r.piece for r in matching.rarest_pieces(texts).collect()} == {
+        "bank of x": "x", "bank of y": "y", "bank": "bank", "&": "&", "of": "of"}
