@@ -115,18 +115,55 @@ def siblings(changes: DataFrame) -> DataFrame:
                          *[(F.col(f"family_{m}") - own(m)).alias(f"{m}_siblings") for m in vocab.MATERIALITY_ORDER])
 
 
+def _intervals(points: DataFrame) -> DataFrame:
+    """Points (path, release, state), one per path and release, as intervals that end where the next one begins."""
+    following = F.lead("release").over(Window.partitionBy("path").orderBy(F.col("release").asc_nulls_first()))
+    return points.select("path", F.col("release").alias("valid_from"), following.alias("valid_to"), "state")
+
+
+def _last_edits(edits: DataFrame) -> DataFrame:
+    """One edit per file and release, merged in the map tasks: the last one."""
+    return edits.groupBy("path", "release").agg(F.max_by("contents", F.struct("seq", "contents")).alias("state"))
+
+
+def state_intervals(edits: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(path, valid_from, valid_to, state) of the files of a baseline (path, contents).
+
+    A row for the baseline and one for each release that edits the file (path, release, seq, contents), and none for releases
+    that do not. A state stands before every release r with valid_from < r <= valid_to; null bounds are open. Edits of
+    files that the baseline lacks are left out.
+    """
+    first = baseline.select("path", F.lit(None).cast(edits.schema["release"].dataType).alias("release"), F.col("contents").alias("state"))
+    return _intervals(first.unionByName(_last_edits(edits).join(baseline.select("path"), "path", "left_semi")))
+
+
+def merge_edits(intervals: DataFrame, edits: DataFrame) -> DataFrame:
+    """The intervals after further edits, which win over an earlier edit of the same release.
+
+    Only files that the edits touch are laid out anew; the others are passed on as they are.
+    """
+    touched = edits.select("path").distinct()
+    new = _last_edits(edits).join(intervals.select("path").distinct(), "path", "left_semi")
+    old = intervals.join(touched, "path", "left_semi").select("path", F.col("valid_from").alias("release"), "state")
+    kept = old.join(new.select("path", "release"), ["path", "release"], "left_anti")
+    return intervals.join(touched, "path", "left_anti").unionByName(_intervals(kept.unionByName(new)))
+
+
+def state_before(intervals: DataFrame, release: Column) -> DataFrame:
+    """(path, state) of all files before a release."""
+    begun, open_ = F.col("valid_from").isNull() | (F.col("valid_from") < release), F.col("valid_to").isNull() | (release <= F.col("valid_to"))
+    return intervals.filter(begun & open_).select("path", "state")
+
+
 def cumulative_state(edits: DataFrame, baseline: DataFrame, releases: DataFrame) -> DataFrame:
     """Content of each file as it stands before each release: the last earlier edit, else the baseline.
 
-    Edits shrink to one per file and release; the window then sees a file's releases only.
+    Each interval meets the releases that lie in it; the sorted list of releases travels with the plan.
     """
-    last = edits.groupBy("path", "release").agg(F.max_by("contents", F.struct("seq", "contents")).alias("contents"))
     listed = F.sort_array(releases.agg(F.collect_set("release")).scalar())
-    grid = baseline.withColumn("_all", listed).select("path", F.col("contents").alias("base"), F.explode("_all").alias("release"))
-    earlier = Window.partitionBy("path").orderBy("release").rowsBetween(Window.unboundedPreceding, -1)
-    joined = grid.join(last, ["path", "release"], "left")
-    state = F.coalesce(F.last("contents", ignorenulls=True).over(earlier), F.col("base"))
-    return joined.select("path", "release", state.alias("state"))
+    inside = F.filter("_all", lambda r: (F.col("valid_from").isNull() | (r > F.col("valid_from"))) & (F.col("valid_to").isNull() | (r <= F.col("valid_to"))))
+    rows = state_intervals(edits, baseline).withColumn("_all", listed)
+    return rows.select("path", F.explode(inside).alias("release"), "state")
 
 
 def split_documents(docs: DataFrame, key: str, body: str) -> DataFrame:

@@ -120,10 +120,41 @@ def change_summary(spark, folder):
 def cumulative_state(spark, folder):
     """Suppliers as files, returned items as edits, years as releases."""
     lines = table(spark, folder, "lineitem").withColumn("release", F.year("l_shipdate"))
-    edits = lines.filter("l_returnflag = 'R'").select(
+    return versions.cumulative_state(edits(spark, folder), baseline(spark, folder), lines.select("release"))
+
+
+def edits(spark, folder):
+    lines = table(spark, folder, "lineitem").withColumn("release", F.year("l_shipdate"))
+    return lines.filter("l_returnflag = 'R'").select(
         F.col("l_suppkey").alias("path"), "release", F.struct("l_shipdate", "l_orderkey").alias("seq"), F.col("l_partkey").alias("contents"))
-    baseline = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("path"), F.lit(-1).cast("bigint").alias("contents"))
-    return versions.cumulative_state(edits, baseline, lines.select("release"))
+
+
+def baseline(spark, folder):
+    return table(spark, folder, "supplier").select(F.col("s_suppkey").alias("path"), F.lit(-1).cast("bigint").alias("contents"))
+
+
+define("state_spans", """SELECT path, valid_from, lead(valid_from) OVER (PARTITION BY path ORDER BY valid_from NULLS FIRST) AS valid_to, state FROM (
+    SELECT s_suppkey AS path, CAST(NULL AS BIGINT) AS valid_from, -1 AS state FROM supplier UNION ALL
+    SELECT l_suppkey, year(l_shipdate), arg_max(l_partkey, (l_shipdate, l_orderkey, l_partkey)) FROM lineitem
+    WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY ALL)""")
+
+
+@query("state_intervals", oracle("SELECT path, valid_from, valid_to, state FROM state_spans", "state_spans"))
+def state_intervals(spark, folder):
+    return versions.state_intervals(edits(spark, folder), baseline(spark, folder))
+
+
+@query("state_merge", oracle("SELECT path, valid_from, valid_to, state FROM state_spans", "state_spans"))
+def state_merge(spark, folder):
+    """Intervals of the edits up to 1997, to which the later ones are merged."""
+    every = edits(spark, folder)
+    return versions.merge_edits(versions.state_intervals(every.filter("release <= 1997"), baseline(spark, folder)), every.filter("release > 1997"))
+
+
+@query("state_as_of", oracle("""
+    SELECT path, state FROM state_spans WHERE coalesce(valid_from < 1998, true) AND coalesce(1998 <= valid_to, true)""", "state_spans"))
+def state_as_of(spark, folder):
+    return versions.state_before(versions.state_intervals(edits(spark, folder), baseline(spark, folder)), F.lit(1998))
 
 
 def snapshots(spark, folder):

@@ -62,11 +62,6 @@ def tfidf_top(spark, folder):
     return spread.ranked_limit(tfidf_rank(spark, folder), [F.col("score").desc(), F.col("doc_id")], 150)
 
 
-def _mean_vector(spark, folder):
-    """Mean of all vectors; 64 numbers."""
-    return table(spark, folder, "embeddings").agg(vectors.centroid("embedding", 64).alias("c")).first().c
-
-
 define("means", """SELECT label, list(v ORDER BY pos) AS mean FROM (SELECT label, pos, avg(v::DOUBLE) AS v FROM (
     SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label""")
 define("grand_mean", """SELECT list(v ORDER BY pos) AS mean FROM (SELECT pos, avg(v::DOUBLE) AS v FROM (
@@ -77,7 +72,19 @@ define("grand_mean", """SELECT list(v ORDER BY pos) AS mean FROM (SELECT pos, av
     SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS score FROM embeddings, grand_mean
     WHERE round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) >= 0 ORDER BY score DESC, vec_id LIMIT 50""", "grand_mean"))
 def vector_topk(spark, folder):
-    return vectors.top(table(spark, folder, "embeddings"), _mean_vector(spark, folder), 50)
+    rows = table(spark, folder, "embeddings")
+    mean = rows.agg(vectors.centroid("embedding", 64).alias("embedding")).select(F.lit(0).alias("query_id"), "embedding")
+    return vectors.top_many(rows, mean, 50).select("vec_id", "score")
+
+
+@query("vector_topk_many", """
+    SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
+      SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+      FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE score >= 0 QUALIFY rank <= 10""")
+def vector_topk_many(spark, folder):
+    """The ten nearest vectors of every hundredth one."""
+    rows = table(spark, folder, "embeddings")
+    return vectors.top_many(rows, rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10)
 
 
 define("vector_scores", """SELECT vec_id, label, round(least(greatest((list_cosine_similarity(embedding::DOUBLE[], mean) + 1) / 2, 0), 1), 6)

@@ -264,3 +264,64 @@ def test_corpus_tops_fall_back_to_the_topic_and_end_at_their_limits(spark, recor
     by = lambda d: [(v, n) for dim, v, n, _ in sorted(made, key=lambda r: r[3]) if dim == d]
     assert by("sector") == [("Banks", 31), ("Law", 1), ("Uncategorized", 1)] and by("topic_sector") == [("Law", 32)]
     assert by("jurisdiction") == [(f"C{k:02}", 1) for k in range(20)] and by("obligations") == []
+
+
+def test_states_of_files_against_a_plain_loop(spark):
+    import random
+
+    from gazette.operators import versions
+
+    r = random.Random(4)
+    edits = [(f"f{r.randrange(6)}", r.randrange(1, 12), i, f"e{i}") for i in range(40)]
+    files = [(f"f{i}", f"base{i}") for i in range(5)]
+    schema = "path STRING, release INT, seq INT, contents STRING"
+    base = spark.createDataFrame(files, "path STRING, contents STRING")
+    last = {}
+    for path, release, _, contents in edits:
+        last[path, release] = contents
+
+    def before(path, release):
+        done = [k for p, k in last if p == path and k < release]
+        return last[path, max(done)] if done else dict(files)[path]
+
+    spans = versions.state_intervals(spark.createDataFrame(edits, schema), base)
+    assert spans.count() == 5 + sum(1 for p, _ in last if p != "f5")
+    early, late = [e for e in edits if e[2] < 25], [e for e in edits if e[2] >= 25]
+    merged = versions.merge_edits(versions.state_intervals(spark.createDataFrame(early, schema), base), spark.createDataFrame(late, schema))
+    assert sorted(map(repr, merged.collect())) == sorted(map(repr, spans.collect()))
+    for release in (0, 1, 6, 20):
+        got = {x.path: x.state for x in versions.state_before(spans, F.lit(release)).collect()}
+        assert got == {p: before(p, release) for p, _ in files}
+    grid = versions.cumulative_state(spark.createDataFrame(edits, schema), base, spark.createDataFrame([(k,) for k in (3, 7, 7)], "release INT"))
+    assert {(x.path, x.release): x.state for x in grid.collect()} == {(p, k): before(p, k) for p, _ in files for k in (3, 7)}
+
+
+def test_top_many_against_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from gazette.operators import vectors
+
+    r = np.random.default_rng(8)
+    rows = [(i, (r.integers(-2, 3, 4) * 1.0).tolist()) for i in range(120)]
+    rows += [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [0.0] * 4), (203, [1.0, 2.0]), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>").repartition(5)
+    asked = [(k, v) for k, v in rows if k is not None and k % 7 == 0 and v is not None and None not in v]
+    queries = spark.createDataFrame(asked, "query_id BIGINT, embedding ARRAY<DOUBLE>")
+
+    def cosine(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / n), 6) + 0.0 if n else 0.0
+
+    good = [(k, v) for k, v in rows if k is not None and v is not None and None not in v]
+    want = {}
+    for q, v in asked:
+        best = sorted((-cosine(v, w), k) for k, w in good if len(w) == len(v) and cosine(v, w) >= 0.1)[:6]
+        want[q] = [(k, -s) for s, k in best]
+    for copied in (64 << 20, 100):
+        monkeypatch.setattr(vectors, "COPIED", copied)
+        monkeypatch.setattr(vectors, "BLOCK", 16)
+        got = {}
+        for x in sorted(vectors.top_many(df, queries, 6, 0.1).collect(), key=lambda x: x["rank"]):
+            got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+        assert got == {q: b for q, b in want.items() if b}
+    assert vectors.top_many(df, queries.limit(0), 6).count() == 0

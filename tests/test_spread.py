@@ -31,21 +31,37 @@ def test_distribution_matches_statistics(skewed):
         assert (r.v_p90, r.v_min, r.v_max) == (values[min(n - 1, int(0.9 * n))], values[0], values[-1])
 
 
-@pytest.mark.parametrize("splits", [2, 5, 64])
-def test_order_statistics_do_not_depend_on_ranges(skewed, splits):
-    rows, df = skewed
-    values = sorted(v for k, v in rows if k == "hot")
-    got = spread.order_statistics(df, ["k"], "v", {"p": lambda n: F.floor(n / 3)}, splits).filter("k = 'hot'").first()
-    assert got.p == values[len(values) // 3]
+def test_order_statistics_of_values_of_all_sizes(spark):
+    """Values that differ in high bits, in low bits only, in sign, and not at all."""
+    rng = random.Random(9)
+    rows = [("wide", rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300)) for _ in range(500)]
+    rows += [("narrow", 1.0 + k * 2.0 ** -52) for k in rng.sample(range(4000), 500)]
+    rows += [("one", 7.5)] * 100 + [("zero", z) for z in (0.0, -0.0, float("inf"), -float("inf"), 1e-310)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
+    got = {r.k: r for r in spread.order_statistics(df, ["k"], "v", {"p": lambda n: F.floor(n / 3), "last": lambda n: n - 1}).collect()}
+    assert set(got) == {"wide", "narrow", "one", "zero"}
+    for key, r in got.items():
+        values = sorted(v for k, v in rows if k == key)
+        assert (r.n, r.p, r["last"]) == (len(values), values[len(values) // 3], values[-1])
+
+
+def test_windows_of_order_statistics_are_bounded(spark, monkeypatch):
+    """The result does not hang on the bits of a level."""
+    rows = [(float(v * v % 1013) / 7,) for v in range(700)]
+    df = spark.createDataFrame(rows, "v DOUBLE").withColumn("k", F.lit(1))
+    for level in (8, 32):
+        monkeypatch.setattr(spread, "LEVEL", level)
+        monkeypatch.setattr(spread, "LEVELS", 64 // level)
+        assert spread.order_statistics(df, ["k"], "v", {"p": lambda n: F.lit(400)}).first().p == sorted(rows)[400][0]
 
 
 def test_running_sum_and_max(spark):
     rng = random.Random(3)
-    rows = [(float(i), rng.randint(-5, 50)) for i in rng.sample(range(10_000), 700)]
+    rows = [(float(i) / 3, rng.randint(-5, 50)) for i in rng.sample(range(-5000, 10_000), 700)]
     df = spark.createDataFrame(rows, "o DOUBLE, v INT")
     for fold, plain in ((F.sum, sum), (F.max, max)):
         for inclusive in (True, False):
-            got = {r.o: r.t for r in spread.running(df, "o", "v", "t", fold, 16, inclusive).collect()}
+            got = {r.o: r.t for r in spread.running(df, "o", "v", "t", fold, inclusive).collect()}
             seen = []
             for o, v in sorted(rows):
                 before = plain(seen) if seen else (0 if fold is F.sum else None)
@@ -66,3 +82,9 @@ def test_top_per_group_cuts_before_the_shuffle(spark):
     top = spread.top_per_group(df, ["k"], [F.col("id").desc()], 3)
     assert sorted(r.id for r in top.collect()) == [994, 995, 996, 997, 998, 999]
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
+
+
+def test_running_takes_nulls_first_and_keeps_columns(spark):
+    df = spark.createDataFrame([(2.0, 1, "b"), (None, 5, "a"), (-3.0, 2, "c")], "o DOUBLE, v INT, x STRING")
+    made = spread.running(df, "o", "v", "t")
+    assert made.columns == ["o", "v", "x", "t"] and sorted((r.x, r.t) for r in made.collect()) == [("a", 5), ("b", 8), ("c", 7)]
