@@ -43,7 +43,7 @@ FREQUENT = 1024
 HUBS, MORE_HUBS, TRIED = 4, 32, 4
 #: Rounds go on while the sets that are apart could make more than this many pairs for each of their rows. All pairs that
 #: are left after the last round are compared whatever their number, so this decides about work, not about links.
-ROUNDS, PAIRS_A_ROW = 8, 4
+ROUNDS, PAIRS_A_ROW = 8, 64
 
 _SENT = "seg int, task int, kind int, at binary, hash binary, count binary, info binary"
 _SETS = "doc_id bigint, vid binary, n int, head int, keys array<bigint>, shared binary, sketch array<bigint>"
