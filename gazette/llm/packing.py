@@ -26,6 +26,8 @@ from gazette.llm.hashing import pieces_of
 from gazette.llm.tokens import Encoder, shared
 from gazette.session import fresh_path
 
+#: Bytes of texts that are encoded at a time; more of them have fewer distinct words each.
+GATHERED = 8 << 20
 _TOKENS = "part int, row bigint, doc bigint, queue string, local bigint, doc_tokens bigint, ids binary"
 _PIECES = "doc bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, round bigint"
 
@@ -35,8 +37,8 @@ def _tokenize(path: str, end: int, narrow: bool):
 
     def run(batches):
         encoder, part, row, sent = shared(Encoder, path), TaskContext.get().partitionId(), 0, {}
-        for batch in gathered(batches, 4 << 20):
-            for at, texts in pieces_of(batch.column(1), 4 << 20, 1 << 16):
+        for batch in gathered(batches, GATHERED):
+            for at, texts in pieces_of(batch.column(1), GATHERED, 1 << 16):
                 flat, lengths = encoder.ids(texts)
                 if narrow and len(flat) and int(flat.max()) > 0xFFFF:
                     raise ValueError("the vocabulary has ids above 65535; pack with wide ids")

@@ -56,10 +56,8 @@ class Encoder:
         if not rows.null_count:
             return rows.to_numpy()
         words = words.filter(rows.is_null())
-        found = []
-        for at in range(0, len(words), RUN):
-            text = " " + " ".join(words.slice(at, RUN).to_pylist())
-            found.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        texts = [" " + " ".join(words.slice(at, RUN).to_pylist()) for at in range(0, len(words), RUN)]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         flat = np.concatenate(found)
         self.sizes = np.concatenate([self.sizes, np.diff(np.append(np.flatnonzero(self.spaced[flat]), len(flat)))])
         self.flat = np.concatenate([self.flat, flat])
