@@ -1,285 +1,226 @@
 """Cross-entropy difference of documents between a target and a background n-gram model.
 
 Both models are interpolated bigram models over one vocabulary, with equal order, smoothing and list of bigrams, so that
-per-token losses can be subtracted. Counts come from all texts. A word is in the vocabulary if at least one of
-`words` tokens is it, in either text collection; a bigram is listed if at least one of `bigrams` is it. By that
-the vocabulary has at most 2 * words entries and the list at most 2 * bigrams, however large the collections are, and these two
-small tables are all that travels to the tasks that score. Words outside the vocabulary are one unknown word; a
-bigram outside the list counts as unseen.
+per-token losses can be subtracted. They know every word and every bigram of all texts; nothing is left out for being rare.
 
-`whole` has no such limits: all words and all bigrams of both collections count, and their tables are joined by shuffle.
+Texts become chunks of a few megabytes, written once: the chunk's distinct words and its tokens as places among them. A chunk
+sends its distinct words and bigrams, sorted and packed, to segments of the hash range. A segment adds up the counts
+and answers each chunk with those that differ from the chunk's own, so a bigram that stands nowhere else never comes back. A chunk
+then has all counts that its tokens need, and its documents are scored where it lies. No row stands for a single
+bigram, so a word or bigram of all documents is one entry per chunk and weighs on no task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazette.llm import hashing
-from gazette.llm.batches import bounded
+from gazette.llm.batches import bounded, gathered, tidy
 from gazette.session import stored
 
-#: Tables of a task are merged when this many rows have gathered.
-GATHER = 1 << 21
+#: Bytes of texts in a chunk; a longer text is a chunk of its own.
+CHUNK = 4 << 20
+#: Tokens of all texts for each segment of the hash range, on the average; a segment is one group of a task.
+SEGMENT = 1 << 22
+#: What stands before the first word of a text.
+BEGIN = np.uint64(0xB5297A4D3F84D5B5)
+#: Which model a chunk's texts count for.
+NEITHER, TARGET, BACKGROUND = 0, 1, 2
+WORDS, BIGRAMS = 0, 1
 
+_CHUNKS = "chunk bigint, role int, asks boolean, tokens bigint, docs array<bigint>, lengths array<int>, words binary, stream binary"
+_BLOCKS = "kind int, segment int, chunk bigint, role int, asks boolean, base int, n int, keys binary, times binary, firsts binary"
+_ANSWERS = "kind int, chunk bigint, base int, n int, at binary, target binary, background binary, first_target binary, first_background binary"
+_SCORES = "doc bigint, n bigint, target double, background double"
+_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64(),
+          "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return hashing.words(texts)
 
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (column.split(" ") for column in ddl.split(", "))])
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
 
+def _thin(values: np.ndarray) -> bytes:
+    """Numbers from zero up in as few bytes each as the largest takes."""
+    top = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64).tobytes()
 
-def _counted(of):
-    """Counts of the int64 keys that `of` makes of texts, summed in the task before they travel."""
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for _, texts in hashing.pieces_of(batch.column(0)):
-                held.append(np.unique(of(texts), return_counts=True))
-                size += len(held[-1][0])
-                if size > GATHER:
-                    held = [_merged(held)]
-                    size = len(held[0][0])
-                    if size > GATHER // 2:
-                        yield from _rows(held[0])
-                        held, size = [], 0
-        if held:
-            yield from _rows(_merged(held))
-
-    return run
+def _thick(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else np.uint8).astype(np.int64)
 
 
-def _rows(table):
-    for at in range(0, len(table[0]), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[at:at + (1 << 16)].astype(np.int64)) for x in table], ["k", "n"])
+def _bigram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return hashing.mix((before * np.uint64(0x9FB21C651E98DF25)) ^ word)
 
 
-def _ids(vocabulary: np.ndarray, texts: pa.Array):
-    """Word ids and the index of their text; ids start at 1, 0 is the unknown word."""
-    hashes, owner = _tokens(texts)
-    place = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
-    known = vocabulary[place] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
-    return np.where(known, place + 1, 0), owner
+def _chunks(side: int, role: int, asks: bool, size: int):
+    """Chunks of texts; their numbers follow from the place in the input."""
 
+    def run(batches):
+        number = (TaskContext.get().partitionId() * 4 + side) << 32
+        for batch in gathered(batches, size):
+            for at, texts in hashing.pieces_of(batch.column(1), size, 1 << 16):
+                hashes, owner = hashing.words(texts)
+                words, stream = np.unique(hashes, return_inverse=True)
+                docs = batch.column(0).slice(at, len(texts)).to_pylist()
+                row = {"chunk": number, "role": role, "asks": asks, "tokens": len(stream), "docs": docs,
+                       "lengths": np.bincount(owner, minlength=len(texts)), "words": words.tobytes(), "stream": stream.astype(np.uint32).tobytes()}
+                yield pa.RecordBatch.from_pylist([row], _schema(_CHUNKS))
+                number += 1
 
-def _pairs(ids: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-    """Each token with the one before it as one number; the first token of a text follows the begin mark."""
-    before = np.empty_like(ids)
-    before[:1] = size
-    before[1:] = ids[:-1]
-    before[np.flatnonzero(np.diff(owner, prepend=-1))] = size
-    return before * (size + 1) + ids
+    return run
 
 
-def _counts(target: DataFrame, background: DataFrame, of) -> DataFrame:
-    """(k, t, b): counts of every key in the target and in the background."""
-    side = lambda df, t, b: df.mapInArrow(_counted(of), "k bigint, n bigint").select("k", (F.col("n") * t).alias("t"), (F.col("n") * b).alias("b"))
-    return side(target, 1, 0).unionByName(side(background, 0, 1)).groupBy("k").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+class _Chunk:
+    """A chunk's words, with the begin mark behind them, and its bigrams.
 
+    first, second: places of a bigram's words; place: the bigram of each token; times, firsts: how often each word stands, and
+    stands before another; counts: how often each bigram does; order: the sorted order of words and of bigrams by their hashes.
+    """
 
-def _frequent(counts: DataFrame, totals, parts: int):
-    """Rows with at least one in `parts` of either total: at most 2 * parts rows."""
-    return counts.filter((F.col("t") * parts >= max(totals[0], 1)) & (F.col("t") > 0) | (F.col("b") * parts >= max(totals[1], 1)) & (F.col("b") > 0))
+    def __init__(self, row: dict):
+        words = np.frombuffer(row["words"], np.uint64)
+        stream = np.frombuffer(row["stream"], np.uint32).astype(np.int64)
+        self.lengths, size = np.array(row["lengths"], np.int64), len(words)
+        before = np.empty_like(stream)
+        before[1:] = stream[:-1]
+        before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = size
+        found, self.place, self.counts = np.unique(before * (size + 1) + stream, return_inverse=True, return_counts=True)
+        self.first, self.second = found // (size + 1), found % (size + 1)
+        words = np.append(words, BEGIN)
+        self.keys = words, _bigram(words[self.first], words[self.second])
+        self.times, self.firsts = (np.bincount(x, minlength=size + 1) for x in (stream, before))
+        self.order = tuple(np.argsort(k, kind="stable") for k in self.keys)
+
+
+def _blocks(bits: int):
+    """The words and bigrams of every chunk, cut into segments by the leading bits of their hashes."""
+    schema = _schema(_BLOCKS)
 
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                chunk, out = _Chunk(row), []
+                for kind, times, firsts in ((WORDS, chunk.times, chunk.firsts), (BIGRAMS, chunk.counts, None)):
+                    order = chunk.order[kind]
+                    keys = chunk.keys[kind][order]
+                    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                    for s in np.flatnonzero(np.diff(cuts)):
+                        part = order[cuts[s]:cuts[s + 1]]
+                        out.append({"kind": kind, "segment": int(s), "chunk": row["chunk"], "role": row["role"], "asks": row["asks"],
+                                    "base": int(cuts[s]), "n": len(part), "keys": keys[cuts[s]:cuts[s + 1]].tobytes(), "times": _thin(times[part]),
+                                    "firsts": None if firsts is None else _thin(firsts[part])})
+                del chunk
+                yield pa.RecordBatch.from_pylist(out, schema)
 
-def _total(counts: DataFrame):
-    row = counts.agg(F.sum("t"), F.sum("b")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    return run
 
 
-def _score(spark, vocabulary: np.ndarray, listed: np.ndarray, losses: np.ndarray, single: np.ndarray):
-    """losses: for listed pairs, target and background; single: for unseen pairs, by the second word."""
-    shared = spark.sparkContext.broadcast((vocabulary, listed, losses, single))
+def _settled(group: pa.Table) -> pa.Table:
+    """Segment side: totals of each word or bigram, and the answers to chunks: totals that differ from the chunk's own counts.
 
-    def run(batches):
-        vocabulary, listed, losses, single = shared.value
-        size = len(vocabulary) + 1
-        for batch in batches:
-            for at, texts in hashing.pieces_of(batch.column(1)):
-                ids, owner = _ids(vocabulary, texts)
-                pairs = _pairs(ids, owner, size)
-                place = np.minimum(np.searchsorted(listed, pairs), max(len(listed) - 1, 0))
-                known = listed[place] == pairs if len(listed) else np.zeros(len(pairs), bool)
-                n = np.bincount(owner, minlength=len(texts))
-                mean = []
-                for side in (0, 1):
-                    loss = np.where(known, losses[place, side] if len(listed) else 0.0, single[ids, side])
-                    mean.append(np.bincount(owner, loss, minlength=len(texts)) / np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n.astype(np.int64)), *map(pa.array, mean)],
-                                                 ["doc", "n", "target", "background"])
+    A row without a chunk says how many words of the segment any model has seen.
+    """
+    rows = group.select(["kind", "chunk", "role", "asks", "base", "n", "times", "firsts"]).to_pylist()
+    kind, n = rows[0]["kind"], np.array([r["n"] for r in rows], np.int64)
+    keys = np.frombuffer(b"".join(x.as_buffer() for x in group.column("keys")), np.uint64)
+    order = np.argsort(keys, kind="stable")
+    fresh = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    size, ends = int(fresh.sum()), np.cumsum(n)
+    del keys, order, fresh
+    names = ["times", "firsts"] if kind == WORDS else ["times"]
+    total = {(name, role): np.zeros(size, np.int64) for name in names for role in (TARGET, BACKGROUND)}
+    for row, end in zip(rows, ends):
+        if row["role"] != NEITHER:
+            mine = which[end - row["n"]:end]
+            for name in names:
+                # A chunk has a word once, so no place repeats here.
+                total[name, row["role"]][mine] += _thick(row[name], row["n"])
+    out = []
+    if kind == WORDS:
+        seen = int((total["times", TARGET] + total["times", BACKGROUND] > 0).sum())
+        out.append({"kind": kind, "chunk": None, "base": 0, "n": seen})
+    for row, end in zip(rows, ends):
+        if not row["asks"]:
+            continue
+        mine, differ, answer = which[end - row["n"]:end], np.zeros(row["n"], bool), {}
+        for name, target, background in zip(names, ("target", "first_target"), ("background", "first_background")):
+            own = _thick(row[name], row["n"])
+            for column, role in ((target, TARGET), (background, BACKGROUND)):
+                answer[column] = total[name, role][mine]
+                differ |= answer[column] != (own if row["role"] == role else 0)
+        at = np.flatnonzero(differ)
+        if len(at):
+            out.append({"kind": kind, "chunk": row["chunk"], "base": row["base"], "n": len(at), "at": _thin(np.diff(at, prepend=0)),
+                        **{column: _thin(values[at]) for column, values in answer.items()}})
+    return pa.Table.from_pylist(out, _schema(_ANSWERS))
+
+
+def _scored(weight: float, totals: tuple[int, int], vocabulary: int):
+    """Chunk side: mean losses of the chunk's documents, from its own counts where there is no answer."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        chunk = _Chunk(row)
+        own = lambda values, role: values.copy() if row["role"] == role else np.zeros_like(values)
+        count = {(WORDS, "target"): own(chunk.times, TARGET), (WORDS, "background"): own(chunk.times, BACKGROUND),
+                 (WORDS, "first_target"): own(chunk.firsts, TARGET), (WORDS, "first_background"): own(chunk.firsts, BACKGROUND),
+                 (BIGRAMS, "target"): own(chunk.counts, TARGET), (BIGRAMS, "background"): own(chunk.counts, BACKGROUND)}
+        for answer in right.to_pylist():
+            at = chunk.order[answer["kind"]][answer["base"] + np.cumsum(_thick(answer["at"], answer["n"]))]
+            for (kind, column), values in count.items():
+                if kind == answer["kind"]:
+                    values[at] = _thick(answer[column], answer["n"])
+        owner, n, mean = np.repeat(np.arange(len(chunk.lengths)), chunk.lengths), chunk.lengths, []
+        for column, total in zip(("target", "background"), totals):
+            share = count[BIGRAMS, column] / np.maximum(count[WORDS, f"first_{column}"], 1)[chunk.first]
+            word = (count[WORDS, column] + 1) / (total + vocabulary)
+            loss = -np.log(weight * share + (1 - weight) * word[chunk.second])
+            mean.append(np.bincount(owner, loss[chunk.place], minlength=len(n)) / np.maximum(n, 1))
+        return pa.table([pa.array(row["docs"], pa.int64()), pa.array(n), *map(pa.array, mean)], schema=_schema(_SCORES))
 
     return run
 
 
 def scores(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, key: str = "doc_id", body: str = "text",
-           words: int = 1 << 16, bigrams: int = 1 << 20, weight: float = 0.7) -> DataFrame:
+           weight: float = 0.7) -> DataFrame:
     """(key, n_tokens, target_loss, background_loss, difference) of every row of docs; nats per token.
 
     target and background are frames with a column `body`; the background is docs unless given. Words are runs of bytes
     other than space and control white space, with A-Z lowered. A token's probability is weight * (share of the bigram
     among those that begin like it) + (1 - weight) * (smoothed share of the word). A negative difference means
-    that a document is closer to the target.
-
-    Null and empty texts have no tokens and three zeros. An empty target knows the vocabulary only and gives every word
-    the same probability. Repeated rows count as often as they come; keys may be null or repeat. Other columns are not read.
-    """
-    spark = docs.sparkSession
-    text = lambda df: bounded(df).select(F.col(body).cast("string"))
-    target, background = text(target), text(docs if background is None else background)
-
-    single = _counts(target, background, lambda texts: _tokens(texts)[0].view(np.int64)).persist()
-    totals = _total(single)
-    kept = _frequent(single, totals, words).toArrow()
-    single.unpersist()
-    table = sorted(zip(np.asarray(kept.column("k").combine_chunks()).view(np.uint64).tolist(), kept.column("t").to_pylist(), kept.column("b").to_pylist()))
-    vocabulary = np.array([r[0] for r in table], np.uint64)
-    size = len(vocabulary) + 1
-    counts = np.zeros((size, 2))
-    counts[1:] = [r[1:] for r in table] if table else np.empty((0, 2))
-    counts[0] = np.array(totals) - counts.sum(axis=0)
-    single_p = (counts + 1) / (np.array(totals) + size)
-
-    shared = spark.sparkContext.broadcast(vocabulary)
-    double = _counts(target, background, lambda texts: _pairs(*_ids(shared.value, texts), len(shared.value) + 1)).persist()
-    # How often a word, or the begin mark, stands first: sums of the same counts, at most one row per word of the vocabulary.
-    firsts = np.zeros((size + 1, 2))
-    heads = double.groupBy(F.expr(f"k div {size + 1}L").alias("k")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    firsts[heads.column("k").to_numpy()] = np.column_stack([heads.column(c).to_numpy() for c in ("t", "b")]) if len(heads) else 0
-    kept = _frequent(double, totals, bigrams).toArrow()
-    double.unpersist()
-    listed = kept.column("k").to_numpy()
-    order = np.argsort(listed)
-    listed = listed[order]
-    share = np.column_stack([kept.column(c).to_numpy()[order] for c in ("t", "b")]).astype(float).reshape(-1, 2) / np.maximum(firsts[listed // (size + 1)], 1)
-    losses = -np.log(weight * share + (1 - weight) * single_p[listed % (size + 1)])
-    rest = -np.log((1 - weight) * single_p)
-    made = docs.select(F.col(key).cast("bigint"), F.col(body).cast("string")).mapInArrow(
-        _score(spark, vocabulary, listed, losses, rest), "doc bigint, n bigint, target double, background double")
-    return made.select(F.col("doc").alias(key), F.col("n").alias("n_tokens"), F.col("target").alias("target_loss"),
-                       F.col("background").alias("background_loss"), (F.col("target") - F.col("background")).alias("difference"))
-
-
-#: What stands before the first word of a text.
-BEGIN = np.uint64(0xB5297A4D3F84D5B5)
-#: Words with at least one of so many bigrams are joined from a copied table, of at most as many rows, the others by shuffle.
-HEAVY = 1 << 12
+    that a document is closer to the target. Words and bigrams are told apart by 64-bit hashes. To the driver come three totals.
 
-
-def _before(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The word before each word of a text, or the begin mark."""
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[np.flatnonzero(np.diff(owner, prepend=-1))] = BEGIN
-    return before
-
-
-def _bigram(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return hashing.mix((before * np.uint64(0x9FB21C651E98DF25)) ^ word)
-
-
-def _gathered(parts):
-    """Rows (bigram, before, word, n) summed by bigram and sorted by it."""
-    keys, before, word, n = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[heads], before[order][heads], word[order][heads], np.add.reduceat(n[order], heads) if len(heads) else n
-
-
-def _bigrams(batches):
-    """(p, a, w, n): every bigram, its two words and its count, summed in the task as far as GATHER rows reach."""
-
-    def rows(table):
-        for at in range(0, len(table[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at:at + (1 << 16)].view(np.int64)) for x in table], ["p", "a", "w", "n"])
-
-    held, size = [], 0
-    for batch in batches:
-        for _, texts in hashing.pieces_of(batch.column(0)):
-            hashes, owner = _tokens(texts)
-            before = _before(hashes, owner)
-            held.append(_gathered([(_bigram(before, hashes), before, hashes, np.ones(len(hashes), np.int64))]))
-            size += len(held[-1][0])
-            if size > GATHER:
-                held = [_gathered(held)]
-                size = len(held[0][0])
-                if size > GATHER // 2:
-                    yield from rows(held[0])
-                    held, size = [], 0
-    if held:
-        yield from rows(_gathered(held))
-
-
-def _asked(batches):
-    """(id, doc, p, n, m): a row for each text, with m = 1, its words as n and its id as p, and one for each of its bigrams."""
-    for batch in batches:
-        for at, texts in hashing.pieces_of(batch.column(2)):
-            ids = np.asarray(batch.column(0).slice(at, len(texts)))
-            hashes, owner = _tokens(texts)
-            pairs = _bigram(_before(hashes, owner), hashes)
-            order = np.lexsort((pairs, owner))
-            pairs, who = pairs[order], owner[order]
-            heads = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (who[1:] != who[:-1])])) if len(pairs) else np.empty(0, np.int64)
-            docs = pa.concat_arrays([batch.column(1).slice(at, len(texts)), pa.nulls(len(heads), pa.int64())])
-            n = np.concatenate([np.bincount(owner, minlength=len(texts)), np.diff(np.append(heads, len(pairs)))])
-            m = np.concatenate([np.ones(len(texts), np.int64), np.zeros(len(heads), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, ids[who[heads]]])), docs, pa.array(np.concatenate([ids, pairs[heads].view(np.int64)])),
-                                              pa.array(n), pa.array(m)], ["id", "doc", "p", "n", "m"])
-
-
-def _sums(pairs: DataFrame, key: str) -> DataFrame:
-    """Counts of each word, and how many bigrams have it."""
-    return pairs.groupBy(key).agg(F.sum("t").alias(f"{key}_t"), F.sum("b").alias(f"{key}_b"), F.count("*").alias("_rows"))
-
-
-def _joined(pairs: DataFrame, sums: DataFrame, key: str, n: int) -> DataFrame:
-    """Bigrams with the counts of one of their words; no word with many bigrams goes to one task."""
-    heavy = sums.filter(F.col("_rows") * HEAVY >= n).drop("_rows")
-    light = sums.filter(F.col("_rows") * HEAVY < n).drop("_rows")
-    few = heavy.select(key)
-    return pairs.join(F.broadcast(heavy), key).unionByName(pairs.join(F.broadcast(few), key, "left_anti").join(light, key))
-
-
-def whole(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, key: str = "doc_id", body: str = "text",
-          weight: float = 0.7) -> DataFrame:
-    """The columns of `scores` from models that know every word and every bigram of the target and the background.
-
-    Nothing is left out and nothing grows on the driver but three totals. Bigrams are told apart by 64-bit hashes. Rows of
-    equal key and text are summed as one and come as often as they stand; the rest is as with `scores`.
+    Null and empty texts have no tokens and three zeros; very long ones are read whole and make a chunk of their own, which one task
+    holds. An empty target knows the vocabulary only and gives every word the same probability. A word that neither side has counts
+    as unknown. Repeated rows count as often as they come; keys may be null or repeat. Other columns are not read.
     """
-    text = lambda df: bounded(df).select(F.col(body).cast("string"))
-    sides = [(text(target), 1, 0), (text(docs if background is None else background), 0, 1)]
+    sides = [(docs, BACKGROUND if background is None else NEITHER, True), (target, TARGET, False)]
     if background is not None:
-        # Bigrams that only the documents have need a loss too.
-        sides.append((text(docs), 0, 0))
-    counted = [df.mapInArrow(_bigrams, "p bigint, a bigint, w bigint, n bigint").select("p", "a", "w", (F.col("n") * t).alias("t"), (F.col("n") * b).alias("b"))
-               for df, t, b in sides]
-    both = counted[0]
-    for other in counted[1:]:
-        both = both.unionByName(other)
-    pairs = stored(both.groupBy("p").agg(F.min("a").alias("a"), F.min("w").alias("w"), F.sum("t").alias("t"), F.sum("b").alias("b")), "bigrams")
-    words, firsts = stored(_sums(pairs, "w"), "words"), stored(_sums(pairs, "a"), "firsts")
-    row = words.agg(F.sum("w_t"), F.sum("w_b"), F.count_if(F.col("w_t") + F.col("w_b") > 0), F.sum("_rows")).first()
-    totals, size, n = (row[0] or 0, row[1] or 0), (row[2] or 0) + 1, row[3] or 0
-    loss = lambda x, total: -F.log(weight * F.col(x) / F.greatest(F.col(f"a_{x}"), F.lit(1)) + (1 - weight) * (F.col(f"w_{x}") + 1) / F.lit(float(total + size)))
-    losses = _joined(_joined(pairs, words, "w", n), firsts, "a", n).select("p", loss("t", totals[0]).alias("lt"), loss("b", totals[1]).alias("lb"))
-
-    rows = bounded(docs).select(F.col(key).cast("bigint").alias("doc"), F.col(body).cast("string").alias("text"))
-    asked = rows.select(F.xxhash64("doc", F.col("doc").isNull(), "text", F.col("text").isNull()).alias("id"), "doc", "text").mapInArrow(
-        _asked, "id bigint, doc bigint, p bigint, n bigint, m bigint")
-    part = lambda x: F.sum(F.when(F.col("m") == 0, F.col("n") * F.col(x)))
-    made = asked.join(losses, "p", "left").groupBy("id").agg(
-        F.max("doc").alias("doc"), F.sum("m").alias("copies"), F.sum(F.col("n") * F.col("m")).alias("n"), part("lt").alias("lt"), part("lb").alias("lb"))
-    made = made.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
-    mean = lambda x: F.coalesce(F.col(x) / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
-    return made.select(F.col("doc").alias(key), F.expr("n div copies").alias("n_tokens"), mean("lt").alias("target_loss"), mean("lb").alias("background_loss"),
-                       (mean("lt") - mean("lb")).alias("difference"))
+        sides.append((background, BACKGROUND, False))
+    parts = []
+    for side, (df, role, asks) in enumerate(sides):
+        ids = F.col(key).cast("bigint") if asks else F.lit(None).cast("bigint")
+        parts.append(bounded(df).select(ids, F.col(body).cast("string")).mapInArrow(tidy(_chunks(side, role, asks, CHUNK)), _CHUNKS))
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.unionByName(part)
+    chunks = stored(made, "chunks")
+
+    row = chunks.agg(*(F.coalesce(F.sum(F.when(F.col("role") == r, F.col("tokens"))), F.lit(0)) for r in (TARGET, BACKGROUND)), F.sum("tokens")).first()
+    bits = max(1, (int(row[2] or 0) // SEGMENT).bit_length())
+    answers = stored(chunks.mapInArrow(tidy(_blocks(bits)), _BLOCKS).groupBy("kind", "segment").applyInArrow(_settled, _ANSWERS), "answers")
+    vocabulary = (answers.filter("chunk IS NULL").agg(F.sum("n")).first()[0] or 0) + 1
+
+    scored = (chunks.filter("asks").groupBy("chunk").cogroup(answers.filter("chunk IS NOT NULL").groupBy("chunk"))
+              .applyInArrow(_scored(weight, (int(row[0]), int(row[1])), vocabulary), _SCORES))
+    return scored.select(F.col("doc").alias(key), F.col("n").alias("n_tokens"), F.col("target").alias("target_loss"),
+                         F.col("background").alias("background_loss"), (F.col("target") - F.col("background")).alias("difference"))

@@ -8,41 +8,36 @@ from gazette.llm import lm
 SCHEMA = "doc_id bigint, text string"
 
 
-def brute(docs, target, words, bigrams, weight=0.7):
+def brute(docs, target, background=None, weight=0.7):
+    """Losses from all counts; words that neither side has are unknown."""
     lower = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()
-    sides = [[lower(t) for t in target], [lower(t) for _, t in docs]]
+    sides = [[lower(t) for t in side] for side in (target, [t for _, t in docs] if background is None else background)]
     single = [Counter(w for d in s for w in d) for s in sides]
-    total = [sum(c.values()) for c in single]
-    kept = {w for c, n in zip(single, total) for w in c if c[w] * words >= max(n, 1)}
-    code = lambda d: [w if w in kept else None for w in d]
-    lumped = [Counter(w for d in s for w in code(d)) for s in sides]
-    pairs = [Counter(p for d in s for p in zip(["^", *code(d)], code(d))) for s in sides]
-    firsts = [Counter() for _ in sides]
-    for f, c in zip(firsts, pairs):
-        for (a, _), n in c.items():
-            f[a] += n
-    listed = {p for c, n in zip(pairs, total) for p in c if c[p] * bigrams >= max(n, 1)}
-    out = []
+    pairs = [Counter(p for d in s for p in zip(["^", *d], d)) for s in sides]
+    firsts = [Counter(a for d in s for a in ["^", *d][:len(d)]) for s in sides]
+    size, out = len(set(single[0]) | set(single[1])) + 1, []
     for key, text in docs:
-        d = code(lower(text))
-        loss = [0.0, 0.0]
-        for a, b in zip(["^", *d], d):
-            for k in (0, 1):
-                share = pairs[k][a, b] / max(firsts[k][a], 1) if (a, b) in listed else 0.0
-                loss[k] -= math.log(weight * share + (1 - weight) * (lumped[k][b] + 1) / (total[k] + len(kept) + 1))
-        out.append((key, len(d), *(round(x / max(len(d), 1), 9) for x in loss)))
+        d = lower(text)
+        loss = [-sum(math.log(weight * p[a, b] / max(f[a], 1) + (1 - weight) * (s[b] + 1) / (s.total() + size)) for a, b in zip(["^", *d], d))
+                for s, p, f in zip(single, pairs, firsts)]
+        out.append((key, len(d), *(x / max(len(d), 1) for x in loss)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("words, bigrams", [(1 << 16, 1 << 20), (12, 20), (1, 1)])
-def test_losses_are_those_of_the_models(frame, words, bigrams):
+def same(made, wanted):
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in made.collect()), key=lambda r: (repr(r[:2]), r[2:]))
+    for a, b in zip(got, sorted(wanted, key=lambda r: (repr(r[:2]), r[2:])), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-8)
+
+
+@pytest.mark.parametrize("chunk, segment", [(4 << 20, 1 << 22), (64, 1 << 22), (64, 16)])
+def test_losses_are_those_of_the_models(frame, monkeypatch, chunk, segment):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "SEGMENT", segment)
     docs = [(i, f"the cat {i % 3} sat on the MAT {'x' * (i % 5)} and the dog ran") for i in range(20)] + [
-        (20, None), (21, ""), (22, "unseen words only here"), (None, "the cat"), (0, "the dog"), (23, "é É\tthe\nthe " * 200)]
+        (20, None), (21, ""), (22, "unseen words only here"), (None, "the cat"), (0, "the dog"), (23, "\u00e9 \u00c9\tthe\nthe " * 200)]
     target = ["the cat sat on the mat", "the cat ran and sat", None, "", "the zebra"]
-    made = lm.scores(frame(docs, SCHEMA), frame([(t,) for t in target], "text string"), words=words, bigrams=bigrams)
-    got = sorted(((r.doc_id, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9)) for r in made.collect()), key=repr)
-    for a, b in zip(got, brute(docs, target, words, bigrams), strict=True):
-        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-8)
+    same(lm.scores(frame(docs, SCHEMA), frame([(t,) for t in target], "text string")), brute(docs, target))
 
 
 def test_documents_like_the_target_score_lower(frame):
@@ -58,45 +53,24 @@ def test_empty_tables_and_other_columns(frame):
     assert made.doc_id == 1 and made.n_tokens == 2 and made.target_loss > 0
 
 
-def test_counts_merge_within_and_across_pieces(frame, monkeypatch):
-    monkeypatch.setattr(lm, "GATHER", 3)
-    docs = [(i, f"w{i % 4} w{i % 3} same") for i in range(30)]
-    one = lm.scores(frame(docs, SCHEMA), frame([("w1 same",)], "text string")).collect()
-    assert sorted((r.doc_id, round(r.background_loss, 9)) for r in one) == [(k, round(b, 9)) for k, _, _, b in sorted(brute(docs, ["w1 same"], 1 << 16, 1 << 20))]
-
-
-@pytest.mark.parametrize("heavy, apart", [(1 << 12, False), (2, False), (2, True)])
-def test_whole_models_keep_rare_words_and_bigrams(frame, monkeypatch, heavy, apart):
-    monkeypatch.setattr(lm, "HEAVY", heavy)
-    # Beside 140,000 equal words each other word has less than one of 65,536 tokens.
+@pytest.mark.parametrize("apart", [False, True])
+def test_models_keep_rare_words_and_bigrams(frame, apart):
+    # Beside 140,000 equal words each other word is a very small share of the tokens.
     docs = [(0, "the " * 140_000), *[(i, f"rare{i} the rare{i % 3} odd") for i in range(1, 20)], (20, None), (21, ""), (None, "the rare5"),
             (5, "again"), (6, "again"), (6, "again")]
     target = ["rare1 the rare2", None, "zebra the"]
-    known = docs[:9] if apart else docs
-    made = lm.whole(frame(docs, SCHEMA), frame([(t,) for t in target], "text string"), frame([(t,) for _, t in known], "text string") if apart else None)
-    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in made.collect()), key=repr)
-    wanted = brute(docs, target, 1 << 40, 1 << 40) if not apart else direct(docs, target, [t for _, t in known])
-    for a, b in zip(got, wanted, strict=True):
-        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-8)
+    known = [t for _, t in docs[:9]] if apart else None
+    made = lm.scores(frame(docs, SCHEMA), frame([(t,) for t in target], "text string"), frame([(t,) for t in known], "text string") if apart else None)
+    same(made, brute(docs, target, known))
 
 
-def direct(docs, target, background, weight=0.7):
-    """Losses from all counts; words that neither side has are unknown."""
-    sides = [[(t or "").split() for t in side] for side in (target, background)]
-    single = [Counter(w for d in s for w in d) for s in sides]
-    pairs = [Counter(p for d in s for p in zip(["^", *d], d)) for s in sides]
-    firsts = [Counter(a for d in s for a in ["^", *d][:len(d)]) for s in sides]
-    size, out = len(set(single[0]) | set(single[1])) + 1, []
-    for key, text in docs:
-        d = (text or "").split()
-        loss = [-sum(math.log(weight * p[a, b] / max(f[a], 1) + (1 - weight) * (s[b] + 1) / (s.total() + size)) for a, b in zip(["^", *d], d))
-                for s, p, f in zip(single, pairs, firsts)]
-        out.append((key, len(d), *(x / max(len(d), 1) for x in loss)))
-    return sorted(out, key=repr)
+def test_counts_beyond_a_byte_and_beyond_two(frame, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 1 << 10)
+    docs = [(i, "a b " * 300 + f"w{i}") for i in range(130)]
+    target = ["a b " * 100, "b a"]
+    same(lm.scores(frame(docs, SCHEMA), frame([(t,) for t in target], "text string")), brute(docs, target))
 
 
-def test_whole_models_of_empty_tables(frame):
-    none = frame([], "text string")
-    assert lm.whole(frame([], SCHEMA), none).count() == 0
-    made = lm.whole(frame([(1, "a b", 3, 4)], SCHEMA + ", n int, k int"), none).first()
+def test_models_of_few_texts(frame):
+    made = lm.scores(frame([(1, "a b", 3, 4)], SCHEMA + ", n int, k int"), frame([], "text string")).first()
     assert made.doc_id == 1 and made.n_tokens == 2 and made.target_loss == pytest.approx(math.log(3) - math.log(0.3))
