@@ -158,9 +158,7 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(lt, 0), 6) AS
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
-    # The target is read twice and is a part of the documents, so it is cut out once, by the same plan at any size.
-    target = stored(docs.join(good.hint("merge"), "doc_id", "left_semi").select("text"), "target")
-    made = lm.scores(docs, target)
+    made = lm.scores(docs, chosen=good)
     rounded = [F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")]
     return made.select("doc_id", "n_tokens", *rounded)
 

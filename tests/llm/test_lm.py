@@ -64,6 +64,16 @@ def test_models_keep_rare_words_and_bigrams(frame, apart):
     same(made, brute(docs, target, known))
 
 
+@pytest.mark.parametrize("chunk, more", [(4 << 20, False), (64, False), (64, True)])
+def test_chosen_documents_are_the_target(frame, monkeypatch, chunk, more):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    docs = [(i, f"odd{i % 3} words the {i % 7} of") for i in range(40)] + [(None, "of no key"), (3, "twice the three"), (5, None), (6, "")]
+    extra = ["beside the documents"] if more else []
+    made = lm.scores(frame(docs, SCHEMA), frame([(t,) for t in extra], "text string") if more else None,
+                     chosen=frame([(3,), (3,), (5,), (11,), (99,), (None,)], "doc_id bigint"))
+    same(made, brute(docs, extra + [t for k, t in docs if k in (3, 5, 11)]))
+
+
 def test_counts_beyond_a_byte_and_beyond_two(frame, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK", 1 << 10)
     docs = [(i, "a b " * 300 + f"w{i}") for i in range(130)]
