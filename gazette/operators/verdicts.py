@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gazette import vocab
 from gazette.functions import dates, urls
-from gazette.functions.common import blank, lookup, names_of, text
+from gazette.functions.common import lookup, text
+from gazette.operators.published import CONFIRMATIONS
 
 
 def citation_outcome(answers: DataFrame, statuses: DataFrame) -> DataFrame:
@@ -98,35 +99,6 @@ def validate_verdicts(responses: DataFrame) -> DataFrame:
         pick("omission_material", False).alias("material"), state.alias("state"))
 
 
-CONFIRMATIONS = ["obligation_applies_confirmed", "artifact_capable_of_violation_confirmed", "omission_materiality_confirmed"]
-
-
-def record_errors(snapshot: str) -> Column:
-    """Names of all broken rules of a published record."""
-    failures = F.col("baseline_failures")
-    stage_of = lambda f: lookup(f["mode"], vocab.FAILURE_STAGES)
-    missed = F.exists(failures, lambda f: f["mode"] == "missed_obligation")
-    review = lambda c: F.col(f"human_review.{c}")
-    confirmed = lambda c: F.coalesce(review(c), F.lit(False))
-    required = ["record_id", "title", "regulator_name", "update_type", "what_changed", "why_it_matters"]
-    return names_of({
-        **{f"{c}: empty": blank(F.col(c)) for c in required},
-        "impact_label: not high": text(F.col("impact_label")) != "high",
-        "scenario: not A or B": ~F.coalesce(F.col("scenario").isin("A", "B"), F.lit(False)),
-        "key_requirements: empty": F.coalesce(F.size("key_requirements") < 1, F.lit(True)),
-        "citation.url: not http": ~text(F.col("citation.url")).rlike("^https?://"),
-        "source.snapshot_date: wrong": text(F.col("source.snapshot_date")) != snapshot,
-        "baseline_failures: empty": F.coalesce(F.size(failures) < 1, F.lit(True)),
-        "baseline_failures.mode: unknown": F.exists(failures, lambda f: stage_of(f).isNull()),
-        "baseline_failures.stage: wrong": F.exists(failures, lambda f: F.coalesce(stage_of(f) != f["stage"], F.lit(False))),
-        "baseline_failures.judge_rationale: wrong": F.exists(
-            failures, lambda f: (f["mode"] == "missed_obligation") != f["judge_rationale"].isNotNull()),
-        "human_review.reviewer: empty": blank(review("reviewer")),
-        "human_review.attestation: not approved": text(review("attestation")) != "approved",
-        **{f"human_review.{c}: wrong": F.when(missed, ~confirmed(c)).otherwise(review(c).isNotNull()) for c in CONFIRMATIONS},
-    })
-
-
 def has_stage_b_failure(failures: Column) -> Column:
     return F.exists(failures, lambda f: f["mode"].isin("citation_fabricated", "date_wrong"))
 

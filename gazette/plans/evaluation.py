@@ -302,22 +302,6 @@ def published(spark, folder):
 
 
 _MISSED = "update_type IN ('enforcement', 'proposed rule')"
-_ERRORS = f"""concat_ws(';', CASE WHEN title = '' THEN 'title: empty' END,
-    CASE WHEN coalesce(regulator_name, '') = '' THEN 'regulator_name: empty' END, CASE WHEN why_it_matters = '' THEN 'why_it_matters: empty' END,
-    CASE WHEN impact < 8 THEN 'impact_label: not high' END, CASE WHEN requirements = 0 THEN 'key_requirements: empty' END,
-    CASE WHEN link = '' THEN 'citation.url: not http' END,
-    CASE WHEN update_type IN ('other', 'press release') THEN 'baseline_failures: empty' END,
-    CASE WHEN update_type = 'proposed rule' THEN 'baseline_failures.stage: wrong' END,
-    CASE WHEN {_MISSED} AND country = 'US' THEN 'baseline_failures.judge_rationale: wrong' END,
-    CASE WHEN topic_name = 'NATION_3' THEN 'human_review.attestation: not approved' END,
-    CASE WHEN {_MISSED} AND impact <= 2 THEN 'human_review.obligation_applies_confirmed: wrong' END,
-    CASE WHEN {_MISSED} AND impact <= 2 THEN 'human_review.artifact_capable_of_violation_confirmed: wrong' END,
-    CASE WHEN {_MISSED} AND impact <= 2 THEN 'human_review.omission_materiality_confirmed: wrong' END)"""
-
-
-@query("record_constraints", oracle(f"SELECT record_id, {_ERRORS} AS errors FROM records", "records"))
-def record_constraints(spark, folder):
-    return published(spark, folder).select("record_id", F.array_join(verdicts.record_errors("2001-08-01"), ";").alias("errors"))
 
 
 @query("stage_b_filter", oracle("SELECT record_id FROM records WHERE update_type IN ('final rule', 'proposed rule')", "records"))
