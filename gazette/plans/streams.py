@@ -9,21 +9,28 @@ from gazette.session import fresh_path, table
 from gazette.streaming import ingest
 
 LATE = "40 days"
+EARLIEST, LATEST = "2023-10-01", "2024-02-01"
 SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+CHUNKS = 3
 
 
-def landing(spark, folder):
-    """Events in a few files by time, and the large ones once more in later files.
+def arrive(spark, folder, step, time="ts", again="value > 10"):
+    """Events land chunk by chunk in the order of their ids, the large ones once more with the last chunk.
 
-    The chunks land one after the other, so the order of arrival is that of the events and not of the tasks that write.
+    After each chunk, rows are parted by `triage` and `step` runs on those that were kept. Tasks write the files that they read.
+    Returns the folder of the parted rows.
     """
-    path = fresh_path(spark, "landing")
-    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    chunk = F.expr(f"least(3, event_id * 4 div {_last(events)})")
-    for number in range(4):
-        events.filter(chunk == number).coalesce(1).write.mode("append").parquet(path)
-    events.filter("value > 10").coalesce(1).write.mode("append").parquet(path)
-    return ingest.plausible(ingest.landed(spark, path, SCHEMA, per_batch=2), "ts", "2024-01-01", "2024-02-01")
+    landing, parted = fresh_path(spark, "landing"), fresh_path(spark, "parted")
+    events = table(spark, folder, "events").withColumn("ts", F.expr(time).cast("timestamp"))
+    chunk = F.expr(f"least({CHUNKS - 1}, event_id * {CHUNKS} div {_last(events)})")
+    for number in range(CHUNKS):
+        rows = events.filter(chunk == number)
+        if again and number == CHUNKS - 1:
+            rows = rows.unionByName(events.filter(again))
+        rows.write.mode("append").parquet(landing)
+        ingest.triage(ingest.landed(spark, landing, SCHEMA), parted, "ts", EARLIEST, LATEST, LATE)
+        step(ingest.kept(spark, parted, SCHEMA))
+    return parted
 
 
 def _last(events):
@@ -31,19 +38,17 @@ def _last(events):
     return (events.agg(F.max("event_id")).first()[0] or 0) + 1
 
 
-def once(spark, folder):
-    return ingest.dedupe(landing(spark, folder), "event_id", "ts", LATE)
-
-
 @query("stream_dedupe", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_dedupe(spark, folder):
-    out = ingest.run(once(spark, folder).select("event_id", "user_id", "event_type", "value"), fresh_path(spark, "deduped"))
+    out = fresh_path(spark, "deduped")
+    arrive(spark, folder, lambda rows: ingest.run(
+        ingest.dedupe(rows, "event_id", "ts", LATE).select("event_id", "user_id", "event_type", "value"), out))
     return ingest.result(spark, out, "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE")
 
 
 def _windows(spark, folder, length, slide=None):
-    counts = ingest.window_counts(landing(spark, folder), "ts", ["event_type"], LATE, length, slide)
-    out = ingest.run(counts, fresh_path(spark, "windows"), mode="update")
+    out = fresh_path(spark, "windows")
+    arrive(spark, folder, lambda rows: ingest.run(ingest.window_counts(rows, "ts", ["event_type"], LATE, length, slide), out, mode="update"))
     rows = ingest.latest(spark, out, "start TIMESTAMP, event_type STRING, n BIGINT", ["start", "event_type"], ["n"])
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
@@ -69,6 +74,24 @@ def stream_sliding(spark, folder):
     SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id""")
 def stream_upsert(spark, folder):
     """The first event of each user that arrives, inserted once."""
-    first = ingest.insert_new(landing(spark, folder).select("user_id", "event_id"), "user_id", "event_id")
-    out = ingest.run(first, fresh_path(spark, "inserted"))
+    out = fresh_path(spark, "inserted")
+    arrive(spark, folder, lambda rows: ingest.insert_new(rows.select("user_id", "event_id"), out, "user_id", "event_id"))
     return ingest.result(spark, out, "user_id BIGINT, event_id BIGINT")
+
+
+# Times of some events are moved: a far future, none at all, and two months back, which is too late once later events are in.
+_MOVED = "CASE event_id % 50 WHEN 1 THEN ts + INTERVAL '80' YEAR WHEN 2 THEN NULL WHEN 3 THEN ts - INTERVAL '60' DAY ELSE ts END"
+
+
+@query("stream_quarantine", f"""
+    WITH moved AS (SELECT event_id, least({CHUNKS - 1}, event_id * {CHUNKS} // (SELECT max(event_id) + 1 FROM events)) AS chunk,
+                          {_MOVED} AS ts FROM events),
+         fits AS (SELECT *, coalesce(ts BETWEEN TIMESTAMP '{EARLIEST}' AND TIMESTAMP '{LATEST}', false) AS fits FROM moved),
+         marks AS (SELECT c.chunk, max(f.ts) AS mark FROM (SELECT DISTINCT chunk FROM moved) c JOIN fits f ON f.fits AND f.chunk < c.chunk
+                   GROUP BY c.chunk)
+    SELECT event_id, CASE WHEN NOT fits THEN 'implausible' WHEN ts < mark - INTERVAL '40' DAY THEN 'late' ELSE 'kept' END AS fate
+    FROM fits LEFT JOIN marks USING (chunk)""")
+def stream_quarantine(spark, folder):
+    """Every landed event, kept or set aside with the reason."""
+    parted = arrive(spark, folder, lambda rows: None, _MOVED, again=None)
+    return ingest.fates(spark, parted, SCHEMA).select("event_id", "fate")
