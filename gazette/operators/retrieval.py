@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import text
 from gazette.functions.common import text as filled
 from gazette.operators import spread
+from gazette.session import stored
 
 
 def term_counts(docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -23,34 +26,90 @@ def query_terms(texts: DataFrame, body: str) -> DataFrame:
     return counted.select("term", (F.col("n") / counted.agg(F.sum("n")).scalar()).alias("query_tf"))
 
 
-def term_table(counts: DataFrame, docs: DataFrame, query: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class TextIndex:
+    """A kept index of documents: their terms by part, the squares of their norms, and in how many documents a term is."""
+
+    postings: DataFrame  # part, term, key, tf
+    norms: DataFrame  # key, square
+    terms: DataFrame  # term, rows
+    key: str
+    total: int
+    parts: int
+
+
+def _part(parts: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
+
+
+def _idf(rows: Column, documents: int) -> Column:
+    """Smooth inverse frequency of a term of so many of the documents."""
+    return F.log(F.lit(float(documents + 1)) / (rows + 1)) + 1.0
+
+
+def build_index(docs: DataFrame, key: str, body: str, path: str, rows_a_part: int = 20_000_000) -> str:
+    """Writes the index of all documents; returns its folder.
+
+    Parts are hash ranges of terms, one for so many postings and 4,096 at most. Inside a part, files are cut by term and document, so a
+    term of most documents fills several files and no task holds it whole. The file that names the sizes is written last:
+    a folder without it is no index.
+    """
+    spark = docs.sparkSession
+    counts = stored(term_counts(docs, key, body), "term-counts")
+    terms = counts.groupBy("term").agg(F.count("*").alias("rows"))
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    size = terms.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    total, parts = docs.count(), min(4096, max(1, -(-size // rows_a_part)))
+    tf = (F.col("n") / F.col("length")).alias("tf")
+    (counts.select(_part(parts), "term", key, tf).repartitionByRange("part", "term", key).sortWithinPartitions("part", "term")
+     .write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings"))
+    weight = tf * _idf(F.col("rows"), total + 1)
+    (counts.join(terms, "term").groupBy(key).agg(F.sum(weight * weight).alias("square"))
+     .write.mode("overwrite").parquet(f"{path}/norms"))
+    about = spark.createDataFrame([(key, total, parts)], "key STRING, total BIGINT, parts INT")
+    about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+    return path
+
+
+def open_index(spark: SparkSession, path: str) -> TextIndex:
+    about = spark.read.parquet(f"{path}/about").first()
+    norms = spark.read.parquet(f"{path}/norms")
+    shape = f"term STRING, {about.key} {norms.schema[about.key].dataType.simpleString()}, tf DOUBLE, part INT"
+    return TextIndex(spark.read.schema(shape).parquet(f"{path}/postings"), norms, spark.read.parquet(f"{path}/terms"), about.key, about.total, about.parts)
+
+
+def term_table(index: TextIndex, query: DataFrame) -> DataFrame:
     """Terms of documents and query with smooth IDF. The query is one more document in N and in each frequency."""
-    frequency = counts.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("rows"))
-    total = docs.agg(F.count("*") + 1).scalar()
-    merged = frequency.join(query, "term", "full").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    merged = index.terms.join(query, "term", "full").withColumn("rows", F.coalesce("rows", F.lit(0)))
     seen = F.col("rows") + F.when(F.col("query_tf").isNotNull(), 1).otherwise(0)
-    return merged.select("term", "rows", "query_tf", (F.log((total + 1) / (seen + 1)) + 1.0).alias("idf"))
+    return merged.select("term", "rows", "query_tf", _idf(seen, index.total + 1).alias("idf"))
 
 
-def weights(docs: DataFrame, key: str, body: str, query: DataFrame) -> DataFrame:
+def weights(index: TextIndex, query: DataFrame) -> DataFrame:
     """TF-IDF weight of each term in each document, by a plain join; a term of most documents is split by adaptive execution."""
-    counts = term_counts(docs, key, body)
-    joined = counts.join(term_table(counts, docs, query), "term")
-    return joined.select(key, "term", (F.col("n") / F.col("length") * F.col("idf")).alias("weight"),
+    joined = index.postings.join(term_table(index, query), "term")
+    return joined.select(index.key, "term", (F.col("tf") * F.col("idf")).alias("weight"),
                          (F.col("query_tf") * F.col("idf")).alias("query_weight"))
 
 
-def cosine_to_query(docs: DataFrame, key: str, body: str, query: DataFrame) -> DataFrame:
+def cosine_to_query(index: TextIndex, query: DataFrame) -> DataFrame:
     """Cosine of each document with a shared word to the query; documents without one would be zero.
 
-    One sum per document gives its product with the query and its norm.
+    Only the postings of the query's own terms are read. A query changes the frequencies of its own terms alone, by one, so
+    the kept square of a document's norm is put right from the same postings. To the driver come the numbers of the parts that hold
+    terms of the query, 4,096 at most.
     """
-    per = weights(docs, key, body, query).groupBy(key).agg(
-        F.sum(F.col("weight") * F.col("query_weight")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    terms = term_table(term_counts(docs, key, body), docs, query)
-    q = F.col("query_tf") * F.col("idf")
-    query_norm = terms.filter("query_tf IS NOT NULL").agg(F.sqrt(F.sum(q * q))).scalar()
-    return per.filter("dot IS NOT NULL").select(key, (F.col("dot") / (F.col("norm") * query_norm)).alias("score"))
+    query = stored(query, "query-terms")
+    asked = query.join(index.terms, "term", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    asked = asked.select(_part(index.parts), "term", "query_tf", _idf(F.col("rows") + 1, index.total + 1).alias("idf"),
+                         _idf(F.col("rows"), index.total + 1).alias("kept_idf"))
+    parts = [r.part for r in query.select(_part(index.parts)).distinct().collect()]
+    tf, idf, kept = F.col("tf"), F.col("idf"), F.col("kept_idf")
+    per = index.postings.filter(F.col("part").isin(parts)).join(asked, ["part", "term"]).groupBy(index.key).agg(
+        F.sum(tf * idf * F.col("query_tf") * idf).alias("dot"), F.sum(tf * tf * (idf * idf - kept * kept)).alias("change"))
+    norm = F.sqrt(F.col("square") + F.col("change")) * asked.agg(F.sqrt(F.sum(F.col("query_tf") * idf * F.col("query_tf") * idf))).scalar()
+    return per.join(index.norms, index.key).select(index.key, (F.col("dot") / norm).alias("score"))
 
 
 def name_tier(query: str, acronym: Column, name: Column) -> Column:

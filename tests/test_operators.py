@@ -169,12 +169,6 @@ def test_topic_prefilter_finds_substrings(spark):
     assert sorted(r.topic_id for r in joins.topic_prefilter(topics, names).collect()) == [1, 2]
 
 
-def test_tfidf_leaves_nothing_behind(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"common words term{i % 7} other{i}") for i in range(40)], "id INT, body STRING")
-    query = retrieval.query_terms(spark.createDataFrame([("common term3 absent",)], "t STRING"), "t")
-    assert retrieval.cosine_to_query(docs, "id", "body", query).count() == 40
-
-
 def test_roles_and_hit_rates(spark, value):
     rows = spark.createDataFrame([("FR", "operating"), ("FR", "closed"), ("DE", "considering"), ("DE", "operating")], "code STRING, role STRING")
     assert {r.code: r.role for r in joins.roles(rows).collect()} == {"FR": "closed", "DE": "considering"}
