@@ -149,10 +149,9 @@ def flag_stats(spark, folder):
     WHERE strftime(ts, '%Y-%m-%d') = (SELECT max(strftime(ts, '%Y-%m-%d')) FROM events)""")
 def latest_snapshot(spark, folder):
     """Events written as daily snapshot folders, of which only the newest is read."""
-    path = fresh_path(spark, "snapshots")
     daily = table(spark, folder, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("snapshot"))
-    tables.write_documents(daily, path, "snapshot", spread_over=2)
-    return tables.read_latest(spark, path, "event_id BIGINT").select("event_id", F.col("snapshot").cast("string").alias("snapshot"))
+    version = tables.write_documents(daily, fresh_path(spark, "snapshots"), "snapshot")
+    return tables.read_latest(spark, version, "event_id BIGINT").select("event_id", F.col("snapshot").cast("string").alias("snapshot"))
 
 
 @query("alias_dim", """
@@ -254,7 +253,7 @@ def sink_partitioned(spark, folder):
     rows = matching.scan_matches(contracts(spark, folder), records(spark, folder), AS_OF).select("contract_id", "record_id", "urgency")
     path = fresh_path(spark, "documents")
     tables.write_documents(rows, path, "contract_id")
-    return spark.read.schema("record_id STRING, urgency DOUBLE, contract_id STRING").json(path)
+    return tables.read_documents(spark, path, "record_id STRING, urgency DOUBLE, contract_id STRING")
 
 
 @query("stale_outputs", """

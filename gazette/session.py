@@ -73,3 +73,15 @@ def discard(spark: SparkSession, path: str) -> None:
     """Removes a folder that no later step reads, on whatever store it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Makes an empty folder where there is none, on whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders directly inside a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if s.isDirectory()]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions.common import lookup, text
 from gazette.operators import spread
+from gazette.session import discard, folders, make_folder
 
 # Listing status of each platform status; anything else is active.
 LISTING_STATUS = {"open": "active", "active": "active", "settled": "resolved", "closed": "resolved"}
@@ -31,9 +34,7 @@ def aliases(entities: DataFrame) -> DataFrame:
 
 def newest_folder(spark: SparkSession, folder: str, name: str = "snapshot") -> str | None:
     """The greatest value among the `name=value` subfolders, from the listing of the folder alone."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
-    names = [s.getPath().getName() for s in listed if s.isDirectory()]
+    names = [f.rsplit("/", 1)[1] for f in folders(spark, folder)]
     return max((n.split("=", 1)[1] for n in names if n.startswith(f"{name}=")), default=None)
 
 
@@ -103,11 +104,33 @@ def manifest(log: DataFrame) -> DataFrame:
                    F.coalesce(F.sum(F.when(F.col("ok"), F.col("artifacts"))), F.lit(0)).alias("artifacts"))
 
 
-def write_documents(df: DataFrame, path: str, key: str, spread_over: int = 16, rows_per_file: int = 1_000_000) -> None:
-    """One folder of JSON per key, replacing whatever was there, so keys that are gone leave no output.
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("version BIGINT, name STRING").parquet(f"{path}/manifest")
+
+
+def write_documents(df: DataFrame, path: str, key: str, rows_per_file: int = 1_000_000, keep: int = 2) -> str:
+    """One folder of JSON per key as a new version of the documents; returns the version's folder.
 
-    Rows of a key are dealt out over a few tasks; a heavy key is written by all of them.
+    The manifest names the new version only when all of it is written, so readers see the last whole version while a
+    write runs or after it failed, and keys that are gone leave no output. The newest `keep` versions stay, for readers that have
+    just begun; older ones and what failed writes left are removed. One writer at a time. Rows are rebalanced by key, so adaptive
+    execution cuts a heavy key, or many copies of one row, into as many tasks as its size asks for and joins small ones.
+    Rows without a key have a folder of their own.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread_over))
-    (df.repartition(F.col(key), salt).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
-       .partitionBy(key).json(path))
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    make_folder(spark, f"{path}/manifest")
+    df.hint("rebalance", key).write.option("maxRecordsPerFile", rows_per_file).partitionBy(key).json(f"{path}/versions/{name}")
+    version = (_manifest(spark, path).agg(F.max("version")).first()[0] or 0) + 1
+    spark.createDataFrame([(version, name)], "version BIGINT, name STRING").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    named = {r.name for r in _manifest(spark, path).filter(F.col("version") > version - keep).collect()}
+    for folder in folders(spark, f"{path}/versions"):
+        if folder.rsplit("/", 1)[1] not in named:
+            discard(spark, folder)
+    return f"{path}/versions/{name}"
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The documents of the newest whole version; a path that has none yet has no documents."""
+    make_folder(spark, f"{path}/manifest")
+    newest = _manifest(spark, path).agg(F.max_by("name", "version")).first()[0]
+    return spark.createDataFrame([], schema) if newest is None else spark.read.schema(schema).json(f"{path}/versions/{newest}")

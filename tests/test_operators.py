@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gazette.operators import audit, curation, geography, heat, joins, portfolio, ranking, retrieval, runs, verdicts, versions
+from gazette.session import folders
 from gazette.sources import annotations, tables
 from tests.conftest import make_record
 
@@ -214,9 +215,34 @@ def test_snapshots_candles_and_refresh(spark, tmp_path):
 def test_writing_again_removes_stale_outputs(spark, tmp_path):
     path = str(tmp_path / "out")
     rows = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "contract_id STRING, v INT")
+    read = lambda: sorted(r.contract_id or "" for r in tables.read_documents(spark, path, "v INT, contract_id STRING").collect())
+    assert read() == []
     tables.write_documents(rows("a", "b"), path, "contract_id")
-    tables.write_documents(rows("b", "c"), path, "contract_id")
-    assert sorted(r.contract_id for r in spark.read.json(path).collect()) == ["b", "c"]
+    tables.write_documents(rows("b", "c", None), path, "contract_id")
+    assert read() == ["", "b", "c"]
+    # A write that fails leaves the last whole version; the next good one removes what it left and what is too old.
+    with pytest.raises(Exception):
+        tables.write_documents(rows("x", "y").withColumn("v", F.expr("if(contract_id = 'y', raise_error('broken'), v)")), path, "contract_id")
+    assert read() == ["", "b", "c"]
+    tables.write_documents(rows("d"), path, "contract_id")
+    assert read() == ["d"] and len(folders(spark, f"{path}/versions")) == 2
+    tables.write_documents(rows(), path, "contract_id")
+    assert read() == []
+
+
+def test_a_heavy_key_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(200_000).select(F.lit("hot").alias("k"), F.lit("the same text in every row").alias("v"))
+    limit = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2"}
+    before = {name: spark.conf.get(name, None) for name in limit}
+    try:
+        for name, value in limit.items():
+            spark.conf.set(name, value)
+        version = tables.write_documents(rows, str(tmp_path / "out"), "k")
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    found = spark.read.schema("v STRING, k STRING").json(version)
+    assert found.count() == 200_000 and len(found.inputFiles()) > 1
 
 
 def test_topic_prefilter_looks_for_every_customer(spark):
