@@ -47,27 +47,37 @@ def _filled(values: Column) -> Column:
     return F.size(F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: ~blank(v)))
 
 
+#: Fields that are metadata; a record without any of them was never annotated.
+METADATA = ("impacted_business", "impact_summary", "reg_references", "critical_dates", "penalties_consequences", "tags")
+
+
 def corpus_stats(records: DataFrame) -> DataFrame:
-    """Obligations, references, critical dates and penalties in one pass.
+    """Metadata, obligations, references, critical dates, penalties, and distinct regulators and jurisdictions in one pass.
 
-    A record is dated by any of its critical dates that the frame has a field for.
+    A record is dated by any of its critical dates that the frame has a field for. References count unless they are empty, also
+    those of spaces. A record's jurisdiction is its first; tags are missing where a record with metadata has none that says something.
     """
-    requirements = F.coalesce(F.size("impact_summary.key_requirements"), F.lit(0))
-    requirements = F.greatest(requirements, F.lit(0))
-    refs = sum((_filled(F.col(f"reg_references.{k}")) for k in ("rules", "statutes", "other_ref")), F.lit(0))
+    requirements = F.greatest(F.coalesce(F.size("impact_summary.key_requirements"), F.lit(0)), F.lit(0))
+    texts = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    refs = sum((F.size(F.filter(texts(F.col(f"reg_references.{k}")), lambda v: text(v) != "")) for k in ("rules", "statutes", "other_ref")), F.lit(0))
     have = records.schema["critical_dates"].dataType.fieldNames()
     dated = reduce(or_, [~blank(F.col(f"critical_dates.{f}")) for f in DATE_FIELDS if f in have], F.lit(False))
     if "other_dates" in have:
         dated |= populated(F.col("critical_dates.other_dates"), "array")
     penalties = _filled(F.col("penalties_consequences"))
     mentions = money.money_mentions(F.array_join("penalties_consequences", " "))
+    annotated = reduce(or_, [F.col(c).isNotNull() for c in METADATA if c in records.columns])
+    place = F.trim(F.get(F.col("impacted_business.jurisdiction"), 0))
     return records.agg(
-        F.count("*").alias("records"), F.sum(requirements).alias("obligations"),
+        F.count("*").alias("records"), F.count_if(annotated).alias("with_metadata"), F.sum(requirements).alias("obligations"),
         F.count_if(requirements > 0).alias("with_obligations"), F.sum(refs).alias("reg_refs"),
         F.count_if(refs > 0).alias("with_refs"), F.count_if(dated).alias("with_dates"),
         F.count_if(penalties > 0).alias("with_penalties"),
         F.count_if((penalties > 0) & (mentions > 0)).alias("with_amount"),
-        F.sum(F.when(penalties > 0, mentions).otherwise(0)).alias("money_mentions"))
+        F.sum(F.when(penalties > 0, mentions).otherwise(0)).alias("money_mentions"),
+        F.count_if(annotated & (_filled(F.col("tags")) == 0)).alias("tags_missing"),
+        F.countDistinct(F.nullif(F.trim("regulator_name"), F.lit(""))).alias("regulators"),
+        F.countDistinct(F.nullif(place, F.lit(""))).alias("jurisdictions"))
 
 
 def corpus_tops(records: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -130,14 +140,14 @@ def _has(kind: DataType, path: list[str]) -> bool:
 
 
 def _said(records: DataFrame, path: str, kind: str) -> Column:
-    """Whether a field is filled; a field that the frame does not have never is."""
-    return populated(F.col(path), kind) if _has(records.schema, path.split(".")) else F.lit(False)
+    """Whether a field is filled; null for a field that the frame does not have, so that a wrong path is not taken for an empty field."""
+    return F.coalesce(populated(F.col(path), kind), F.lit(False)) if _has(records.schema, path.split(".")) else F.lit(None).cast("boolean")
 
 
 def field_audit(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Share of records with each field filled; `fields` maps a column path to its kind.
 
-    All fields are counters of one aggregate, turned into rows afterwards. Fields that the frame does not have are never filled.
+    All fields are counters of one aggregate, turned into rows afterwards. The share of a field that the frame does not have is null.
     """
     flat = {path.replace(".", "__"): path for path in fields}
     row = records.agg(*[F.avg(_said(records, path, fields[path]).cast("double")).alias(n) for n, path in flat.items()])
@@ -147,10 +157,10 @@ def field_audit(records: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def field_audit_by_type(records: DataFrame, fields: dict[str, str], top: int = 5) -> DataFrame:
-    """The audit inside each of the most frequent update types."""
+    """The audit inside each of the most frequent update types; counts of a field that the frame does not have are null."""
     flat = {path.replace(".", "__"): path for path in fields}
     per = records.groupBy("update_type").agg(F.count("*").alias("n"), *[
-        F.count_if(_said(records, path, fields[path])).alias(n) for n, path in flat.items()])
+        F.sum(_said(records, path, fields[path]).cast("bigint")).alias(n) for n, path in flat.items()])
     best = per.orderBy(F.col("n").desc(), "update_type").limit(top)
     rows = best.select("update_type", "n", F.explode(F.array(*[
         F.struct(F.lit(path).alias("field"), F.col(n).alias("filled")) for n, path in flat.items()])).alias("r"))

@@ -151,15 +151,55 @@ def headline_stats(spark, folder):
     return audit.headline(records(spark, folder), AS_OF, "1996-01-01")
 
 
+# Annotations with more fields than the records, each of them filled in some rows only, and rows without any metadata.
+_WIDE = {
+    "bare": "seq % 11 = 0", "feed_entry_id": "CASE WHEN seq % 7 = 0 THEN '' ELSE record_id END",
+    "topic_acronym": "CASE WHEN n1 THEN 'N1' ELSE ' ' END", "topic_scope": "CASE WHEN country = '' THEN NULL ELSE tier_label END",
+    "feed_id": "CASE WHEN urgency > 5 THEN topic_id END", "current_published_date": "CASE WHEN pub_date_valid THEN pub_date ELSE '' END",
+    "update_subtype": "CASE WHEN relevance >= 5 THEN update_type END", "regulator_other": "regulator_division",
+    "classification_base_url": "CASE WHEN seq % 2 = 0 THEN link END",
+    "classification_summary": "CASE WHEN why_it_matters = '' THEN ' ' ELSE summary END",
+    "pub_date_content": "CASE WHEN seq % 4 = 0 THEN pub_date ELSE '' END", "objective": "CASE WHEN impact > 3 THEN what_changed END",
+    "risk_impact": "CASE WHEN impact > 7 THEN why_it_matters END", "early": "CASE WHEN seq % 13 = 0 THEN pub_date ELSE ' ' END",
+    "acts": "seq % 3 = 0", "statute": "seq % 5 = 0", "ruled": "seq % 3 <> 1", "fined": "seq % 6 <> 0", "tagged": "seq % 9 <> 0",
+    "functional": "seq % 8 <> 0", "named": "seq % 10 <> 0"}
+define("wide", "SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _WIDE.items())
+       + " FROM (SELECT *, topic_name LIKE '%1%' AS n1 FROM records)", "records")
+
+
+def wide(spark, folder):
+    from_view = ("impact", "relevance", "urgency", "country", "tier_label", "why_it_matters", "what_changed", "summary", "reference", "requirement")
+    rows = records(spark, folder, *from_view).withColumn("n1", F.expr("topic_name LIKE '%1%'"))
+    rows = rows.withColumns({n: F.expr(e) for n, e in _WIDE.items()})
+    kept = lambda c: F.when(~F.col("bare"), c)
+    some = lambda flag, *items: F.when(F.col(flag), F.array(*items)).otherwise(F.array().cast("array<string>"))
+    inside = lambda c, **more: kept(F.struct(f"{c}.*", *[v.alias(k) for k, v in more.items()]))
+    return rows.withColumns({
+        "critical_dates": inside("critical_dates", pub_date_content=F.col("pub_date_content"), early_adoption_date=F.col("early")),
+        "impact_summary": inside("impact_summary", objective=F.col("objective"), risk_impact=F.col("risk_impact")),
+        "reg_references": kept(F.struct(some("ruled", "reference", F.lit(" "), F.lit("")).alias("rules"),
+                                        some("statute", "summary").alias("statutes"), some("acts", F.lit("")).alias("other_ref"))),
+        "impacted_business": kept(F.col("impacted_business")), "penalties_consequences": kept(some("fined", "summary", F.lit(" "))),
+        "tags": kept(F.when(F.col("tagged"), F.col("tags")).otherwise(F.array().cast("array<string>"))),
+        "impacted_functions": kept(F.when(F.col("functional"), F.col("impacted_functions")).otherwise(F.array().cast("array<string>"))),
+        "entities": F.when(F.col("named"), F.col("entities")), "actionables": some("acts", "requirement")})
+
+
 @query("corpus_stats", oracle("""
-    SELECT count(*) AS records, CAST(sum(requirements) AS BIGINT) AS obligations, count(*) FILTER (requirements > 0) AS with_obligations,
-           count(*) AS reg_refs, count(*) AS with_refs,
-           count(*) FILTER (effective_date <> '' OR compliance_date <> '' OR comment_deadline <> '') AS with_dates,
-           count(*) AS with_penalties, count(*) FILTER (contains(summary, 'fined') OR contains(summary, 'cites')) AS with_amount,
-           2 * count(*) FILTER (contains(summary, 'fined')) + count(*) FILTER (contains(summary, 'cites')) AS money_mentions
-    FROM records""", "records"))
+    SELECT count(*) AS records, count(*) FILTER (NOT bare) AS with_metadata,
+           CAST(sum(requirements) FILTER (NOT bare) AS BIGINT) AS obligations, count(*) FILTER (requirements > 0 AND NOT bare) AS with_obligations,
+           2 * count(*) FILTER (ruled AND NOT bare) + count(*) FILTER (statute AND NOT bare) AS reg_refs,
+           count(*) FILTER ((ruled OR statute) AND NOT bare) AS with_refs,
+           count(*) FILTER (NOT bare AND (effective_date <> '' OR compliance_date <> '' OR comment_deadline <> '' OR trim(early) <> '')) AS with_dates,
+           count(*) FILTER (fined AND NOT bare) AS with_penalties,
+           count(*) FILTER (fined AND NOT bare AND (contains(summary, 'fined') OR contains(summary, 'cites'))) AS with_amount,
+           2 * count(*) FILTER (fined AND NOT bare AND contains(summary, 'fined'))
+             + count(*) FILTER (fined AND NOT bare AND contains(summary, 'cites')) AS money_mentions,
+           count(*) FILTER (NOT bare AND NOT tagged) AS tags_missing, count(DISTINCT regulator_name) AS regulators,
+           count(DISTINCT CASE WHEN impacted_1 <> '' AND NOT bare THEN impacted_1 END) AS jurisdictions
+    FROM wide""", "wide"))
 def corpus_stats(spark, folder):
-    return audit.corpus_stats(records(spark, folder))
+    return audit.corpus_stats(wide(spark, folder))
 
 
 @query("sector_counts", oracle("""
@@ -185,23 +225,32 @@ def freshness(spark, folder):
     return audit.freshness(records(spark, folder), 1993, 2002)
 
 
-# All fields of the reference's audit; the records have no column for those whose SQL is false.
+# The audited fields with their kinds, and when the test rows fill them.
 _EVERY = {
-    "artifact_id": ("string", "record_id <> ''"), "feed_entry_id": ("string", "false"), "topic_id": ("string", "topic_id <> ''"),
-    "topic_name": ("string", "topic_name <> ''"), "topic_acronym": ("string", "false"),
-    "topic_jurisdiction_code": ("string", "jurisdiction_code <> ''"), "topic_scope": ("string", "false"), "title": ("string", "trim(title) <> ''"),
-    "link": ("string", "link <> ''"), "feed_id": ("string", "false"), "current_published_date": ("string", "false"),
-    "update_type": ("string", "update_type <> ''"), "update_subtype": ("string", "false"), "jurisdiction_tier": ("struct", "true"),
+    "artifact_id": ("string", "record_id <> ''"), "feed_entry_id": ("string", "feed_entry_id <> ''"), "topic_id": ("string", "topic_id <> ''"),
+    "topic_name": ("string", "topic_name <> ''"), "topic_acronym": ("string", "trim(topic_acronym) <> ''"),
+    "topic_jurisdiction_code": ("string", "jurisdiction_code <> ''"), "topic_scope": ("string", "coalesce(topic_scope, '') <> ''"),
+    "title": ("string", "trim(title) <> ''"), "link": ("string", "link <> ''"), "feed_id": ("string", "feed_id IS NOT NULL"),
+    "current_published_date": ("string", "current_published_date <> ''"),
+    "update_type": ("string", "update_type <> ''"), "update_subtype": ("string", "update_subtype IS NOT NULL"), "jurisdiction_tier": ("struct", "true"),
     "regulator_name": ("string", "coalesce(regulator_name, '') <> ''"), "regulator_division": ("string", "regulator_division <> ''"),
-    "regulator_other": ("string", "false"), "classification_base_url": ("string", "false"), "classification_summary": ("string", "false"),
-    "pub_date": ("string", "pub_date <> ''"), "pub_date_valid": ("boolean", "pub_date_valid"), "impacted_functions": ("array", "true"),
-    "penalties_consequences": ("array", "true"), "tags": ("array", "true"), "entities": ("array", "true"), "actionables": ("array", "false"),
-    "critical_dates.pub_date_content": ("string", "false"), "critical_dates.effective_date": ("string", "effective_date <> ''"),
-    "critical_dates.compliance_date": ("string", "compliance_date <> ''"), "critical_dates.comment_deadline": ("string", "comment_deadline <> ''"),
-    "impact_summary.what_changed": ("string", "what_changed <> ''"), "impact_summary.why_it_matters": ("string", "why_it_matters <> ''"),
-    "impact_summary.key_requirements": ("array", "requirements > 0"), "impact_summary.objective": ("string", "false"),
-    "impact_summary.risk_impact": ("string", "false"), "reg_references.rules": ("array", "true"), "reg_references.statutes": ("array", "false"),
-    "impacted_business.jurisdiction": ("array", "true"), "impacted_business.type": ("array", "true"), "impacted_business.industry": ("array", "true"),
+    "regulator_other": ("string", "regulator_other <> ''"), "classification_base_url": ("string", "coalesce(classification_base_url, '') <> ''"),
+    "classification_summary": ("string", "trim(classification_summary) <> ''"),
+    "pub_date": ("string", "pub_date <> ''"), "pub_date_valid": ("boolean", "pub_date_valid"),
+    "impacted_functions": ("array", "functional AND NOT bare"), "penalties_consequences": ("array", "fined AND NOT bare"),
+    "tags": ("array", "tagged AND NOT bare"), "entities": ("array", "named"), "actionables": ("array", "acts"),
+    "critical_dates.pub_date_content": ("string", "pub_date_content <> '' AND NOT bare"),
+    "critical_dates.effective_date": ("string", "effective_date <> '' AND NOT bare"),
+    "critical_dates.compliance_date": ("string", "compliance_date <> '' AND NOT bare"),
+    "critical_dates.comment_deadline": ("string", "comment_deadline <> '' AND NOT bare"),
+    "impact_summary.what_changed": ("string", "what_changed <> '' AND NOT bare"),
+    "impact_summary.why_it_matters": ("string", "why_it_matters <> '' AND NOT bare"),
+    "impact_summary.key_requirements": ("array", "requirements > 0 AND NOT bare"),
+    "impact_summary.objective": ("string", "objective IS NOT NULL AND NOT bare"),
+    "impact_summary.risk_impact": ("string", "coalesce(risk_impact, '') <> '' AND NOT bare"),
+    "reg_references.rules": ("array", "ruled AND NOT bare"), "reg_references.statutes": ("array", "statute AND NOT bare"),
+    "impacted_business.jurisdiction": ("array", "NOT bare"), "impacted_business.type": ("array", "NOT bare"),
+    "impacted_business.industry": ("array", "NOT bare"),
     "scores.urgency.score": ("number", "urgency IS NOT NULL"), "scores.impact.score": ("number", "impact IS NOT NULL"),
     "scores.relevance.score": ("number", "relevance IS NOT NULL"), "jurisdiction_tier.label": ("string", "tier_label <> ''"),
     "jurisdiction_tier.tier": ("number", "true")}
@@ -209,26 +258,26 @@ _BY_TYPE = ("title", "link", "regulator_name", "impact_summary.what_changed", "s
 
 
 _AUDIT_SQL = oracle(" UNION ALL ".join(
-    f"SELECT '{f}' AS field, round(100.0 * avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 1) AS percent FROM records"
-    for f, (_, c) in _EVERY.items()), "records")
+    f"SELECT '{f}' AS field, round(100.0 * avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 1) AS percent FROM wide"
+    for f, (_, c) in _EVERY.items()), "wide")
 
 
 @query("field_audit_all", _AUDIT_SQL)
 @query("field_audit", _AUDIT_SQL)
 def field_audit(spark, folder):
-    rows = records(spark, folder).withColumnRenamed("record_id", "artifact_id")
+    rows = wide(spark, folder).withColumnRenamed("record_id", "artifact_id")
     return audit.field_audit(rows, {f: kind for f, (kind, _) in _EVERY.items()})
 
 
 _BY_TYPE_SQL = oracle(" UNION ALL ".join(
     f"SELECT update_type, '{f}' AS field, count(*) FILTER ({_EVERY[f][1]}) AS filled, count(*) FILTER (NOT ({_EVERY[f][1]}))"
-    " AS empty FROM records GROUP BY update_type" for f in _BY_TYPE), "records")
+    " AS empty FROM wide GROUP BY update_type" for f in _BY_TYPE), "wide")
 
 
 @query("field_audit_by_type_all", _BY_TYPE_SQL)
 @query("field_audit_by_type", _BY_TYPE_SQL)
 def field_audit_by_type(spark, folder):
-    return audit.field_audit_by_type(records(spark, folder), {f: _EVERY[f][0] for f in _BY_TYPE})
+    return audit.field_audit_by_type(wide(spark, folder), {f: _EVERY[f][0] for f in _BY_TYPE})
 
 
 @query("corpus_tops", oracle("""

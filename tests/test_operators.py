@@ -265,9 +265,26 @@ def test_corpus_stats_takes_all_date_fields(spark):
     assert audit.corpus_stats(spark.createDataFrame(rows, schema)).first().with_dates == 4
 
 
-def test_audits_count_fields_that_the_frame_lacks_as_empty(records):
+def test_corpus_stats_of_rows_without_metadata(spark):
+    from gazette.schemas import RECORD
+
+    bare = dict.fromkeys(audit.METADATA)
+    refs = {"rules": ["a", " ", "", None], "statutes": None, "other_ref": []}
+    place = lambda j: {"jurisdiction": j, "industry": [], "type": []}
+    rows = [make_record(**bare), make_record(**bare, regulator_name=" "), make_record(reg_references=refs, tags=[" ", None], regulator_name=None),
+            make_record(tags=["x"], impacted_business=place([" US ", "FR"])), make_record(tags=["x"], impacted_business=place([""]), regulator_name="Agency ")]
+    got = audit.corpus_stats(spark.createDataFrame(rows, RECORD)).first()
+    assert (got.records, got.with_metadata, got.reg_refs, got.with_refs, got.tags_missing, got.regulators, got.jurisdictions) == (5, 3, 2, 1, 1, 1, 1)
+
+
+def test_corpus_stats_of_no_rows(records):
+    got = audit.corpus_stats(records(make_record()).limit(0)).first()
+    assert (got.records, got.with_metadata, got.regulators) == (0, 0, 0)
+
+
+def test_audits_give_no_share_of_fields_that_the_frame_lacks(records):
     made = {r.field: r.percent for r in audit.field_audit(records(make_record()), {"title": "string", "feed_id": "string", "impact_summary.objective": "string"}).collect()}
-    assert made == {"title": 100.0, "feed_id": 0.0, "impact_summary.objective": 0.0}
+    assert made == {"title": 100.0, "feed_id": None, "impact_summary.objective": None}
 
 
 def test_field_audit_all_has_the_fields_of_the_reference():
