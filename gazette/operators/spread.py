@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,18 +119,21 @@ def running(df: DataFrame, order: str, value: str, out: str, fold=F.sum, inclusi
     return rows.withColumn(out, total).select(*df.columns, out)
 
 
-def next_in_order(df: DataFrame, keys: list[str], order: str, columns: list[str], period: str = "month") -> DataFrame:
-    """Each row with the named columns of the next row of its group, as `next_*`.
+def next_in_order(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Each row with the named columns of the next row of its group, as `next_*`; null for the last of a group.
 
-    Rows look ahead inside a calendar period; the last of a period takes the first row of the group's next
-    period from a table with one row per period.
+    All rows are cut into ranges by group, order and the named columns, as many as the session has shuffle partitions, and written
+    with the number of their range, so that ranges stay as they are if a task runs twice. A window sees one range, so a group of any size
+    is spread over many tasks; the last row of a range looks at the first of the next, from a table with a row per range. Rows
+    that are alike in all of these follow each other.
     """
-    slot = F.date_trunc(period, F.col(order))
-    slotted = df.withColumn("_slot", slot)
-    row = F.struct(order, *columns)
-    heads = slotted.groupBy(*keys, "_slot").agg(F.min(row).alias("_head"))
-    heads = heads.select(*keys, "_slot", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_slot")).alias("_later"))
-    ahead = F.lead(row).over(Window.partitionBy(*keys, "_slot").orderBy(order, *columns))
-    joined = slotted.withColumn("_ahead", ahead).join(heads, [*keys, "_slot"])
+    place = [*keys, order, *[c for c in columns if c not in keys and c != order]]
+    ranged = stored(df.repartitionByRange(*place).withColumn("_range", F.spark_partition_id()), "ranged")
+    row = F.struct(*place)
+    heads = ranged.groupBy("_range").agg(F.min(row).alias("_head"))
+    heads = heads.select("_range", F.lead("_head").over(Window.orderBy("_range")).alias("_later"))
+    ahead = F.lead(row).over(Window.partitionBy("_range").orderBy(*place))
+    joined = ranged.withColumn("_ahead", ahead).join(heads, "_range")
     following = F.coalesce(F.col("_ahead"), F.col("_later"))
-    return joined.select(*df.columns, *[following[c].alias(f"next_{c}") for c in [order, *columns]])
+    same = reduce(and_, [following[k].eqNullSafe(F.col(k)) for k in keys], F.lit(True))
+    return joined.select(*df.columns, *[F.when(same, following[c]).alias(f"next_{c}") for c in [order, *columns]])

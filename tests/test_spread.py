@@ -77,6 +77,39 @@ def test_next_in_order_across_periods(spark):
     assert got == [("a", 0, 1), ("a", 1, 40), ("a", 40, 41), ("a", 41, 200), ("a", 200, None), ("b", 7, None)]
 
 
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_next_in_order_with_a_heavy_group_against_a_plain_loop(spark, merged):
+    r = random.Random(3)
+    rows = [(r.choice(["hot"] * 8 + ["a", "b", None]), r.choice([None, *range(40)]), r.randrange(3)) for _ in range(900)]
+    rows += [("hot", 7, 1)] * 300
+    df = spark.createDataFrame(rows, "k STRING, t INT, v INT")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, merged)
+    try:
+        got = [tuple(x) for x in spread.next_in_order(df, ["k"], "t", ["v"]).collect()]
+    finally:
+        spark.conf.unset(name)
+    first = lambda x: (x is not None, x or 0)
+    ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", first(x[1]), x[2]))
+    wanted = [(*x, *(y[1:] if y and y[0] == x[0] else (None, None))) for x, y in zip(ordered, [*ordered[1:], None])]
+    key = lambda x: [str(c) for c in x]
+    assert sorted(got, key=key) == sorted(wanted, key=key)
+
+
+def test_next_in_order_cuts_one_group_into_ranges(spark):
+    df = spark.range(4000).selectExpr("1 AS k", "id AS t", "id AS v").repartition(3)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        plan = spread.next_in_order(df, ["k"], "t", ["v"])
+        (folder,) = {f.rsplit("/", 1)[0] for f in plan.inputFiles()}
+        sizes = [r["count"] for r in spark.read.parquet(folder).groupBy("_range").count().collect()]
+    finally:
+        spark.conf.unset(name)
+    assert len(sizes) == 4 and max(sizes) < 2500
+    assert spread.next_in_order(df.limit(0), ["k"], "t", ["v"]).count() == 0
+
+
 def test_top_per_group_cuts_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
     top = spread.top_per_group(df, ["k"], [F.col("id").desc()], 3)
