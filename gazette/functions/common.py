@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,6 +58,11 @@ def first_keyword(c: Column, rules: Iterable[tuple[str, list[str]]], otherwise:
     return case([(mentions(c, words), label) for label, words in rules], otherwise)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often the expression names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def names_of(flags: Mapping[str, Column]) -> Column:
     """Array of the names whose condition holds, in the given order."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in flags.items()]))

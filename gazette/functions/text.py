@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gazette import vocab
-from gazette.functions.common import text
+from gazette.functions.common import bound, text
 
 # Word ends look at letters of every script, so a word with an accent yields no token.
 TOKEN = r"(?U)\b[a-z0-9][a-z0-9]+\b"
@@ -25,6 +25,20 @@ def tokens(body: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(vocab.STOP_WORDS))
 
 
+def runs(items: Column, key=lambda item: item) -> Column:
+    """Runs of equal keys in a sorted array: where each begins, from 0, and how many items it has."""
+    last = lambda i: key(F.get(items, i - 1))
+    starts = F.array_compact(F.transform(items, lambda item, i: F.when((i == 0) | (key(item) != last(i)), i)))
+    return bound(starts, lambda at: F.transform(at, lambda start, i: F.struct(
+        start.alias("start"), (F.coalesce(F.get(at, i + 1), F.size(items)) - start).alias("size"))))
+
+
+def counted(words: Column) -> Column:
+    """The distinct words of an array in their order, each with its number; linear in sorted words, so long texts are no trouble."""
+    return bound(F.sort_array(words), lambda all_words: F.transform(runs(all_words), lambda run: F.struct(
+        F.get(all_words, run["start"]).alias("term"), run["size"].alias("n"))))
+
+
 def lines(body: Column) -> Column:
     """Lines of a text; a line end at the very end starts no further line."""
     return F.split(F.regexp_replace(text(body), r"(?:\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")

@@ -8,16 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import text
+from gazette.functions.common import bound
 from gazette.functions.common import text as filled
 from gazette.operators import spread
 from gazette.session import stored
 
 
-def term_counts(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """Count of each term in each document, with the number of the document's tokens."""
-    found = docs.select(key, text.tokens(F.col(body)).alias("_tokens"))
-    single = found.select(key, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
-    return single.groupBy(key, "length", "term").agg(F.count("*").alias("n"))
+COMMON = 200_000
+
+
+def _one_per_key(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """Texts of each document; rows that share a key are one document. Only texts of repeated keys are shuffled."""
+    texts = docs.select(key, F.col(body).alias("_text"))
+    twice = stored(texts.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select(key), "repeated-keys")
+    single = texts.join(twice, key, "left_anti").select(key, F.array("_text").alias("_texts"))
+    return single.unionByName(texts.join(twice, key, "left_semi").groupBy(key).agg(F.collect_list("_text").alias("_texts")))
+
+
+def document_terms(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """The number of tokens of each document, and its terms, each with its count. Counted inside the row, so nothing is shuffled for it."""
+    found = _one_per_key(docs, key, body).select(key, F.flatten(F.transform("_texts", text.tokens)).alias("_tokens"))
+    return found.select(key, F.size("_tokens").alias("length"), text.counted(F.col("_tokens")).alias("words"))
 
 
 def query_terms(texts: DataFrame, body: str) -> DataFrame:
@@ -28,18 +39,20 @@ def query_terms(texts: DataFrame, body: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A kept index of documents: their terms by part, the squares of their norms, and in how many documents a term is."""
+    """A kept index of documents: their terms by document and by part, the squares of their norms, and in how many documents a term is."""
 
+    documents: DataFrame  # key, length, words (term, n)
     postings: DataFrame  # part, term, key, tf
     norms: DataFrame  # key, square
     terms: DataFrame  # term, rows
     key: str
     total: int
     parts: int
+    size: int  # of postings
 
 
-def _part(parts: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int").alias("part")
+def _part(parts: int, term: Column | str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int").alias("part")
 
 
 def _idf(rows: Column, documents: int) -> Column:
@@ -47,27 +60,55 @@ def _idf(rows: Column, documents: int) -> Column:
     return F.log(F.lit(float(documents + 1)) / (rows + 1)) + 1.0
 
 
-def build_index(docs: DataFrame, key: str, body: str, path: str, rows_a_part: int = 20_000_000) -> str:
+def _singly(documents: DataFrame, key: str) -> DataFrame:
+    """A row per document and term."""
+    each = documents.select(key, "length", F.explode("words").alias("_word"))
+    return each.select(key, F.col("_word.term").alias("term"), (F.col("_word.n") / F.col("length")).alias("tf"))
+
+
+def _with_terms(single: DataFrame, terms: DataFrame, size: int) -> DataFrame:
+    """Rows of documents and terms, `size` of them, with what the table of terms says of their term.
+
+    A term that has a `COMMON`th of all rows is looked up in a broadcast table, which has `COMMON` terms at most. Only rows
+    of the other terms are shuffled, and none of these is frequent.
+    """
+    common = F.broadcast(terms.filter(F.col("rows") * COMMON >= size))
+    near = single.join(common, "term")
+    if size <= COMMON:
+        return near
+    rare = single.join(F.broadcast(common.select("term")), "term", "left_anti").join(terms.filter(F.col("rows") * COMMON < size), "term")
+    return near.unionByName(rare)
+
+
+def build_index(docs: DataFrame, key: str, body: str, path: str, rows_a_part: int = 20_000_000, rows_a_task: int = 4_000_000) -> str:
     """Writes the index of all documents; returns its folder.
 
-    Parts are hash ranges of terms, one for so many postings and 4,096 at most. Inside a part, files are cut by term and document, so a
-    term of most documents fills several files and no task holds it whole. The file that names the sizes is written last:
-    a folder without it is no index.
+    Parts are hash ranges of terms, one for so many postings and 4,096 at most. Inside a part, files are cut by document, so a
+    term of most documents fills several files and no task holds it whole. A document's words of one part travel as one row with
+    one text. The file that names the sizes is written last: a folder without it is no index.
     """
     spark = docs.sparkSession
-    counts = stored(term_counts(docs, key, body), "term-counts")
-    terms = counts.groupBy("term").agg(F.count("*").alias("rows"))
+    document_terms(docs, key, body).write.mode("overwrite").parquet(f"{path}/documents")
+    documents = spark.read.parquet(f"{path}/documents")
+    terms = documents.select(F.explode("words.term").alias("term")).groupBy("term").agg(F.count("*").alias("rows"))
     terms.write.mode("overwrite").parquet(f"{path}/terms")
     terms = spark.read.parquet(f"{path}/terms")
     size = terms.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     total, parts = docs.count(), min(4096, max(1, -(-size // rows_a_part)))
-    tf = (F.col("n") / F.col("length")).alias("tf")
-    (counts.select(_part(parts), "term", key, tf).repartitionByRange("part", "term", key).sortWithinPartitions("part", "term")
+    dealt = F.sort_array(F.transform("words", lambda w: F.struct(
+        _part(parts, w["term"]), w["term"].alias("term"), w["n"].alias("n"))))
+    packed = bound(dealt, lambda words: F.transform(text.runs(words, lambda w: w["part"]), lambda run: bound(
+        F.slice(words, run["start"] + 1, run["size"]), lambda own: F.struct(
+            F.get(own["part"], F.lit(0)).alias("part"), F.array_join(own["term"], " ").alias("terms"), own["n"].alias("counts")))))
+    sent = documents.select(key, "length", F.explode(packed).alias("_of")).select("_of.part", key, "length", "_of.terms", "_of.counts")
+    sent = sent.repartitionByRange(max(1, -(-size // rows_a_task)), "part", key)
+    single = sent.select("part", key, "length", "counts", F.posexplode(F.split("terms", " ")).alias("_at", "term"))
+    (single.select("part", "term", key, (F.get("counts", F.col("_at")) / F.col("length")).alias("tf")).sortWithinPartitions("part", "term")
      .write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings"))
-    weight = tf * _idf(F.col("rows"), total + 1)
-    (counts.join(terms, "term").groupBy(key).agg(F.sum(weight * weight).alias("square"))
+    weight = F.col("tf") * _idf(F.col("rows"), total + 1)
+    (_with_terms(_singly(documents, key), terms, size).groupBy(key).agg(F.sum(weight * weight).alias("square"))
      .write.mode("overwrite").parquet(f"{path}/norms"))
-    about = spark.createDataFrame([(key, total, parts)], "key STRING, total BIGINT, parts INT")
+    about = spark.createDataFrame([(key, total, parts, size)], "key STRING, total BIGINT, parts INT, size BIGINT")
     about.coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
     return path
 
@@ -76,7 +117,8 @@ def open_index(spark: SparkSession, path: str) -> TextIndex:
     about = spark.read.parquet(f"{path}/about").first()
     norms = spark.read.parquet(f"{path}/norms")
     shape = f"term STRING, {about.key} {norms.schema[about.key].dataType.simpleString()}, tf DOUBLE, part INT"
-    return TextIndex(spark.read.schema(shape).parquet(f"{path}/postings"), norms, spark.read.parquet(f"{path}/terms"), about.key, about.total, about.parts)
+    return TextIndex(spark.read.parquet(f"{path}/documents"), spark.read.schema(shape).parquet(f"{path}/postings"), norms,
+                     spark.read.parquet(f"{path}/terms"), about.key, about.total, about.parts, about.size)
 
 
 def term_table(index: TextIndex, query: DataFrame) -> DataFrame:
@@ -87,8 +129,8 @@ def term_table(index: TextIndex, query: DataFrame) -> DataFrame:
 
 
 def weights(index: TextIndex, query: DataFrame) -> DataFrame:
-    """TF-IDF weight of each term in each document, by a plain join; a term of most documents is split by adaptive execution."""
-    joined = index.postings.join(term_table(index, query), "term")
+    """TF-IDF weight of each term in each document; only rows of terms that are not common are shuffled."""
+    joined = _with_terms(_singly(index.documents, index.key), stored(term_table(index, query), "term-table"), index.size)
     return joined.select(index.key, "term", (F.col("tf") * F.col("idf")).alias("weight"),
                          (F.col("query_tf") * F.col("idf")).alias("query_weight"))
 
@@ -102,8 +144,9 @@ def cosine_to_query(index: TextIndex, query: DataFrame) -> DataFrame:
     """
     query = stored(query, "query-terms")
     asked = query.join(index.terms, "term", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
-    asked = asked.select(_part(index.parts), "term", "query_tf", _idf(F.col("rows") + 1, index.total + 1).alias("idf"),
-                         _idf(F.col("rows"), index.total + 1).alias("kept_idf"))
+    # Written, so that the planner knows its size and a query of usual length is broadcast.
+    asked = stored(asked.select(_part(index.parts), "term", "query_tf", _idf(F.col("rows") + 1, index.total + 1).alias("idf"),
+                                _idf(F.col("rows"), index.total + 1).alias("kept_idf")), "asked-terms")
     parts = [r.part for r in query.select(_part(index.parts)).distinct().collect()]
     tf, idf, kept = F.col("tf"), F.col("idf"), F.col("kept_idf")
     per = index.postings.filter(F.col("part").isin(parts)).join(asked, ["part", "term"]).groupBy(index.key).agg(

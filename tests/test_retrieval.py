@@ -81,3 +81,32 @@ def test_a_query_without_words(spark, index):
 def test_a_folder_without_sizes_is_no_index(spark, tmp_path):
     with pytest.raises(Exception):
         retrieval.open_index(spark, str(tmp_path / "nothing"))
+
+
+def test_words_are_counted_inside_their_row(spark):
+    docs = spark.createDataFrame([(1, "bb aa bb cc"), (2, ""), (3, None)], "id INT, body STRING")
+    found = {r.id: (r.length, [tuple(w) for w in r.words]) for r in retrieval.document_terms(docs, "id", "body").collect()}
+    assert found == {1: (4, [("aa", 1), ("bb", 2), ("cc", 1)]), 2: (0, []), 3: (0, [])}
+
+
+def test_weights_of_common_terms_are_not_shuffled(spark, index):
+    found = retrieval.weights(index(TEXTS), asked(spark, "common"))
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("common", [1, 3, 10])
+def test_rare_and_common_terms_have_the_same_weights(spark, index, monkeypatch, common):
+    query = "common term3 absent rare5 rare5"
+    weigh = lambda kept: {(r.id, r.term): r.weight for r in retrieval.weights(kept, asked(spark, query)).collect()}
+    usual = weigh(index(TEXTS))
+    monkeypatch.setattr(retrieval, "COMMON", common)
+    kept = index(TEXTS, rows_a_part=20, rows_a_task=15)
+    assert weigh(kept) == pytest.approx(usual)
+    found = {r.id: r.score for r in retrieval.cosine_to_query(kept, asked(spark, query)).collect()}
+    assert found == pytest.approx(plain(TEXTS, query))
+
+
+def test_rows_of_one_key_are_one_document(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "bb cc"), (2, "aa")], "id INT, body STRING")
+    kept = retrieval.open_index(spark, retrieval.build_index(docs, "id", "body", str(tmp_path / "twice")))
+    assert {(r.id, r.term): r.tf for r in kept.postings.collect()} == {(1, "aa"): 0.25, (1, "bb"): 0.5, (1, "cc"): 0.25, (2, "aa"): 1.0}
