@@ -38,7 +38,10 @@ def scan_malformed(spark, folder):
 
 
 def raw_annotations(spark, folder):
-    """Records folded back into the nested form, written as JSON lines and read like a landed pull."""
+    """Records folded back into the nested form, written as compressed JSON lines and read like a landed pull.
+
+    Compressed files are read whole by one task, so their rows are bounded.
+    """
     score = lambda n: F.struct(F.col(f"scores.{n}.label").alias("label"), F.col(f"scores.{n}.score").alias("score"),
                                F.lit(0.5).alias("confidence")).alias(n)
     s = F.struct
@@ -57,7 +60,7 @@ def raw_annotations(spark, folder):
         )).alias("output_data"))
     rows = records(spark, folder, "summary", "country", "bloc", "tag_2", "requirements")
     path = fresh_path(spark, "annotations")
-    rows.select(nested.alias("r")).select("r.*").write.json(path)
+    rows.select(nested.alias("r")).select("r.*").write.option("maxRecordsPerFile", 200_000).json(path, compression="gzip")
     return annotations.read_jsonl(spark, path)
 
 
