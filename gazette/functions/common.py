@@ -64,8 +64,12 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def names_of(flags: Mapping[str, Column]) -> Column:
-    """Array of the names whose condition holds, in the given order."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in flags.items()]))
+    """Array of the names whose condition holds, in the given order.
+
+    Nulls go by `array_except`: names differ, and a lambda around all conditions would have each interpreted for every row.
+    """
+    named = F.array(*[F.when(cond, F.lit(name)) for name, cond in flags.items()])
+    return F.array_except(named, F.array(F.lit(None).cast("string")))
 
 
 def texts(words: Iterable[str]) -> Column:

@@ -3,7 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from gazette.functions.common import names_of
 from gazette.operators import published
 from gazette.plans import publication
 
@@ -63,6 +65,15 @@ def test_every_rule_is_broken_by_the_fixture_once():
     assert len(named) >= 60 and len({f[:2] for f in publication.FAULTS}) == len(publication.FAULTS)
 
 
+def test_rules_are_compiled_and_keys_may_come_in_any_order(spark, broken):
+    named = spark.range(1).select(names_of({"a": F.col("id") == 0, "b": F.col("id") == 1, "c": F.col("id").isNull()}).alias("names"))
+    assert named.first().names == ["a"]
+    assert "lambda" not in named._jdf.queryExecution().optimizedPlan().toString()
+    turned = dict(reversed(sound().items()))
+    turned["source"] = dict(reversed(turned["source"].items()))
+    assert broken(json.dumps(turned)) == [[]]
+
+
 def test_an_empty_table(spark):
     rows = spark.createDataFrame([], "raw STRING")
     assert published.errors(rows, "raw", "d", "m", "c").count() == 0
